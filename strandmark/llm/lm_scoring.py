@@ -8,51 +8,77 @@ depths. The tree is learnt from the training rows and then held fixed, so a text
 depend on the other texts that are scored.
 
 How the work is dealt: documents go to blocks of bounded size by a hash of their id. A block sends its
-distinct words and distinct (context, byte) pairs with their counts, never its tokens; words are summed by
-word, pairs are worked up and down the context tree in parts that share their nearest two bytes, and each
-block gets back only the numbers of its own words and pairs. Nothing is broadcast, and what a task holds
-follows the block, not the corpus.
+distinct words and distinct (context, byte) pairs with their counts, sorted and packed by part, never its
+tokens. Words are summed in the part of their hash; pairs are worked up and down the context tree in the
+part of their nearest two bytes; and each block gets back the numbers of its own words and pairs. Nothing
+is broadcast. There are as many parts as blocks, so what a task holds follows the block, not the corpus.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, binary_list, block_of, counted, forget, int_list, sliced, summed, text_size, written
+from .common import BLOCK_BYTES, binary_list, block_of, counted, forget, int_list, mix64, sliced, summed, text_size, written
 
 END = b"\n"
 SPLIT = 2  # context bytes that a part of the tree shares
-SENT = pa.schema([("block", pa.int32()), ("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
+MOST_PARTS = 1 << 15
+PACKED = "block int, part int, grams boolean, keys binary, numbers binary, tokens long, kinds long"
+SENT = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("grams", pa.bool_()), ("keys", pa.binary()), ("numbers", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
+
+
+def pack(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+
+
+def unpack(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(b), kind)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return pack(np.diff(keys, prepend=0))
+
+
+def unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, np.int64))
+
+
+def packed(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SENT)], schema=SENT)
 
 
 def gram_keys(bodies: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of every byte of the bodies, nearest context byte first, the byte itself last; and each body's first place."""
-    pad = END * depth
-    data = np.frombuffer(pad + pad.join(bodies), np.uint8).astype(np.int64)
+    pad = END * 8
+    raw = pad + pad.join(bodies)
+    data = np.frombuffer(raw, np.uint8)
+    past = np.ndarray((len(data) - 8,), "<u8", raw, 0, (1,))  # the eight bytes before each place, the nearest one highest
+    keys = (((past >> np.uint64(8 * (8 - depth))) << np.uint64(8)) | data[8:]).view(np.int64)
     sizes = np.array([len(x) for x in bodies], np.int64)
-    starts = np.cumsum(sizes + depth) - sizes
-    at = np.ones(len(data), bool)
-    for k in range(1, depth + 1):
-        at[starts - k] = False
-    at = np.flatnonzero(at)
-    keys = data.copy()
-    for k in range(1, depth + 1):
-        keys[k:] |= data[:-k] << (8 * (depth - k + 1))
-    return keys[at], np.cumsum(sizes) - sizes
+    starts = (np.cumsum(sizes + 8) - sizes - 8).tolist()
+    return np.concatenate([keys[s : s + n] for s, n in zip(starts, sizes.tolist(), strict=True)]), np.cumsum(sizes) - sizes
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def count_block(rows: pa.Table, depth: int) -> pa.Table:
-    """Distinct words and grams of a block with their counts in its training rows."""
+def parts_of(grams: np.ndarray, depth: int, parts: int) -> np.ndarray:
+    near = grams >> (8 * (depth - SPLIT + 1))
+    return (mix64(near.astype(np.uint64)) % np.uint64(parts)).astype(np.uint16)
+
+
+def count_block(rows: pa.Table, depth: int, parts: int) -> pa.Table:
+    """Distinct words and grams of a block with their counts in its training rows, packed by part."""
     block = rows["block"][0].as_py()
     texts, train = binary_list(rows["text"]), int_list(rows["train"])
     words: Counter = Counter()
@@ -62,29 +88,51 @@ def count_block(rows: pa.Table, depth: int) -> pa.Table:
         bodies: tuple[list[bytes], list[bytes]] = ([], [])
         for i in range(a, b):
             w = words_of(texts[i])
-            w_all = [*w, END]
-            words.update(w_all) if train[i] else other.update(w_all)
+            if train[i]:
+                words.update(w)
+                words[END] += 1
+            else:
+                other.update(w)
+                other.add(END)
             bodies[int(train[i])].append(b" ".join(w) + END)
         for kind in (0, 1):
             if bodies[kind]:
                 keys, n = counted(gram_keys(bodies[kind], depth)[0])
                 pieces.append((keys, n * kind))
-        if len(pieces) > 16:
+        if len(pieces) > 8:
             pieces = [summed(np.concatenate([x for x, _ in pieces]), np.concatenate([x for _, x in pieces]))]
     keys, n = summed(np.concatenate([x for x, _ in pieces]), np.concatenate([x for _, x in pieces]))
+    out = []
+    dealt: dict[int, list[bytes]] = {}
     for w in other:
         words.setdefault(w, 0)
-    w_keys = sorted(words)
-    m, k = len(w_keys), len(keys)
-    return pa.table(
-        [
-            pa.array(np.full(m + k, block, np.int32)),
-            pa.concat_arrays([pa.array(w_keys, pa.binary()), pa.nulls(k, pa.binary())]),
-            pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(keys.astype(np.int64))]),
-            pa.concat_arrays([pa.array([words[w] for w in w_keys], pa.int64()), pa.array(n.astype(np.int64))]),
-        ],
-        schema=SENT,
-    )
+    for w in words:
+        dealt.setdefault(zlib.crc32(w) % parts, []).append(w)
+    for part, own in dealt.items():
+        own.sort()
+        out.append((block, part, False, zstandard.compress(b" ".join(own), 1), pack(np.array([words[w] for w in own], np.uint32)), None, None))
+    part = parts_of(keys, depth, parts)
+    order = np.argsort(part, kind="stable")
+    keys, n, part = keys[order], n[order].astype(np.uint32), part[order]
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    for a, b in zip(first, np.append(first[1:], len(part)), strict=True):
+        out.append((block, int(part[a]), True, pack_keys(keys[a:b]), pack(n[a:b]), None, None))
+    return packed(out)
+
+
+def sum_words(rows: pa.Table) -> pa.Table:
+    """For each block of a part: the whole counts of its words; and a row of no block with the part's tokens and distinct training words."""
+    part = rows["part"][0].as_py()
+    total: Counter = Counter()
+    each = []
+    for block, keys, n in zip(rows["block"].to_pylist(), rows["keys"].to_pylist(), rows["numbers"].to_pylist(), strict=True):
+        own = zstandard.decompress(keys).split(b" ")
+        each.append((block, keys, own))
+        for w, c in zip(own, unpack(n, np.uint32).tolist(), strict=True):
+            total[w] += c
+    get = total.get
+    out = [(block, part, False, keys, pack(np.fromiter(map(get, own), np.uint64, len(own))), None, None) for block, keys, own in each]
+    return packed([*out, (None, part, False, None, None, sum(total.values()), sum(c > 0 for c in total.values()))])
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -165,82 +213,87 @@ class Levels:
         return total
 
 
-NODES = pa.schema([("context", pa.int64()), ("node", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64()), ("log_w", pa.float64())])
-ANSWERS = pa.schema([("block", pa.int32()), ("gram", pa.int64()), ("log_p", pa.float32())])
+NODES = pa.schema([("part", pa.int32()), ("context", pa.int64()), ("node", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64()), ("log_w", pa.float64())])
 
 
-def part_nodes(batches, depth: int):
-    """Depth-SPLIT nodes of all grams of this task."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    rows = pa.Table.from_batches(rows)
-    grams, n = summed(int_list(rows["gram"]), int_list(rows["n"]))
+def _tree(rows: pa.Table, depth: int) -> tuple[Levels, np.ndarray, list[np.ndarray]]:
+    """The weighed trees of a part, its distinct grams, and each block's."""
+    each = [unpack_keys(k) for k in rows["keys"].to_pylist()]
+    grams, n = summed(np.concatenate(each), np.concatenate([unpack(x, np.uint32) for x in rows["numbers"].to_pylist()]).astype(np.int64))
     tree = Levels(grams, n, depth)
     tree.weigh()
+    return tree, grams, each
+
+
+def part_nodes(rows: pa.Table, depth: int) -> pa.Table:
+    """Depth-SPLIT nodes of a part."""
+    tree, _, _ = _tree(rows, depth)
     key = tree.keys[SPLIT]
-    yield pa.record_batch([pa.array(key >> 8), pa.array((key & 255).astype(np.int32)), pa.array(tree.zeros[SPLIT]), pa.array(tree.ones[SPLIT]), pa.array(tree.log_w[SPLIT])], schema=NODES)
-
-
-def part_answers(batches, depth: int):
-    """log10 probabilities of the grams of this task, for each block that asked."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    rows = pa.Table.from_batches(rows)
-    asked = rows.filter(pc.is_valid(rows["block"]))
-    top = rows.filter(pc.is_null(rows["block"]))
-    block, gram = int_list(asked["block"]), int_list(asked["gram"])
-    grams, n = summed(gram, int_list(asked["n"]))
-    tree = Levels(grams, n, depth)
-    tree.weigh()
-    key = int_list(top["gram"])
+    part = np.full(len(key), rows["part"][0].as_py(), np.int32)
+    return pa.table([pa.array(part), pa.array(key >> 8), pa.array((key & 255).astype(np.int32)), pa.array(tree.zeros[SPLIT]), pa.array(tree.ones[SPLIT]), pa.array(tree.log_w[SPLIT])], schema=NODES)
+
+
+def part_answers(rows: pa.Table, top: pa.Table, depth: int) -> pa.Table:
+    """For each block of a part: log10 probabilities of its grams."""
+    if not rows.num_rows:
+        return SENT.empty_table()
+    tree, grams, each = _tree(rows, depth)
+    key = (int_list(top["context"]) << 8) | int_list(top["node"])
     order = np.argsort(key, kind="stable")
     if not np.array_equal(key[order], tree.keys[SPLIT]):
         raise ValueError("the shallow part of the context tree has other nodes than the deep part")
-    log_p = tree.predict(grams, top["one"].to_numpy()[order], top["rest"].to_numpy()[order])
-    at = np.searchsorted(grams, gram)
-    for a in range(0, len(gram), 200_000):
-        b = a + 200_000
-        yield pa.record_batch([pa.array(block[a:b].astype(np.int32)), pa.array(gram[a:b]), pa.array(log_p[at[a:b]].astype(np.float32))], schema=ANSWERS)
+    log_p = tree.predict(grams, top["one"].to_numpy()[order], top["rest"].to_numpy()[order]).astype(np.float32)
+    part = rows["part"][0].as_py()
+    out = [(block, part, True, keys, pack(log_p[np.searchsorted(grams, own)]), None, None) for block, keys, own in zip(rows["block"].to_pylist(), rows["keys"].to_pylist(), each, strict=True)]
+    return packed(out)
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("train", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known_log", pa.float64()), ("score", pa.float64())])
 
 
+def summed_up(bodies: list[bytes], depth: int, grams: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """Sum of log_p over the grams of each of up to 256 bodies. Keys are sorted with the number of their body, as looking them up in order is several times faster."""
+    keys, starts = gram_keys(bodies, depth)
+    of = np.repeat(np.arange(len(bodies), dtype=np.uint64), np.diff(np.append(starts, len(keys))))
+    keys = np.sort((keys.view(np.uint64) << np.uint64(8)) | of)
+    of = (keys & np.uint64(255)).astype(np.int64)
+    keys = (keys >> np.uint64(8)).view(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    found = log_p[np.searchsorted(grams, keys[first])]
+    return np.bincount(of, weights=np.repeat(found, np.diff(np.append(first, len(keys)))), minlength=len(bodies))
+
+
 def score_block(rows: pa.Table, answers: pa.Table, depth: int) -> pa.Table:
     if not rows.num_rows:
         return SCORES.empty_table()
     texts, train = binary_list(rows["text"]), int_list(rows["train"])
-    known: Counter = Counter()
-    for text, t in zip(texts, train, strict=True):
-        if t:
-            known.update(words_of(text))
-            known[END] += 1
-    said = answers.filter(pc.is_valid(answers["word"]))
-    known.update(zip(said["word"].to_pylist(), [0] * said.num_rows, strict=True))
-    for w, c in zip(said["word"].to_pylist(), said["c"].to_pylist(), strict=True):
-        known[w] = c
-    said = answers.filter(pc.is_valid(answers["gram"]))
-    grams, log_p = said["gram"].to_numpy(), said["log_p"].to_numpy().astype(float)
+    known: dict[bytes, int] = {}
+    said = answers.filter(pc.invert(answers["grams"]))
+    for keys, n in zip(said["keys"].to_pylist(), said["numbers"].to_pylist(), strict=True):
+        known.update(zip(zstandard.decompress(keys).split(b" "), unpack(n, np.uint64).tolist(), strict=True))
+    said = answers.filter(answers["grams"])
+    grams = np.concatenate([unpack_keys(k) for k in said["keys"].to_pylist()])
+    log_p = np.concatenate([unpack(x, np.float32) for x in said["numbers"].to_pylist()]).astype(float)
     order = np.argsort(grams)
     grams, log_p = grams[order], log_p[order]
     n_tokens, n_known, known_log, score = (np.zeros(len(texts)) for _ in range(4))
-    get = known.get
+    get = known.__getitem__
+    end = known[END]
     for a, b in sliced([len(x) for x in texts]):
         bodies, counts, firsts = [], [], []
         for i in range(a, b):
             w = words_of(texts[i])
             bodies.append(b" ".join(w) + END)
             firsts.append(len(counts))
-            counts += [get(x, 0) for x in w]
-            counts.append(get(END, 0))
+            counts += map(get, w)
+            counts.append(end)
         c = np.array(counts, float)
         n_tokens[a:b] = np.diff(np.append(firsts, len(c)))
         n_known[a:b] = np.add.reduceat((c > 0).astype(float), firsts)
         known_log[a:b] = np.add.reduceat(np.log10(c + 1), firsts)
-        keys, starts = gram_keys(bodies, depth)
-        score[a:b] = np.add.reduceat(log_p[np.searchsorted(grams, keys)], starts)
+        for c in range(0, len(bodies), 256):
+            own = bodies[c : c + 256]
+            score[a + c : a + c + len(own)] = summed_up(own, depth, grams, log_p)
     return pa.table([rows["doc_id"], pa.array(train.astype(np.int32)), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(known_log), pa.array(score)], schema=SCORES)
 
 
@@ -273,7 +326,7 @@ def _shallow(nodes: DataFrame) -> DataFrame:
             up = out.withColumnRenamed("context", "up")
             out = own.withColumn("up", F.expr("shiftright(context, 8)")).join(up, ["up", "node"]).select("context", "node", (F.col("one") + F.col("rest") * F.col("weight") * F.col("kt")).alias("one"), (F.col("rest") * (1 - F.col("weight"))).alias("rest"))
     up = out.withColumnRenamed("context", "up")
-    return nodes.select("context", "node", F.expr("shiftright(context, 8)").alias("up")).join(up, ["up", "node"]).select("context", "node", "one", "rest")
+    return nodes.select("part", "context", "node", F.expr("shiftright(context, 8)").alias("up")).join(up, ["up", "node"]).select("part", "context", "node", "one", "rest")
 
 
 def score_documents(docs: DataFrame, held_out: Column, depth: int = 6, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -288,24 +341,17 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = 6, block_byt
         raise ValueError("depth must be 3 to 6")
     n = max(1, -(-text_size(docs) // block_bytes))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.when(held_out, 0).otherwise(1).alias("train"), block_of(n, "doc_id").alias("block"))
-    sent = written(rows.select("block", "train", "text").groupBy("block").applyInArrow(lambda t: count_block(t, depth), "block int, word binary, gram long, n long"), "lm-sent")
-    words = written(sent.where("word is not null").groupBy("word").agg(F.sum("n").alias("c"), F.collect_list("block").alias("blocks")), "lm-words")
-    total = words.agg(F.sum("c").alias("tokens"), F.count_if(F.col("c") > 0).alias("kinds")).first()
+    parts = min(n, MOST_PARTS)
+    sent = written(rows.select("block", "train", "text").groupBy("block").applyInArrow(lambda t: count_block(t, depth, parts), PACKED), "lm-sent")
+    words = sent.where(~F.col("grams")).groupBy("part").applyInArrow(sum_words, PACKED)
+    grams = sent.where("grams").groupBy("part")
+    nodes = written(grams.applyInArrow(lambda t: part_nodes(t, depth), "part int, context long, node int, zeros long, ones long, log_w double"), "lm-nodes")
+    log_p = grams.cogroup(_shallow(nodes).groupBy("part")).applyInArrow(lambda a, b: part_answers(a, b, depth), PACKED)
+    answers = written(words.unionByName(log_p), "lm-answers")
+    total = answers.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     train_tokens, kinds = total["tokens"] or 0, total["kinds"] or 0
-    grams = sent.where("gram is not null").select("block", "gram", "n")
-    part = F.expr(f"shiftright(gram, {8 * (depth - SPLIT + 1)})")
-    nodes = written(grams.select("gram", "n", part.alias("part")).repartition("part").mapInArrow(lambda it: part_nodes(it, depth), "context long, node int, zeros long, ones long, log_w double"), "lm-nodes")
-    none = F.lit(None)
-    asked = grams.select("block", "gram", "n", none.cast("double").alias("one"), none.cast("double").alias("rest"), part.alias("part"))
-    top = _shallow(nodes).select(none.cast("int").alias("block"), F.expr("shiftleft(context, 8) | node").alias("gram"), F.lit(0).cast("long").alias("n"), "one", "rest", F.col("context").alias("part"))
-    answers = asked.unionByName(top).repartition("part").mapInArrow(lambda it: part_answers(it, depth), "block int, gram long, log_p float")
-    answers = written(
-        answers.select("block", none.cast("binary").alias("word"), none.cast("long").alias("c"), "gram", "log_p").unionByName(
-            words.where(F.size("blocks") > 1).select(F.explode("blocks").alias("block"), "word", "c", none.cast("long").alias("gram"), none.cast("float").alias("log_p"))
-        ),
-        "lm-answers",
-    )
-    forget(sent, words, nodes)
+    answers = answers.where("block is not null").select("block", "grams", "keys", "numbers")
+    forget(sent, nodes)
     scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: score_block(a, b, depth), "doc_id long, train int, n_tokens long, n_known long, known_log double, score double")
     return scored.select(
         "doc_id",
