@@ -61,6 +61,15 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Most rows of a table that is broadcast; a larger one is joined by shuffle.
+MOST_ROWS = 300_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The frame, to be broadcast if its rows, counted here, are few enough."""
+    return F.broadcast(df) if df.count() <= MOST_ROWS else df
+
+
 def text_size(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 

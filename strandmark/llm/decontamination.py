@@ -12,13 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 WINDOW = 10
 #: Terms of a window whose posting lists are intersected, rarest first.
 ANCHORS = 2
-#: Most rows of a table that is broadcast; a larger one is joined by shuffle.
-MOST_ROWS = 300_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -28,11 +26,6 @@ def words_of(text: str) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """The frame, to be broadcast if its rows are few enough; counted here unless the number is given."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= MOST_ROWS else df
-
-
 def windows_of(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """(window, n, items): distinct windows of `size` words, or whole shorter texts, with the items that have them."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of("text").alias("words")).where(F.size("words") > 0)

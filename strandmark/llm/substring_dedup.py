@@ -7,7 +7,7 @@ named first; a suffix can only tie with another over LENGTH bytes if a sample in
 that occurs again, and only such suffixes are sorted. They go to buckets by the leading bits of the name of
 their prefix; one bucket at a time is sorted, and each tie is given the first block that it occurs in.
 
-Documents are dealt to blocks of bounded size in the order of their ids. A block sends packed sorted names,
+Copies of a whole text go first, by a digest. The other documents are dealt to blocks of bounded size in the order of their ids. A block sends packed sorted names,
 each once, so a string that every document has costs one name a block; a bucket answers with one bit a
 name, in the same order. Texts go no further than to their block.
 """
@@ -19,10 +19,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_list, forget, int_list, prefix_hash, sliced, span_hash, written
+from .common import binary_list, int_list, prefix_hash, sliced, small, span_hash, written
 
 LENGTH, PERIOD = 50, 31
 #: A perfect difference set modulo 31; fixed values.
@@ -31,7 +32,6 @@ SAMPLE = LENGTH - PERIOD + 1
 BLOCK = 8 << 20
 #: Names of samples keep so many bits besides their bucket: a name of 2**20 in a bucket is taken for another with 1e-6, and then is sorted in vain.
 SAMPLE_BITS = 40
-SECOND = 0xD1342543DE82EF95
 
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
@@ -149,7 +149,7 @@ def send_suffixes(rows: pa.Table, answers: pa.Table, n: int) -> pa.Table:
     block = rows["block"][0].as_py()
     s = Suffixes(_in_order(rows)[1], answers, n)
     first, last = _cuts(s.buckets)
-    blobs = [s.names[a:b].tobytes() + s.more[a:b].tobytes() for a, b in zip(first, last, strict=True)]
+    blobs = [zstandard.compress(np.diff(s.names[a:b], prepend=np.uint64(0)).tobytes() + s.more[a:b].tobytes(), 1) for a, b in zip(first, last, strict=True)]
     return pa.table([pa.array(np.full(len(first), block, np.int32)), pa.array(s.buckets[first].astype(np.int32)), pa.array(blobs, pa.binary())], schema=SENT)
 
 
@@ -158,8 +158,9 @@ def earlier_suffixes(rows: pa.Table) -> pa.Table:
     h1, h2, of = [], [], []
     blocks = int_list(rows["block"])
     for block, blob in zip(blocks, binary_list(rows["names"]), strict=True):
+        blob = zstandard.decompress(blob)
         k = len(blob) // 10
-        h1.append(np.frombuffer(blob, np.uint64, k))
+        h1.append(np.cumsum(np.frombuffer(blob, np.uint64, k), dtype=np.uint64))
         h2.append(np.frombuffer(blob, np.uint16, k, 8 * k))
         of.append(np.full(k, block, np.int32))
     sizes = [len(x) for x in h1]
@@ -242,6 +243,11 @@ def remove_repeats(docs: DataFrame, digest: bool = False, block_bytes: int = BLO
     remove from each other; a null id counts as greater than all. Empty table: no rows. Other columns are not read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    every = rows.select("doc_id", F.md5("text").alias("of"), F.octet_length("text").cast("long").alias("n_bytes"))
+    least = every.groupBy("of").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null")
+    copies = written(every.join(least, "of").where(f"n_bytes >= {LENGTH} and (doc_id is null or least < doc_id)").select("doc_id", "of", "n_bytes"), "copies")
+    first = small(copies.select(F.col("doc_id").alias("id2"), "of").distinct())
+    rows = rows.withColumn("of2", F.md5("text")).join(first, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("of2") == F.col("of")), "left_anti").select("doc_id", "text")
     rows, n = blocked(rows, block_bytes)
     kind = "block int, bucket int, names binary"
     by_block = rows.groupBy("block")
@@ -251,4 +257,5 @@ def remove_repeats(docs: DataFrame, digest: bool = False, block_bytes: int = BLO
     suffixes = written(sent.groupBy("bucket").applyInArrow(earlier_suffixes, kind), "suffixes")
     answers = samples.withColumn("kind", F.lit(0)).unionByName(suffixes.withColumn("kind", F.lit(1)))
     out = by_block.cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: remove(a, b, n, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out
+    none = F.lit(hashlib.sha256(b"").hexdigest().encode() if digest else b"")
+    return out.unionByName(copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), none.alias("kept")))

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from strandmark.llm import decontamination, fingerprints, html_text, lm_scoring, mixing, near_dedup, pii, quality, queries, substring_dedup, token_counts
+from strandmark.llm import common, decontamination, fingerprints, html_text, lm_scoring, mixing, near_dedup, pii, quality, queries, substring_dedup, token_counts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -225,7 +225,7 @@ def test_contamination(spark, sf_dir, docs, odd):
 def test_contamination_by_shuffle(spark, docs, sf_dir, monkeypatch):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     whole = sorted(map(tuple, decontamination.contamination(docs, bench).collect()))
-    monkeypatch.setattr(decontamination, "MOST_ROWS", 0)
+    monkeypatch.setattr(common, "MOST_ROWS", 0)
     assert sorted(map(tuple, decontamination.contamination(docs, bench).collect())) == whole
 
 
