@@ -7,10 +7,11 @@ points at weights up to its count, and keeps the earliest of each component: two
 component with a probability equal to their weighted Jaccard similarity. Points later than what can still
 matter are never made.
 
-Signatures are banded. Members of a band's bucket are linked to one member of it, another one in each
-band, and the links are verified on the multisets themselves; what then stands in one bucket but not in one
-class is compared across the classes. Pairs within a class are never listed. Documents with equal texts
-are one node throughout.
+Signatures are banded. Members of a band's bucket are held against one member of it, another one in each
+band, and verified on the multisets themselves. Verified pairs of LEAST make classes; those of at least
+FAMILY make families, and a family of more than one class is compared across its classes, tile by tile: a
+task has two tiles of it, counts all overlaps by products of incidence matrices, and returns no more links
+than join what was apart. Pairs are never listed. Documents with equal texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 from .common import forget, mix64, prefix_hash, sliced, span_hash, written
 
 WIDTH, LEAST = 5, 0.8
+FAMILY = 0.4
+#: Documents of a tile, and shingles that are counted at once.
+TILE, COLUMNS = 256, 8192
 #: 32 bands of 5: two documents of similarity 0.8 miss each other with a probability of 3e-6.
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
@@ -143,22 +147,72 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return float(shared / total) if total else 1.0
 
 
-def _verify(least: float):
-    def rows(batches):
-        for batch in batches:
-            ta, tb = batch["ta"].to_pylist(), batch["tb"].to_pylist()
-            keep = np.zeros(len(ta), bool)
-            sim = np.zeros(len(ta))
-            for a, b in sliced([len(x) + len(y) for x, y in zip(ta, tb, strict=True)]):
-                doc, h, count = bags(ta[a:b] + tb[a:b])
-                cut = np.searchsorted(doc, np.arange(2 * (b - a) + 1))
-                for i in range(b - a):
-                    x, y = (slice(cut[k], cut[k + 1]) for k in (i, i + b - a))
-                    sim[a + i] = similarity((h[x], count[x]), (h[y], count[y]))
-            keep = sim >= least
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(sim)], ["a", "b", "similarity"]).filter(pa.array(keep))
-
-    return rows
+def _verify(batches):
+    """Similarities of pairs of texts, where they are FAMILY at least."""
+    for batch in batches:
+        ta, tb = batch["ta"].to_pylist(), batch["tb"].to_pylist()
+        sim = np.zeros(len(ta))
+        for a, b in sliced([len(x) + len(y) for x, y in zip(ta, tb, strict=True)]):
+            doc, h, count = bags(ta[a:b] + tb[a:b])
+            cut = np.searchsorted(doc, np.arange(2 * (b - a) + 1))
+            for i in range(b - a):
+                x, y = (slice(cut[k], cut[k + 1]) for k in (i, i + b - a))
+                sim[a + i] = similarity((h[x], count[x]), (h[y], count[y]))
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(sim)], ["a", "b", "similarity"]).filter(pa.array(sim >= FAMILY))
+
+
+def similarities(texts: list[bytes]) -> np.ndarray:
+    """Weighted Jaccard of all pairs of a tile's texts. A shingle that occurs k times is k elements of a set, so overlaps are products of 0/1 matrices."""
+    doc, h, count = [], [], []
+    for a, b in sliced([len(t) for t in texts]):
+        d, x, c = bags(texts[a:b])
+        doc.append(d + a)
+        h.append(x)
+        count.append(c)
+    doc, h, count = (np.concatenate(x) for x in (doc, h, count))
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    doc, h = np.repeat(doc, count), mix64(np.repeat(h, count) + nth.astype(np.uint64) * G3)
+    size = np.bincount(doc, minlength=len(texts)).astype(np.float32)
+    order = np.argsort(h)
+    doc, h = doc[order], h[order]
+    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    element = np.cumsum(new) - 1
+    shared = np.bincount(element)[element] > 1 if len(h) else new
+    doc, element = doc[shared], element[shared]
+    element = np.unique(element, return_inverse=True)[1]
+    overlap = np.zeros((len(texts), len(texts)), np.float32)
+    for c in range(0, int(element.max()) + 1 if len(element) else 0, COLUMNS):
+        own = slice(*np.searchsorted(element, [c, c + COLUMNS]))
+        m = np.zeros((len(texts), COLUMNS), np.float32)
+        m[doc[own], element[own] - c] = 1
+        overlap += m @ m.T
+    return overlap / np.maximum(size[:, None] + size[None, :] - overlap, 1)
+
+
+def _tile(least: float):
+    def links(rows: pa.Table) -> pa.Table:
+        """Links of one pair of tiles that join classes: a spanning forest of all of them."""
+        order = np.argsort(np.array(rows["node"].to_pylist(), dtype=object), kind="stable")
+        rows = rows.take(pa.array(order))
+        nodes, root = rows["node"].to_pylist(), rows["root"].to_pylist()
+        of: dict = {r: r for r in root}
+
+        def find(x):
+            while of[x] != x:
+                of[x] = of[of[x]]
+                x = of[x]
+            return x
+
+        out: list[tuple] = []
+        if len(of) > 1:
+            i, j = np.nonzero(np.triu(similarities(rows["text"].to_pylist()) >= least, 1))
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                if (x := find(root[a])) != (y := find(root[b])):
+                    of[max(x, y)] = min(x, y)
+                    out.append((nodes[a], nodes[b]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,11 +268,11 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_verify(least), "a binary, b binary, similarity double")
+        return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary, similarity double")
 
     stars = written(member.where("node <> hub").groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("node").alias("of")).agg(F.count("*").alias("votes")), "stars")
-    first = stars.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("votes", F.xxhash64("a", "b"))).alias("p")).select("p.a", "p.b").distinct()
-    links = written(verified(first), "links-1")
+    first = written(stars.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("votes", F.xxhash64("a", "b"))).alias("p")).select("p.a", "p.b").distinct(), "first")
+    near = written(verified(first), "near-1")
 
     def across(pairs: DataFrame, of: DataFrame) -> DataFrame:
         """Those of the pairs whose ends are in two classes."""
@@ -226,22 +280,22 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
         found = pairs.join(x, "a", "left").join(y, "b", "left")
         return found.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    rest = across(stars.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), components(links))
-    links = written(links.select("a", "b").unionByName(verified(rest).select("a", "b")), "links-2")
-    # what shares a bucket over two classes after that, without what has been compared
-    of = written(components(links), "roots")
-    rooted = written(member.select("band", "key", "node").join(of, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band", "key")
-    open_ = written(rooted.join(mixed, ["band", "key"], "left_semi"), "open")
-    other = open_.select("band", "key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    last = open_.select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra")).join(other, ["band", "key"]).where("ra <> rb and a < b").select("a", "b").distinct()
-    last = last.join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    links = written(links.unionByName(verified(last).select("a", "b")), "links-3")
+    rest = across(stars.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), components(near.where(F.col("similarity") >= least)))
+    near = written(near.unionByName(verified(rest)), "near-2")
+    links = near.where(F.col("similarity") >= least).select("a", "b")
+    # families of more than one class
+    family = components(near).withColumnRenamed("root", "family").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    family = written(family, "families")
+    open_ = family.groupBy("family").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1").select("family", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    tiled = family.join(open_, "family").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiled = tiled.select("family", "node", "root", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    tiled = tiled.select("family", "node", "root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(texts, "node")
+    links = written(links.unionByName(tiled.groupBy("family", "i", "j").applyInArrow(_tile(least), "a binary, b binary")), "links")
     roots = components(links)
     placed = sketches.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sums = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     out = placed.join(sums, "root").select("doc_id", "class_id", "class_size")
-    forget(member, texts, rooted, open_, stars)
+    forget(member, texts, stars, first, near, family)
     return out
 
 

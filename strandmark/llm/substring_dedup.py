@@ -35,6 +35,14 @@ SAMPLE_BITS = 40
 
 _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
+_TILED = [np.tile(_IN_COVER, 4096)]
+
+
+def _cover(n: int) -> np.ndarray:
+    """Which of the first n places of a text are cover samples."""
+    if n > len(_TILED[0]):
+        _TILED[0] = np.tile(_IN_COVER, n // PERIOD + 1)
+    return _TILED[0][:n]
 
 
 def _slices(texts: list[bytes]):
@@ -43,8 +51,8 @@ def _slices(texts: list[bytes]):
         data = np.frombuffer(b"".join(texts[a:b]), np.uint8)
         sizes = np.array([len(t) for t in texts[a:b]], np.int64)
         starts = np.cumsum(sizes) - sizes
-        within = np.arange(len(data)) - np.repeat(starts, sizes)
-        yield a, b, data, starts, sizes, within, np.repeat(sizes, sizes) - within
+        within = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+        yield a, b, data, starts, sizes, within, np.repeat(sizes.astype(np.int32), sizes) - within
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -52,14 +60,18 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
 
 
-def sample_names(texts: list[bytes], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each slice: places of the cover samples, and their names with the bucket above SAMPLE_BITS bits."""
-    out = []
-    for _, _, data, _, _, within, left in _slices(texts):
-        at = np.flatnonzero(_IN_COVER[within % PERIOD] & (left >= SAMPLE))
-        h = span_hash(prefix_hash(data), at, at + SAMPLE)
-        out.append((at, (bucket_of(h, n) << np.uint64(SAMPLE_BITS)) | (h & np.uint64((1 << SAMPLE_BITS) - 1))))
-    return out
+def sample_names(texts: list[bytes], n: int) -> tuple[list[tuple], np.ndarray]:
+    """For each slice: its slice, prefix hashes and places of cover samples; and the names of all samples, with the bucket above SAMPLE_BITS bits."""
+    out, names = [], []
+    for part in _slices(texts):
+        data, sizes, left = part[2], part[4], part[6]
+        cover = np.concatenate([_cover(k) for k in sizes.tolist()]) if len(sizes) else np.zeros(0, bool)
+        at = np.flatnonzero(cover & (left >= SAMPLE))
+        prefix = prefix_hash(data)
+        h = span_hash(prefix, at, at + SAMPLE)
+        out.append((part, prefix, at))
+        names.append((bucket_of(h, n) << np.uint64(SAMPLE_BITS)) | (h & np.uint64((1 << SAMPLE_BITS) - 1)))
+    return out, np.concatenate(names) if names else np.zeros(0, np.uint64)
 
 
 SENT = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary())])
@@ -73,8 +85,7 @@ def _cuts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def send_samples(rows: pa.Table, n: int) -> pa.Table:
     """The block's sample names by bucket: five bytes each, once, or twice if the block has it more than once."""
     block = rows["block"][0].as_py()
-    parts = [x for _, x in sample_names(binary_list(rows["text"]), n)]
-    names = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    names = np.sort(sample_names(binary_list(rows["text"]), n)[1])
     keep = np.ones(len(names), bool)
     keep[2:] = (names[2:] != names[1:-1]) | (names[2:] != names[:-2])
     names = names[keep]
@@ -113,25 +124,29 @@ class Suffixes:
     """The suffixes of a block that may tie: text, place in it, and 80-bit names of their prefixes."""
 
     def __init__(self, texts: list[bytes], answers: pa.Table, n: int):
-        named = sample_names(texts, n)
-        every = np.unique(np.concatenate([x for _, x in named])) if named else np.zeros(0, np.uint64)
-        repeated = every[_bits(answers, every >> np.uint64(SAMPLE_BITS))]
-        text, place, h1, h2 = [], [], [], []
-        for (a, b, data, starts, sizes, within, left), (at, names) in zip(_slices(texts), named, strict=True):
-            k = np.minimum(np.searchsorted(repeated, names), max(0, len(repeated) - 1))
-            hit = at[repeated[k] == names] if len(repeated) else at[:0]
-            reach = np.zeros(len(data) + PERIOD + 1, np.int64)
+        slices, names = sample_names(texts, n)
+        order = np.argsort(names)
+        names = names[order]
+        new = np.concatenate(([True], names[1:] != names[:-1])) if len(names) else np.zeros(0, bool)
+        bits = _bits(answers, names[new] >> np.uint64(SAMPLE_BITS))
+        repeated = np.empty(len(names), bool)
+        repeated[order] = bits[np.cumsum(new) - 1]
+        text, place, h1, h2, done = [], [], [], [], 0
+        for (a, b, data, _, sizes, within, left), prefix, at in slices:
+            hit = at[repeated[done : done + len(at)]]
+            done += len(at)
+            reach = np.zeros(len(data) + PERIOD + 1, np.int32)
             reach[hit + 1] = 1
             np.cumsum(reach, out=reach)
             i = np.flatnonzero((reach[PERIOD : PERIOD + len(data)] > reach[: len(data)]) & (left >= LENGTH))
             # a sample in reach is of the same text, as the text goes on for LENGTH bytes
-            text.append((np.repeat(np.arange(a, b), sizes)[i]).astype(np.int32))
-            place.append(within[i].astype(np.int32))
-            prefix = prefix_hash(data)
+            text.append(np.repeat(np.arange(a, b, dtype=np.int32), sizes)[i])
+            place.append(within[i])
             h1.append(span_hash(prefix, i, i + LENGTH))
-            h2.append((span_hash(prefix_hash(data[::-1]), len(data) - i - LENGTH, len(data) - i) >> np.uint64(48)).astype(np.uint16))
+            # a second name, of the first half: two prefixes have to agree in both
+            h2.append((span_hash(prefix, i, i + LENGTH // 2) >> np.uint64(48)).astype(np.uint16))
         self.text, self.place, self.h1, self.h2 = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((text, np.int32), (place, np.int32), (h1, np.uint64), (h2, np.uint16)))
-        order = np.argsort(self.h1, kind="stable")
+        order = np.argsort(self.h1)
         self.text, self.place, self.h1, self.h2 = self.text[order], self.place[order], self.h1[order], self.h2[order]
         same = self.h1[1:] == self.h1[:-1]
         if (same & (self.h2[1:] != self.h2[:-1])).any():
