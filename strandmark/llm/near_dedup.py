@@ -27,6 +27,8 @@ WIDTH, LEAST = 5, 0.8
 FAMILY = 0.4
 #: Documents of a tile, and shingles that are counted at once.
 TILE, COLUMNS = 256, 8192
+#: Text bytes whose signatures are made at once.
+SLICE = 1 << 18
 #: 32 bands of 5: two documents of similarity 0.8 miss each other with a probability of 3e-6.
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
@@ -116,7 +118,7 @@ def _points(sig, doc, seed, count, until, low, high, level) -> None:
         np.minimum.at(flat, where[take], t[take])
         go = ok[:, -1]
         doc, seed, count, at = doc[go], seed[go], count[go], t[go, -1]
-        done, block = done + block, 64
+        done, block = done + block, min(64, 8 * (1 + done // 4))
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -130,7 +132,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def _sketch(batches):
     for batch in batches:
         texts = batch["text"].to_pylist()
-        for a, b in sliced([len(t) for t in texts]):
+        for a, b in sliced([len(t) for t in texts], SLICE):
             doc, h, count = bags(texts[a:b])
             keys = band_keys(signatures(doc, h, count, b - a))
             some = np.bincount(doc, minlength=b - a) > 0
