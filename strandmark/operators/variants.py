@@ -99,20 +99,20 @@ def indel_histogram(variant: DataFrame, most: int = 50) -> DataFrame:
 
 def discovery_curve(variant: DataFrame, sizes: list[int]) -> DataFrame:
     """Expected share of the variants that n samples show."""
-    each = variant.select("p", F.explode(F.array(*map(F.lit, sizes))).cast("bigint").alias("n"))
+    each = variant.select("p", F.explode(F.array(*map(F.lit, sizes)).cast("array<bigint>")).alias("n"))
     return each.groupBy("n").agg(F.avg(1 - F.pow(1 - F.col("p"), F.col("n"))).alias("share"))
 
 
 def variant_counts(variant: DataFrame, genotype: DataFrame, samples: list) -> DataFrame:
     """Variants by chromosome, of all and of each sample, with a total row (chrom null)."""
-    marks = genotype.where(F.col("sample").isin(samples)).groupBy("v_id").pivot("sample", samples).agg(F.count("*"))
+    marks = genotype.where(F.col("sample").isin(samples)).groupBy("v_id").pivot("sample", samples).agg(F.count(F.lit(1)))
     rows = variant.join(marks, "v_id", "left")
     return rows.rollup("chrom").agg(F.count("*").alias("population"), *(F.coalesce(F.sum(F.col(f"`{s}`")), F.lit(0)).alias(f"s{s}") for s in samples))
 
 
 def weighted_sample(variant: DataFrame, seed: int, samples: int, draws: int = 2) -> DataFrame:
     """Each row kept with its own probability, in each draw of each sample, by the hash of its key."""
-    each = variant.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))).cast("bigint")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).cast("bigint"))
+    each = variant.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)).cast("array<bigint>"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")))
     return each.where(X.hash_uniform(F.lit(seed), F.col("sample"), F.col("copy"), F.col("chrom"), F.col("v_id")) < F.col("p"))
 
 
