@@ -7,11 +7,13 @@ points at weights up to its count, and keeps the earliest of each component: two
 component with a probability equal to their weighted Jaccard similarity. Points later than what can still
 matter are never made.
 
-Signatures are banded. Members of a band's bucket are held against one member of it, another one in each
-band, and verified on the multisets themselves. Verified pairs of LEAST make classes; those of at least
-FAMILY make families, and a family of more than one class is compared across its classes, tile by tile: a
-task has two tiles of it, counts all overlaps by products of incidence matrices, and returns no more links
-than join what was apart. Pairs are never listed. Documents with equal texts are one node throughout.
+Signatures are banded, and pairs are verified on the multisets themselves. First, each text is held against
+one first member of its buckets in the FIRST bands, and takes that one's label if it is like it. Then, in every
+bucket that still holds several labels, one member of each is held against one of another, another one in each
+band. Verified pairs of LEAST make classes; those of at least FAMILY make families, and a family of more than
+one class is compared across its classes, tile by tile: a task has two tiles of it, counts all overlaps by
+products of incidence matrices, and returns no more links than join what was apart. Pairs are never listed.
+Documents with equal texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SLICE = 1 << 18
 #: 32 bands of 5: two documents of similarity 0.8 miss each other with a probability of 3e-6.
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
+#: Bands of the first pass.
+FIRST = 4
 G1, G2, G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -260,44 +264,63 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5("text")))
     sketches = rows.select("node", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sketch, "node binary, doc_id long, bands array<long>")
     sketches = written(sketches, "sketches")
-    banded = sketches.where(F.size("bands") > 0).dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("band", "key"))
-    order = F.xxhash64("node", "band")
-    buckets = banded.groupBy("band", "key").agg(F.min_by("node", order).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = written(banded.join(buckets, ["band", "key"]), "members")
-    texts = written(
-        rows.select("node", F.col("text").cast("binary").alias("text")).join(member.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts"
-    )
+    nodes = written(sketches.where(F.size("bands") > 0).dropDuplicates(["node"]).select("node", "bands"), "nodes")
+
+    def texts_of(which: DataFrame) -> DataFrame:
+        return written(rows.select("node", F.col("text").cast("binary").alias("text")).join(which, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary, similarity double")
-
-    stars = written(member.where("node <> hub").groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("node").alias("of")).agg(F.count("*").alias("votes")), "stars")
-    first = written(stars.groupBy("of").agg(F.max_by(F.struct("a", "b"), F.struct("votes", F.xxhash64("a", "b"))).alias("p")).select("p.a", "p.b").distinct(), "first")
-    near = written(verified(first), "near-1")
-
-    def across(pairs: DataFrame, of: DataFrame) -> DataFrame:
-        """Those of the pairs whose ends are in two classes."""
-        x, y = of.select(F.col("node").alias("a"), F.col("root").alias("ra")), of.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        found = pairs.join(x, "a", "left").join(y, "b", "left")
-        return found.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-    rest = across(stars.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), components(near.where(F.col("similarity") >= least)))
-    near = written(near.unionByName(verified(rest)), "near-2")
-    links = near.where(F.col("similarity") >= least).select("a", "b")
-    # families of more than one class
-    family = components(near).withColumnRenamed("root", "family").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    family = written(family, "families")
-    open_ = family.groupBy("family").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 <> r1").select("family", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    tiled = family.join(open_, "family").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiled = tiled.select("family", "node", "root", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    tiled = tiled.select("family", "node", "root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(texts, "node")
-    links = written(links.unionByName(tiled.groupBy("family", "i", "j").applyInArrow(_tile(least), "a binary, b binary")), "links")
-    roots = components(links)
-    placed = sketches.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return written(both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary, similarity double"), "near")
+
+    # a label for what is like the first member of a bucket of the first bands: one pair for each text
+    early = nodes.select("node", F.posexplode(F.slice("bands", 1, FIRST)).alias("band", "key"))
+    hubs = early.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = early.join(hubs, ["band", "key"]).where("node <> hub.node").groupBy("node").agg(F.min("hub").alias("hub"))
+    stars = written(stars.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), "stars")
+    texts = texts_of(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct())
+    near = verified(stars, texts)
+    step = near.where(F.col("similarity") >= least).select(F.col("a").alias("node"), F.col("b").alias("label"))
+    jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
+    labels = written(step.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+
+    def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
+        return df.join(labels.select(F.col("node").alias(node), F.col("label").alias("_l")), node, "left").withColumn(label, F.coalesce("_l", node)).drop("_l")
+
+    # all bands: one member of each label that a bucket holds, where it holds several
+    order = F.xxhash64("node", "band")
+    each = labelled(nodes, "node", "label").select("node", "label", F.posexplode("bands").alias("band", "key")).groupBy("band", "key", "label").agg(F.min(F.struct(order.alias("o"), "node")).alias("m"))
+    hubs = each.groupBy("band", "key").agg(F.min("m").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    more = each.join(hubs, ["band", "key"]).where("m <> hub").select(F.least("m.node", "hub.node").alias("a"), F.greatest("m.node", "hub.node").alias("b")).distinct()
+    more = written(more, "stars")
+    others = texts_of(more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(texts.select("node"), "node", "left_anti"))
+    texts_all = texts.unionByName(others)
+    later = verified(more, texts_all)
+
+    def between(pairs: DataFrame) -> DataFrame:
+        """Pairs of texts as pairs of their labels, where these are two."""
+        both = labelled(labelled(pairs, "a", "la"), "b", "lb").where("la <> lb")
+        return both.drop("a", "b").withColumnsRenamed({"la": "a", "lb": "b"})
+
+    edges = written(between(near.unionByName(later)), "edges")
+    links = edges.where(F.col("similarity") >= least).select("a", "b")
+    # families of more than one class; the largest class of one isn't compared within itself
+    family = components(edges).select(F.col("node").alias("label"), F.col("root").alias("family"))
+    member = labelled(texts_all.select("node"), "node", "label").join(family, "label")
+    member = written(member.join(components(links).withColumnRenamed("node", "label"), "label", "left").select("family", "node", F.coalesce("root", "label").alias("root")), "families")
+    sizes = member.groupBy("family", "root").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("family").agg(F.max(F.struct("n", "root")).alias("big"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    open_ = open_.select("family", F.col("big.root").alias("big"), F.ceil(F.col("big.n") / TILE).cast("int").alias("tb"), F.ceil((F.col("n") - F.col("big.n")) / TILE).cast("int").alias("to"))
+    main = F.col("root") == F.col("big")
+    spot = F.when(main, F.pmod(F.xxhash64("node"), F.col("tb"))).otherwise(F.col("tb") + F.pmod(F.xxhash64("node"), F.col("to"))).cast("int")
+    tiled = member.join(open_, "family").select("family", "node", "root", spot.alias("tile"), F.explode(F.sequence(F.when(main, F.col("tb")).otherwise(0), F.col("tb") + F.col("to") - 1)).alias("other"))
+    tiled = tiled.select("family", "node", "root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(texts_all, "node")
+    found = written(tiled.groupBy("family", "i", "j").applyInArrow(_tile(least), "a binary, b binary"), "links")
+    roots = components(links.unionByName(between(found)))
+    placed = labelled(sketches.select("doc_id", "node"), "node", "label").join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("root", F.coalesce("root", "label"))
     sums = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     out = placed.join(sums, "root").select("doc_id", "class_id", "class_size")
-    forget(member, texts, stars, first, near, family)
+    forget(nodes, stars, texts, near, more, others, later, edges, member, found)
     return out
 
 
