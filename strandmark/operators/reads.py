@@ -160,3 +160,82 @@ def pair_mates(alignments: DataFrame) -> DataFrame:
     """A row for each template with both its reads."""
     side = lambda k: F.max(F.when(F.col("is_read1") == k, F.struct("apos", "acigar")))
     return alignments.groupBy("qname").agg(side(1).alias("r1"), side(0).alias("r2")).where("r1 is not null and r2 is not null").select("qname", F.col("r1.apos").alias("pos_1"), F.col("r2.apos").alias("pos_2"))
+
+
+def region_by_fraction(df: DataFrame, contig: DataFrame, regions: list[tuple]) -> DataFrame:
+    """Rows inside the given shares of their chromosomes: (chrom, f0, f1) in either order of f0 and f1, or (chrom,) for all of it."""
+    rows = [(r[0], min(r[1:], default=0.0), max(r[1:], default=1.0)) for r in regions]
+    cut = df.sparkSession.createDataFrame(rows, "chrom long, f0 double, f1 double").join(contig.select("chrom", "seq_len"), "chrom")
+    cut = cut.select("chrom", (F.col("f0") * F.col("seq_len")).alias("r0"), (F.col("f1") * F.col("seq_len")).alias("r1"))
+    near = F.broadcast(cut.alias("r"))  # a row for each region asked for
+    return df.alias("d").join(near, (F.col("d.chrom") == F.col("r.chrom")) & F.col("d.pos").between(F.col("r.r0"), F.col("r.r1")), "left_semi")
+
+
+def check_same_reference(c1: DataFrame, c2: DataFrame) -> DataFrame:
+    """(same): whether two contig lists (chrom, seq_len) have the same places with the same lengths."""
+    both = c1.select("chrom", F.col("seq_len").alias("l1")).join(c2.select("chrom", F.col("seq_len").alias("l2")), "chrom", "full_outer")
+    return both.agg((F.count_if(~F.col("l1").eqNullSafe(F.col("l2"))) == 0).alias("same"))
+
+
+def pairwise_runs(acc: DataFrame) -> DataFrame:
+    """Differences of accuracy at each x, for pairs of runs; acc(run, x, correct, total) has a row for each run and length."""
+    pct = F.when(F.col("total") > 0, F.col("correct") / F.col("total") * 100)
+    a = acc.select("x", F.col("run").alias("run_1"), pct.alias("p1"))
+    b = acc.select("x", F.col("run").alias("run_2"), pct.alias("p2"))
+    return a.join(b, "x").where("run_1 < run_2").select("run_1", "run_2", "x", (F.col("p2") - F.col("p1")).alias("diff"))
+
+
+def reads_near_variants(reads: DataFrame, windows: DataFrame) -> DataFrame:
+    """Reads that touch a window(chrom, start, end) of a variant."""
+    w = windows.select("chrom", F.col("start").alias("f_start"), F.col("end").alias("f_stop"))
+    return reads.join(overlap_join(reads.select("read_serial", "chrom", "pos", "read_stop"), w).select("read_serial").distinct(), "read_serial", "left_semi")
+
+
+def accuracy_by_neighbour(hits: DataFrame, nearest: DataFrame, most: int, most_dist: int) -> DataFrame:
+    """(x1, x2, dist, correct, total): own length, length of the nearest variant and distance to it, each cut off at its limit."""
+    near = nearest.where("dist is not null").select("v_id", X.clip_index(F.col("length"), most).alias("x2"), X.clip_index(F.col("dist"), most_dist).alias("dist"))
+    cube = hits.select("v_id", "xf", X.clip_index(F.col("x"), most).alias("x1")).join(near, "v_id")
+    return cube.groupBy("x1", "x2", "dist").agg(F.count_if(F.col("xf") == 1).alias("correct"), F.count("*").alias("total"))
+
+
+def histogram2d(df: DataFrame, x: str, y: str, most: int, bins: int = 100) -> DataFrame:
+    """(bx, by, n) of two coordinates from 0 to most; the last bin has its end."""
+    cut = lambda c: F.least(F.expr(f"({c} * {bins}) div {most}"), F.lit(bins - 1))
+    return df.where(F.col(x).between(0, most) & F.col(y).between(0, most)).groupBy(cut(x).alias("bx"), cut(y).alias("by")).agg(F.count("*").alias("n"))
+
+
+def mean_coverage(reads: DataFrame, contig: DataFrame) -> DataFrame:
+    """Bases of the reads over the bases of the contigs."""
+    return reads.agg(F.sum("rlen").alias("bases")).join(contig.agg(F.sum("seq_len").alias("all"))).select((F.col("bases") / F.col("all")).alias("coverage"))
+
+
+def run_report(runs: DataFrame, acc: DataFrame) -> DataFrame:
+    """runs(run, ...) with the accuracy summary of each; acc(run, x, correct, total)."""
+    pct = F.when(F.col("total") > 0, F.col("correct") / F.col("total") * 100)
+    bands = {"snp": F.col("x") == 0, "del_long": F.col("x") <= -20, "del_short": (F.col("x") > -20) & (F.col("x") < 0), "ins_short": (F.col("x") > 0) & (F.col("x") < 20), "ins_long": F.col("x") >= 20}
+    return runs.join(acc.groupBy("run").agg(*(F.avg(F.when(c, pct)).alias(k) for k, c in bands.items())), "run", "left")
+
+
+def serialise(df: DataFrame, order: list, bucket: Column, by: tuple = (), name: str = "serial") -> DataFrame:
+    """Numbers the rows from 0 in the given order. The bucket follows the order; rows are numbered inside buckets, and only sizes of buckets are summed over all."""
+    sizes = df.groupBy(*by, bucket.alias("_b")).count()
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*by, "_b", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_n"))
+    own = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order)) - 1
+    return df.withColumn("_b", bucket).join(before, [*by, "_b"]).withColumn(name, (F.col("_n") + own).cast("bigint")).drop("_b", "_n")
+
+
+def truth_names(scored: DataFrame, width: int = 10000) -> DataFrame:
+    """(serial, qname) of a truth read set from aligned templates: numbered by place, named by where their reads lie."""
+    pairs = scored.where("is_unmapped = 0").groupBy(F.expr("read_serial div 10").alias("rs")).agg(
+        *(F.max(F.when(F.col("read_serial") % 10 == k, F.struct("a_chrom", "a_pos", "a_cigar", "ro"))).alias(f"r{k}") for k in (0, 1))
+    ).where("r0 is not null and r1 is not null")
+    pairs = pairs.select("rs", "r0", "r1", F.col("r0.a_chrom").alias("c"), F.col("r0.a_pos").alias("p"))
+    numbered = serialise(pairs, ["p", "rs"], F.struct("c", X.bin_of("p", width)))
+    side = lambda k: [F.col(f"{k}.ro"), F.col(f"{k}.a_pos"), F.lit(100), F.col(f"{k}.a_cigar")]
+    return numbered.select("serial", X.encode_qname(F.col("serial"), F.col("c") + 1, F.lit(0), *side("r0"), *side("r1")).alias("qname"))
+
+
+def run_counts(kinds: DataFrame) -> DataFrame:
+    """How many reads are wrong alike, wrong differently, or wrong in one run alone; of compare_runs()."""
+    return kinds.agg(*(F.count_if(F.col("kind") == k).alias(n) for k, n in (("identical", "joint_identical"), ("different", "joint_different"), ("only_1", "b1"), ("only_2", "b2"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
@@ -31,3 +31,59 @@ def gc_windows(seqs: DataFrame, window: int) -> DataFrame:
 
 def contig_stats(seqs: DataFrame) -> DataFrame:
     return seqs.select("seq_no", F.length("seq").cast("bigint").alias("seq_len"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
+def chunked(seqs: DataFrame, width: int) -> DataFrame:
+    """(seq_no, chunk_no, bases): the sequences in pieces of the width, so that joins never move a whole one."""
+    at = F.sequence(F.lit(0), F.expr(f"(length(seq) - 1) div {width}"))
+    cut = seqs.where(F.length("seq") > 0).select("seq_no", "seq", F.explode(at).alias("chunk_no"))
+    return cut.select("seq_no", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.expr(f"substring(seq, cast(chunk_no * {width} + 1 as int), {width})").alias("bases"))
+
+
+def spans_on_sequence(spans: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
+    """(key columns, at, piece) of the bases under [pos, stop) of each span, a row for each chunk that it touches."""
+    touched = spans.where("stop > pos").withColumn("chunk_no", F.explode(F.expr(f"sequence(pos div {width}, (stop - 1) div {width})")))
+    both = touched.join(chunks, ["seq_no", "chunk_no"])
+    lo, hi = F.greatest(F.col("pos"), F.col("chunk_no") * width), F.least(F.col("stop"), F.col("chunk_no") * width + F.length("bases"))
+    both = both.withColumn("at", lo).withColumn("n", hi - lo).where("n > 0")
+    return both.withColumn("piece", F.expr(f"substring(bases, cast(at - chunk_no * {width} + 1 as int), cast(n as int))")).drop("bases", "n", "chunk_no")
+
+
+def legal_variants(variant: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
+    """Variants that lie on their sequence as a whole and on no N."""
+    got = spans_on_sequence(variant.select("v_id", "seq_no", "pos", "stop"), chunks, width).groupBy("v_id").agg(F.sum(F.length("piece")).alias("n"), F.bool_or(F.contains("piece", F.lit("N"))).alias("has_n"))
+    return variant.join(got, "v_id").where(~F.col("has_n") & (F.col("n") == F.col("stop") - F.col("pos"))).drop("n", "has_n")
+
+
+def kmer_score(seqs: DataFrame, table: DataFrame, k: int, step: int) -> DataFrame:
+    """(seq_no, at, score): at every step bases, the count of the k-mer there; unseen ones, and those that the end cuts, count one."""
+    at = F.sequence(F.lit(0), F.expr(f"length(seq) div {step} - 1"))
+    cut = seqs.where(F.length("seq") >= step).select("seq_no", "seq", F.explode(at).alias("i"))
+    cut = cut.select("seq_no", (F.col("i") * step).cast("bigint").alias("at"), F.expr(f"substring(seq, cast(i * {step} + 1 as int), {k})").alias("kmer"))
+    return cut.join(table, "kmer", "left").select("seq_no", "at", F.coalesce("n", F.lit(1)).alias("score"))
+
+
+def gc_with_coverage(gc: DataFrame, coverage: DataFrame) -> DataFrame:
+    """GC windows with reads counted in them; sequences without reads are left out, windows without reads have 0."""
+    some = coverage.select("seq_no").distinct()
+    return gc.join(some, "seq_no", "left_semi").join(coverage, ["seq_no", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def consensus_pieces(seqs: DataFrame, variant: DataFrame) -> DataFrame:
+    """(seq_no, alt_start, piece): the sequence of a copy with its variants applied, in pieces.
+
+    variant(seq_no, pos, stop, alt) of one copy, free of collisions. Reference pieces lie between them.
+    """
+    w = Window.partitionBy("seq_no").orderBy("pos")
+    v = variant.select("seq_no", "pos", "stop", "alt").withColumn("from", F.coalesce(F.lag("stop").over(w), F.lit(0)))
+    parts = v.select("seq_no", "from", F.col("pos").alias("to"), "alt")
+    last = seqs.select("seq_no").join(v.groupBy("seq_no").agg(F.max("stop").alias("from")), "seq_no", "left").select("seq_no", F.coalesce("from", F.lit(0)).alias("from"), F.lit(None).cast("bigint").alias("to"), F.lit("").alias("alt"))
+    cut = parts.unionByName(last).join(seqs, "seq_no").withColumn("to", F.coalesce("to", F.length("seq").cast("bigint")))
+    cut = cut.select("seq_no", "from", "to", F.concat(F.expr("substring(seq, cast(`from` + 1 as int), cast(`to` - `from` as int))"), "alt").alias("piece"))
+    before = F.sum(F.length("piece")).over(Window.partitionBy("seq_no").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1))
+    return cut.select("seq_no", F.coalesce(before, F.lit(0)).alias("alt_start"), "piece")
+
+
+def consensus(pieces: DataFrame) -> DataFrame:
+    """(seq_no, seq) of the pieces, in their order."""
+    return pieces.groupBy("seq_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("alt_start", "piece"))), lambda x: x["piece"]), "").alias("seq"))

@@ -124,3 +124,58 @@ def cap_rows(df: DataFrame, by: list[str], n: int, seed: int) -> DataFrame:
 
 def variant_windows(variant: DataFrame, contig: DataFrame, w: int) -> DataFrame:
     return variant.join(contig, "chrom").select("v_id", "chrom", F.greatest(F.col("pos") - w, F.lit(0)).alias("start"), F.least(F.col("pos") + w, F.col("seq_len")).alias("end"))
+
+
+def flag_multiallelic(copies: DataFrame, by: list[str]) -> DataFrame:
+    """Places where the two copies have different variants; (by, copy, pos, v_id) as for merge_diploid."""
+    side = lambda k: F.max(F.when(F.col("copy") == k, F.col("v_id")))
+    return copies.groupBy(*by, "pos").agg(side(0).alias("z0"), side(1).alias("z1")).where("z0 <> z1")
+
+
+def spectrum_histogram(variant: DataFrame, spectrum: list[tuple[float, float]]) -> DataFrame:
+    """(level, actual, ideal) by levels of p; bins end half way to the next level, the last one includes its end."""
+    levels = [p for p, _ in spectrum]
+    half = [(b - a) / 2 for a, b in zip(levels, levels[1:], strict=False)] or [0.5]
+    edges = [0.0, *(p + h for p, h in zip(levels[:-1], half, strict=False)), levels[-1] + half[-1]]
+    at = F.lit(None).cast("int")
+    for i in reversed(range(len(levels))):
+        upper = F.col("p") <= edges[i + 1] if i == len(levels) - 1 else F.col("p") < edges[i + 1]
+        at = F.when((F.col("p") >= edges[i]) & upper, i).otherwise(at)
+    got = variant.groupBy(at.alias("i")).agg(F.count("*").alias("n"))
+    every = variant.sparkSession.createDataFrame([(i, p, f) for i, (p, f) in enumerate(spectrum)], "i int, level double, share double")
+    total = variant.agg(F.count("*").alias("total"))
+    return every.join(got, "i", "left").join(total).select("level", F.coalesce("n", F.lit(0)).alias("actual"), (F.col("share") * F.col("total")).alias("ideal"))
+
+
+def force_homozygous(variant: DataFrame, seed: int, samples: int) -> DataFrame:
+    """weighted_sample() whose second draw is the first one again: (v_id, sample, gt 2)."""
+    each = variant.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)).cast("array<bigint>")))
+    return each.where(X.hash_uniform(F.lit(seed), F.col("sample"), F.col("chrom"), F.col("v_id")) < F.col("p")).withColumn("gt", F.lit(2).cast("bigint"))
+
+
+def nested_samples(variant: DataFrame, p_vx: float, p_vn: list[float], seed: int) -> DataFrame:
+    """(name, copy, chrom, v_id): cohorts v0, v1, ... each within the next, and vx, that meets all of them in what it shares with v0.
+
+    vx takes the first int(n * p_vx) rows of each chromosome and copy in hash order.
+    """
+    from .reads import serialise
+
+    u = lambda salt: X.hash_uniform(F.lit(seed), F.lit(salt), F.col("copy"), F.col("chrom"), F.col("v_id"))
+    each = variant.select("chrom", "v_id", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("copy")).withColumn("rank_u", u("vx")).withColumn("u", u("v"))
+    ranked = serialise(each, ["rank_u", "v_id"], F.floor(F.col("rank_u") * 1024), ("chrom", "copy"), "rank")
+    sizes = variant.groupBy("chrom").agg(F.count("*").alias("n"))
+    marked = ranked.join(sizes, "chrom").withColumn("in_vx", F.col("rank") < F.floor(F.col("n") * F.lit(p_vx)))
+    usable = ~(F.col("in_vx") & (F.col("u") >= p_vn[0]))
+    names = F.array(F.when(F.col("in_vx"), F.lit("vx")), *(F.when(usable & (F.col("u") < p), F.lit(f"v{k}")) for k, p in enumerate(p_vn)))
+    return marked.select(F.explode(F.array_compact(names)).alias("name"), "copy", "chrom", "v_id")
+
+
+def sample_n(df: DataFrame, n: int, seed: int, key: str = "v_id") -> DataFrame:
+    """n rows by hash order, or all if there are fewer."""
+    return df.orderBy(X.hash_uniform(F.lit(seed), F.col(key)), key).limit(n)
+
+
+def diploid_samples(variant: DataFrame, seed: int, samples: int) -> DataFrame:
+    """(sample, chrom, pos, v_id, gt) of drawn samples: both copies drawn, freed of collisions and merged."""
+    drawn = weighted_sample(variant, seed, samples).select("sample", "copy", "chrom", "pos", "stop", "v_id")
+    return merge_diploid(remove_collisions(drawn, ["sample", "copy", "chrom"]), ["sample", "chrom"])

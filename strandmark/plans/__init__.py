@@ -1,5 +1,11 @@
 """Registered queries over the fixture views, each with the SQL that says the same."""
 
-from .registry import oracle_sql, queries
+from . import more
+from .registry import oracle_sql
+from .registry import queries as _queries
 
 __all__ = ["oracle_sql", "queries"]
+
+
+def queries() -> dict:
+    return _queries() | more.PLAIN

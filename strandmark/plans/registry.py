@@ -17,6 +17,10 @@ FIXTURES = {
          case when p_size % 41 < 20 then repeat('A', cast(21 - p_size % 41 as int)) else 'A' end as ref,
          case when p_size % 41 > 20 then concat('A', repeat('C', cast(p_size % 41 - 20 as int))) when p_size % 41 = 20 then 'G' else 'A' end as alt,
          cast((p_partkey % 100) as double)/100.0 as p from part) t""",
+    "fx_site": """select v_id, seq_no, pos, pos+length(ref) as stop, ref, alt from (
+  select cast(p_partkey as bigint) v_id, cast(p_partkey % 997 as bigint) seq_no, cast((p_partkey*7919) % 1200 as bigint) pos,
+         case when p_size % 41 < 20 then repeat('A', cast(21 - p_size % 41 as int)) else 'A' end as ref,
+         case when p_size % 41 > 20 then concat('A', repeat('C', cast(p_size % 41 - 20 as int))) when p_size % 41 = 20 then 'G' else 'A' end as alt from part) t""",
     "fx_genotype": "select cast(l_suppkey as bigint) sample, cast(l_partkey as bigint) v_id, cast(min(l_linenumber) % 3 as bigint) gt from lineitem group by l_suppkey, l_partkey",
     "fx_truth": """select rs, chrom, cpy, ro, pos, 1-ro as ro_m, pos + 150 as pos_m, 100 as rl, '100=' as cigar from (
   select cast((l_orderkey*10+l_linenumber)*10 + row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_shipdate, l_extendedprice) as bigint) rs,
@@ -30,7 +34,7 @@ from fx_truth cross join (select cast(1 as bigint) is_read1 union all select cas
     "fx_seq": """select cast(doc_id as bigint) seq_no, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACCTACGTACGTANGTACGTACGTACACCTACGTACGTANGTACGTACGTAC'), '[^ACGTN]', 'N'G) seq from documents""",
 }
 NEEDS = {"fx_align": ["fx_truth"]}
-TABLES = {"fx_contig": "region", "fx_variant": "part", "fx_genotype": "lineitem", "fx_truth": "lineitem", "fx_align": "lineitem", "fx_seq": "documents"}
+TABLES = {"fx_contig": "region", "fx_variant": "part", "fx_site": "part", "fx_genotype": "lineitem", "fx_truth": "lineitem", "fx_align": "lineitem", "fx_seq": "documents"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,9 +31,13 @@ def read_sam_contigs(spark: SparkSession, path: str) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, seq) of each record, read a record at a time; letters folded to ACGTN."""
     record = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    return record.select(*_record())
+
+
+def _record() -> list:
     head = F.regexp_extract("value", r"^([^\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
-    return record.select(head.alias("seq_id"), X.normalize_bases(body).alias("seq"))
+    return [head.alias("seq_id"), X.normalize_bases(body).alias("seq")]
 
 
 def read_vcf(spark: SparkSession, path: str, sample_column: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -65,3 +69,21 @@ def write_scored(scored: DataFrame, path: str, condensed: bool = True) -> None:
     """Scored reads by chromosome and place; condensed leaves out seq and qual."""
     out = scored.drop("seq", "qual") if condensed else scored
     out.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").write.partitionBy("chrom").parquet(path)
+
+
+def read_fasta_dir(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, seq_id, seq) of a folder of chrN.fa files."""
+    record = spark.read.option("lineSep", ">").text(f"{path}/chr*.fa").where(F.length(F.trim("value")) > 0).select("value", F.col("_metadata.file_name").alias("name"))
+    return record.select(F.regexp_extract("name", r"chr(\d+)\.fa$", 1).cast("bigint").alias("chrom"), *_record())
+
+
+def read_contig_index(spark: SparkSession, path: str) -> DataFrame:
+    """(seq_id, seq_len, seq_md5) of a tab-separated index."""
+    return spark.read.csv(path, sep="\t", schema="seq_id string, seq_len long, seq_md5 string")
+
+
+def write_fasta_split(seqs: DataFrame, path: str) -> None:
+    """A folder for each chromosome of (chrom, seq_id, seq), upper-cased, and the index of all."""
+    up = seqs.withColumn("seq", F.upper("seq"))
+    up.select("chrom", F.concat(F.lit(">"), "seq_id", F.lit("\n"), "seq").alias("value")).write.partitionBy("chrom").text(f"{path}/fasta")
+    up.select("seq_id", F.length("seq").cast("bigint").alias("seq_len"), F.md5(F.col("seq").cast("binary")).alias("seq_md5")).write.csv(f"{path}/index", sep="\t")
