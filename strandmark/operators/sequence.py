@@ -8,10 +8,24 @@ from pyspark.sql import functions as F
 from .. import functions as X
 
 
+#: Bases that positions are counted in at once: finding a place in a string takes time with its distance from the start.
+PART = 1024
+
+
+def parts(seqs: DataFrame, width: int, more: int = 0) -> DataFrame:
+    """(seq_no, length, c, part): consecutive parts of the width, each with the next bases after it."""
+    pattern = f"(?s)(?=(.{{1,{width + more}}})).{{1,{width}}}"
+    cut = F.regexp_extract_all("seq", F.lit(pattern), 1)
+    return seqs.where(F.length("seq") > 0).select("seq_no", F.length("seq").alias("length"), F.posexplode(cut).alias("c", "part"))
+
+
 def kmers(seqs: DataFrame, k: int, step: int = 1) -> DataFrame:
     """A row for each k-mer at every step bases."""
-    at = F.sequence(F.lit(1), F.length("seq") - k + 1, F.lit(step))
-    return seqs.where(F.length("seq") >= k).select("seq_no", F.explode(at).alias("at"), "seq").select("seq_no", (F.col("at") - 1).cast("bigint").alias("at"), F.expr(f"substring(seq, at, {k})").alias("kmer"))
+    width = step * max(1, PART // step)
+    cut = parts(seqs, width, k - 1).where(F.length("part") >= k)
+    at = F.sequence(F.lit(0), F.least(F.length("part") - k, F.lit(width - 1)), F.lit(step))
+    each = cut.select("seq_no", "c", "part", F.explode(at).alias("i"))
+    return each.select("seq_no", (F.col("c").cast("bigint") * width + F.col("i")).alias("at"), F.expr(f"substring(part, i + 1, {k})").alias("kmer"))
 
 
 def kmer_count(seqs: DataFrame, k: int) -> DataFrame:
@@ -24,9 +38,7 @@ def kmer_mean_score(seqs: DataFrame, table: DataFrame, k: int) -> DataFrame:
 
 
 def gc_windows(seqs: DataFrame, window: int) -> DataFrame:
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"(length(seq) - 1) div {window}")))
-    cut = seqs.where(F.length("seq") > 0).select("seq_no", "seq", F.explode(at).alias("bin"))
-    return cut.select("seq_no", F.col("bin").cast("bigint").alias("bin"), X.gc_fraction(F.expr(f"substring(seq, cast(bin * {window} + 1 as int), {window})"), window).alias("gc"))
+    return parts(seqs, window).select("seq_no", F.col("c").cast("bigint").alias("bin"), X.gc_fraction(F.col("part"), window).alias("gc"))
 
 
 def contig_stats(seqs: DataFrame) -> DataFrame:
@@ -35,9 +47,7 @@ def contig_stats(seqs: DataFrame) -> DataFrame:
 
 def chunked(seqs: DataFrame, width: int) -> DataFrame:
     """(seq_no, chunk_no, bases): the sequences in pieces of the width, so that joins never move a whole one."""
-    at = F.sequence(F.lit(0), F.expr(f"(length(seq) - 1) div {width}"))
-    cut = seqs.where(F.length("seq") > 0).select("seq_no", "seq", F.explode(at).alias("chunk_no"))
-    return cut.select("seq_no", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.expr(f"substring(seq, cast(chunk_no * {width} + 1 as int), {width})").alias("bases"))
+    return parts(seqs, width).select("seq_no", F.col("c").cast("bigint").alias("chunk_no"), F.col("part").alias("bases"))
 
 
 def spans_on_sequence(spans: DataFrame, chunks: DataFrame, width: int) -> DataFrame:
@@ -57,9 +67,11 @@ def legal_variants(variant: DataFrame, chunks: DataFrame, width: int) -> DataFra
 
 def kmer_score(seqs: DataFrame, table: DataFrame, k: int, step: int) -> DataFrame:
     """(seq_no, at, score): at every step bases, the count of the k-mer there; unseen ones, and those that the end cuts, count one."""
-    at = F.sequence(F.lit(0), F.expr(f"length(seq) div {step} - 1"))
-    cut = seqs.where(F.length("seq") >= step).select("seq_no", "seq", F.explode(at).alias("i"))
-    cut = cut.select("seq_no", (F.col("i") * step).cast("bigint").alias("at"), F.expr(f"substring(seq, cast(i * {step} + 1 as int), {k})").alias("kmer"))
+    width = step * max(1, PART // step)
+    left = F.expr(f"least({width}, (length div {step}) * {step} - c * {width})")
+    cut = parts(seqs, width, k - 1).withColumn("left", left).where("left > 0")
+    cut = cut.select("seq_no", "c", "part", F.explode(F.sequence(F.lit(0), F.col("left") - 1, F.lit(step).cast("bigint"))).alias("i"))
+    cut = cut.select("seq_no", (F.col("c").cast("bigint") * width + F.col("i")).alias("at"), F.expr(f"substring(part, cast(i + 1 as int), {k})").alias("kmer"))
     return cut.join(table, "kmer", "left").select("seq_no", "at", F.coalesce("n", F.lit(1)).alias("score"))
 
 

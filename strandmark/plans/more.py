@@ -23,7 +23,8 @@ RUNS = ("runs as (select 'a' run, x, xf from hits union all select 'b', x, xf fr
 
 
 def copies(spark: SparkSession, d: str) -> DataFrame:
-    s = V.sample_variants(view(spark, d, "fx_variant"), view(spark, d, "fx_genotype"))
+    """Genotypes of both copies by stretches of 5000 bases, so that copies meet at a place."""
+    s = V.sample_variants(view(spark, d, "fx_variant"), view(spark, d, "fx_genotype")).withColumn("pos", X.bin_of("pos", 5000))
     one = [V.copy_variants(s, k).groupBy("sample", "chrom", "pos").agg(F.min("v_id").alias("v_id")).withColumn("copy", F.lit(k)) for k in (0, 1)]
     return one[0].unionByName(one[1])
 
@@ -56,7 +57,7 @@ def _(spark, d):
     return pieces.groupBy("v_id").agg(whole.alias("span"))
 
 
-@query("p10_flag_multiallelic", with_("fx_variant", "fx_genotype", extra=(C2,)) + "select * from (select sample, chrom, pos, max(case when copy=0 then v_id end) z0, max(case when copy=1 then v_id end) z1 from c group by all) where z0<>z1")
+@query("p10_flag_multiallelic", with_("fx_variant", "fx_genotype", extra=(C2.replace(", pos,", ", pos//5000 pos,").replace("group by all", "group by sample, chrom, pos//5000"),)) + "select * from (select sample, chrom, pos, max(case when copy=0 then v_id end) z0, max(case when copy=1 then v_id end) z1 from c group by all) where z0<>z1")
 def _(spark, d):
     return V.flag_multiallelic(copies(spark, d), ["sample", "chrom"])
 
