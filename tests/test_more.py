@@ -78,3 +78,15 @@ def test_fasta_folders(spark, tmp_path):
     index = sources.read_contig_index(spark, str(tmp_path / "out/index"))
     assert sorted((r["seq_id"], r["seq_len"]) for r in index.collect()) == [("c1", 6), ("c2", 2)]
     assert sorted(map(tuple, sources.read_fasta(spark, str(tmp_path / "out/fasta/chrom=1")).collect())) == [("c1", "ACGTNA")]
+
+
+def test_full_report(spark, sf_dir, tmp_path):
+    from strandmark.operators.report import full_report
+    from strandmark.plans import queries
+    from strandmark.plans.registry import view
+
+    got = full_report(view(spark, sf_dir, "fx_align"), view(spark, sf_dir, "fx_variant"), str(tmp_path))
+    for name, query in (("matrix", "a8_misalignment_matrix"), ("accuracy", "a4_accuracy_by_indel_length"), ("smoothed", "g7_median_smooth"), ("outside", "j3_a3_accuracy_outside")):
+        want = queries()[query](spark, sf_dir)
+        assert sorted(map(tuple, got[name].select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert got["bad"].count() == queries()["p3_bad_reads"](spark, sf_dir).count()
