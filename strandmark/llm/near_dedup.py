@@ -8,11 +8,14 @@ component with a probability equal to their weighted Jaccard similarity. Points
 matter are never made.
 
 Signatures are banded, and pairs are verified on the multisets themselves. First, each text is held against
-one first member of its buckets in the FIRST bands, and takes that one's label if it is like it. Then, in every
-bucket that still holds several labels, one member of each is held against one of another, another one in each
-band. Verified pairs of LEAST make classes; those of at least FAMILY make families, and a family of more than
-one class is compared across its classes, tile by tile: a task has two tiles of it, counts all overlaps by
-products of incidence matrices, and returns no more links than join what was apart. Pairs are never listed.
+one first member of its buckets in the FIRST bands, and takes that one as its label if it is like it. Labels stand
+for their texts: where two texts of LEAST have two labels, these are of at least FAMILY, by the triangle
+inequality of the distance. So in every bucket that still holds several labels, one of them is held against the
+others; then those of the others that belong to different families are all held against each other, pair by pair
+in a small bucket and tile by tile in a larger one. Verified pairs of LEAST make classes; those of at least FAMILY
+make families, and a family of more than one class is compared across its classes, tile by tile: a task has two
+tiles of it, counts all overlaps by products of incidence matrices, and returns no more links than join what was
+apart. Pairs of large groups are never listed. So each two texts of a bucket are decided or in one class.
 Documents with equal texts are one node throughout.
 """
 
@@ -29,6 +32,8 @@ WIDTH, LEAST = 5, 0.8
 FAMILY = 0.4
 #: Documents of a tile, and shingles that are counted at once.
 TILE, COLUMNS = 256, 8192
+#: Labels of a bucket that are listed as pairs at most; a larger bucket is cut into tiles.
+PAIRED = 32
 #: Text bytes whose signatures are made at once.
 SLICE = 1 << 18
 #: 32 bands of 5: two documents of similarity 0.8 miss each other with a probability of 3e-6.
@@ -280,19 +285,18 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     stars = written(stars.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), "stars")
     texts = texts_of(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct())
     near = verified(stars, texts)
-    step = near.where(F.col("similarity") >= least).select(F.col("a").alias("node"), F.col("b").alias("label"))
-    jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-    labels = written(step.join(jump, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+    # two texts of `least` and their labels: the labels are apart by 2 * (1 - close) + 1 - least = 1 - FAMILY at most
+    close = max(least, 1 - (least - FAMILY) / 2)
+    labels = written(near.where(F.col("similarity") >= close).select(F.col("a").alias("node"), F.col("b").alias("label")), "labels")
 
     def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
         return df.join(labels.select(F.col("node").alias(node), F.col("label").alias("_l")), node, "left").withColumn(label, F.coalesce("_l", node)).drop("_l")
 
-    # all bands: one member of each label that a bucket holds, where it holds several
-    order = F.xxhash64("node", "band")
-    each = labelled(nodes, "node", "label").select("node", "label", F.posexplode("bands").alias("band", "key")).groupBy("band", "key", "label").agg(F.min(F.struct(order.alias("o"), "node")).alias("m"))
-    hubs = each.groupBy("band", "key").agg(F.min("m").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    more = each.join(hubs, ["band", "key"]).where("m <> hub").select(F.least("m.node", "hub.node").alias("a"), F.greatest("m.node", "hub.node").alias("b")).distinct()
-    more = written(more, "stars")
+    # all bands: the labels that a bucket holds, where it holds several, against one of them
+    each = labelled(nodes, "node", "label").select("label", F.posexplode("bands").alias("band", "key")).distinct()
+    hubs = each.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("label").alias("o"), "label")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+    shared = written(each.join(hubs, ["band", "key"]).where("label <> hub.label").select("band", "key", "label", F.col("hub.label").alias("hub"), "n"), "shared")
+    more = written(shared.select(F.least("label", "hub").alias("a"), F.greatest("label", "hub").alias("b")).distinct(), "stars")
     others = texts_of(more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(texts.select("node"), "node", "left_anti"))
     texts_all = texts.unionByName(others)
     later = verified(more, texts_all)
@@ -304,8 +308,24 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     edges = written(between(near.unionByName(later)), "edges")
     links = edges.where(F.col("similarity") >= least).select("a", "b")
-    # families of more than one class; the largest class of one isn't compared within itself
     family = components(edges).select(F.col("node").alias("label"), F.col("root").alias("family"))
+    # labels of one bucket that are still in different families: all against all
+    apart = shared.where("n > 2").select("band", "key", "label").join(family, "label", "left").withColumn("family", F.coalesce("family", "label"))
+    several = apart.groupBy("band", "key").agg(F.count("*").alias("n"), (F.min("family") != F.max("family")).alias("open")).where("open").drop("open")
+    apart = written(apart.join(several, ["band", "key"]), "apart")
+    left = apart.where(F.col("n") <= PAIRED)
+    right = left.select("band", "key", F.col("label").alias("b"), F.col("family").alias("fb"))
+    listed = left.withColumnRenamed("label", "a").join(right, ["band", "key"]).where("a < b and family <> fb").select("a", "b").distinct()
+    listed = written(listed.join(more, ["a", "b"], "left_anti"), "stars")
+    lately = verified(listed, texts_all).select("a", "b")
+    k = F.ceil(F.col("n") / TILE).cast("int")
+    crowd = apart.where(F.col("n") > PAIRED).withColumn("k", k).withColumn("tile", F.pmod(F.xxhash64("label"), F.col("k")).cast("int"))
+    crowd = crowd.select("band", "key", F.col("label").alias("node"), F.col("family").alias("root"), "tile", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    crowd = crowd.select("band", "key", "node", "root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(texts_all, "node")
+    lately = written(lately.unionByName(crowd.groupBy("band", "key", "i", "j").applyInArrow(_tile(FAMILY), "a binary, b binary")), "edges")
+    if not lately.isEmpty():
+        family = components(edges.select("a", "b").unionByName(between(lately))).select(F.col("node").alias("label"), F.col("root").alias("family"))
+    # families of more than one class; the largest class of one isn't compared within itself
     member = labelled(texts_all.select("node"), "node", "label").join(family, "label")
     member = written(member.join(components(links).withColumnRenamed("node", "label"), "label", "left").select("family", "node", F.coalesce("root", "label").alias("root")), "families")
     sizes = member.groupBy("family", "root").agg(F.count("*").alias("n"))
@@ -320,7 +340,7 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     placed = labelled(sketches.select("doc_id", "node"), "node", "label").join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("root", F.coalesce("root", "label"))
     sums = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     out = placed.join(sums, "root").select("doc_id", "class_id", "class_size")
-    forget(nodes, stars, texts, near, more, others, later, edges, member, found)
+    forget(nodes, stars, texts, near, shared, more, others, later, edges, apart, listed, lately, member, found)
     return out
 
 

@@ -411,6 +411,31 @@ def test_chain_of_links(spark):
     assert sorted(map(tuple, near_dedup.classes(df).collect())) == sorted(classes_by_hand(rows))
 
 
+@pytest.mark.parametrize(("paired", "tile"), [(32, 256), (4, 7)])
+def test_shared_passages(spark, monkeypatch, paired, tile):
+    """Texts of shared passages, all in one bucket: unlike the bucket's hub, they are still held against each other."""
+
+    def one_bucket(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["node"], b["doc_id"], pa.array([[7]] * b.num_rows, pa.list_(pa.int64()))], ["node", "doc_id", "bands"])
+
+    rng = random.Random(4)
+    passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(100)]
+    rows = []
+    for k in range(12):
+        own = rng.sample(range(100), 20)
+        copy = [*own[:-1], rng.choice([x for x in range(100) if x not in own])]
+        rows += [(10 * k, " ".join(passages[x] for x in own)), (10 * k + 1, " ".join(passages[x] for x in copy)), (10 * k + 2, " ".join(passages[x] for x in rng.sample(range(100), 20)))]
+    want = classes_by_hand(rows)
+    assert sum(n == 2 for _, _, n in want) == 24
+    monkeypatch.setattr(near_dedup, "_sketch", one_bucket)
+    monkeypatch.setattr(near_dedup, "PAIRED", paired, raising=False)
+    monkeypatch.setattr(near_dedup, "TILE", tile)
+    assert sorted(map(tuple, near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(want)
+
+
 # 9
 
 
