@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, mix64, prefix_hash, sliced, span_hash, written
@@ -257,16 +257,13 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class) and class_size for every row of docs(doc_id, text).
+def _node() -> Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
-    Two texts are linked if the weighted Jaccard similarity of their shingle multisets is at least `least`;
-    a class is what links connect. Texts of fewer than five words are one shingle; texts without words are
-    only like equal texts, and a null text is an empty one. Repeated rows are members each. A null doc_id has
-    the class of its text; a class of null ids alone has a null class_id. Empty table: no rows. Other columns are
-    not read.
-    """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5("text")))
+
+def _placed(docs: DataFrame, least: float) -> DataFrame:
+    """(doc_id, node, root) of every row: its text's hash and the node that names its class."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", _node())
     sketches = rows.select("node", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sketch, "node binary, doc_id long, bands array<long>")
     sketches = written(sketches, "sketches")
     nodes = written(sketches.where(F.size("bands") > 0).dropDuplicates(["node"]).select("node", "bands"), "nodes")
@@ -338,19 +335,39 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     found = written(tiled.groupBy("family", "i", "j").applyInArrow(_tile(least), "a binary, b binary"), "links")
     roots = components(links.unionByName(between(found)))
     placed = labelled(sketches.select("doc_id", "node"), "node", "label").join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("root", F.coalesce("root", "label"))
-    sums = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    out = placed.join(sums, "root").select("doc_id", "class_id", "class_size")
     forget(nodes, stars, texts, near, shared, more, others, later, edges, apart, listed, lately, member, found)
-    return out
+    return placed.select("doc_id", "node", "root")
+
+
+def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class) and class_size for every row of docs(doc_id, text).
+
+    Two texts are linked if the weighted Jaccard similarity of their shingle multisets is at least `least`;
+    a class is what links connect. Texts of fewer than five words are one shingle; texts without words are
+    only like equal texts, and a null text is an empty one. Repeated rows are members each. A null doc_id has
+    the class of its text; a class of null ids alone has a null class_id. Empty table: no rows. Other columns are
+    not read.
+    """
+    placed = _placed(docs, least)
+    sums = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return placed.join(sums, "root").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate class, that of the least doc_id; columns stay.
+    """docs with one row of each near-duplicate class; columns stay.
 
-    Of rows that repeat this id one stays. Rows without an id stay all, as they can't be told apart.
+    It is the row of the least doc_id that the class has, of the least text hash among its texts. Rows of one id in
+    different classes are apart, so each class keeps its own; a class of rows without an id keeps one of these. Of
+    rows that repeat both id and text the one stays whose other columns come first as JSON.
     """
-    kept = classes(docs).where("class_id is not null").select(F.col("class_id").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null")
-    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    return named.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    sums = _placed(docs, LEAST).groupBy("root", "doc_id", "node").agg(F.count("*").alias("n"))
+    kept = sums.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "node", "n")).alias("m"))
+    kept = written(kept.select(F.col("m.doc_id").alias("_id"), F.col("m.node").alias("_node"), F.col("m.n").alias("_n")), "kept")
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (_node() == F.col("_node"))
+    many = kept.where("_n > 1")
+    if many.isEmpty():
+        return docs.join(kept, own, "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(F.col("text").isNull().alias("_null"), *rest))
+    first = docs.join(many, own).groupBy("_id", "_node").agg(F.min_by(F.struct(*docs.columns), order).alias("m")).select("m.*")
+    return docs.join(kept.where("_n = 1"), own, "left_semi").unionByName(first)

@@ -436,6 +436,15 @@ def test_shared_passages(spark, monkeypatch, paired, tile):
     assert sorted(map(tuple, near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(want)
 
 
+def test_keep_one_by_id_and_text(spark):
+    t = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcde"]
+    rows = [(5, t[0], "x"), (5, t[1], "x"), (5, t[2], "x"), (1, t[1] + " end", "x"), (None, t[3], "x"), (None, t[3], "x"), (None, t[0], "x"), (None, t[3] + " end", "x"), (7, t[4], "z"), (7, t[4], "y"), (8, t[4], "a"), (9, None, "x"), (9, "", "y")]
+    got = sorted(map(tuple, near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()), key=key)
+    thirds = [r for r in got if r[0] is None]
+    assert [r for r in got if r[0] is not None] == sorted([(5, t[0], "x"), (5, t[2], "x"), (1, t[1] + " end", "x"), (7, t[4], "y"), (9, "", "y")], key=key)
+    assert len(thirds) == 1 and thirds[0][1] in (t[3], t[3] + " end")
+
+
 # 9
 
 
