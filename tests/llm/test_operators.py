@@ -301,6 +301,18 @@ def test_main_text():
     assert html_text.main_text("just text") == "just text"
 
 
+def test_main_text_is_whole():
+    long, end = "word " * 600, "closing " * 50
+    both = f"{long.strip()}\n{end.strip()}"
+    assert html_text.main_text(f"<h1>Head</h1><div class=share>Share</div><p>{long}</p><div class=ad>Buy</div><p>{end}</p>") == f"Head\n{both}"
+    links = "".join(f"<li><a href=/{k}>source {k}</a></li>" for k in range(5))
+    assert html_text.main_text(f"<p>{long}</p><ul>{links}</ul><p>{end}</p>").split("\n")[1:6] == [f"source {k}" for k in range(5)]
+    assert html_text.main_text(f"<html><head><meta charset=x><title>T</title><style>p</style><body><p>{long}</p><p>{end}</p>") == both
+    assert html_text.main_text(f"<head><title>T</title><template><p>no</p></template><p>{long}</p><p>{end}</p>") == both
+    assert html_text.main_text(f"<p>{long}</p><article class=card>Teaser</article><p>{end}</p>") == f"{long.strip()}\nTeaser\n{end.strip()}"
+    assert html_text.main_text(f"<p>Outside</p><article><p>{long}</p></article>") == long.strip()
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = html_text.extract(pages.unionByName(spark.createDataFrame([(None, None, None)], pages.schema))).collect()
