@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 12 << 20
 #: Text bytes that numpy works on at once.
 SLICE_BYTES = 1 << 20
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FALLBACK: dict[str, str] = {}
 
 
@@ -24,30 +24,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
+    """The folder of this application inside the one that driver and executors share, spark.checkpoint.dir.
+
+    Where the session names none, a local master gets one of its own; a cluster has to name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    key = spark.sparkContext.applicationId
     if not found:
-        key = spark.sparkContext.applicationId
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = _FALLBACK.setdefault(key, f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/strandmark/{key}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every table that this application has written to the shared folder; call it when results have been used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager
-def cleaned_shuffles(spark: SparkSession):
-    """Shuffle files of the jobs inside go when each job ends, not when the driver collects garbage."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the jobs inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: For jobs that write a table: shuffle files go when the job ends, not when the driver collects garbage, and Python workers get batches of a few MB of text.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandmark/{name}-{uuid.uuid4().hex}"
-    with cleaned_shuffles(spark):
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with settings(spark, **WRITING):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

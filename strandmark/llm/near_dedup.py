@@ -7,16 +7,17 @@ points at weights up to its count, and keeps the earliest of each component: two
 component with a probability equal to their weighted Jaccard similarity. Points later than what can still
 matter are never made.
 
-Signatures are banded, and pairs are verified on the multisets themselves. First, each text is held against
-one first member of its buckets in the FIRST bands, and takes that one as its label if it is like it. Labels stand
-for their texts: where two texts of LEAST have two labels, these are of at least FAMILY, by the triangle
-inequality of the distance. So in every bucket that still holds several labels, one of them is held against the
-others; then those of the others that belong to different families are all held against each other, pair by pair
-in a small bucket and tile by tile in a larger one. Verified pairs of LEAST make classes; those of at least FAMILY
-make families, and a family of more than one class is compared across its classes, tile by tile: a task has two
-tiles of it, counts all overlaps by products of incidence matrices, and returns no more links than join what was
-apart. Pairs of large groups are never listed. So each two texts of a bucket are decided or in one class.
-Documents with equal texts are one node throughout.
+Documents with equal texts are one node throughout. Signatures are banded; nodes that share a band are in one
+bucket. Every two nodes of a bucket are, in the end, in one class, or known to be less alike than `least`:
+
+* Each node is held against the first member of each of its buckets by their signatures, a byte a component; the
+  most alike of these is verified on the multisets of the texts. What is verified makes classes.
+* In buckets that still hold several classes, all pairs across classes are compared by signature: listed where a
+  bucket has few members, tile by tile in a larger one, where the largest class isn't compared within itself.
+  Only pairs that agree in ALIKE components go on. Of two classes the most alike pair is verified first, and the
+  others only where that didn't join them.
+
+So whole texts move only with pairs that look alike, and pairs of a large group are never listed.
 """
 
 from __future__ import annotations
@@ -29,18 +30,15 @@ from pyspark.sql import functions as F
 from .common import forget, mix64, prefix_hash, sliced, span_hash, written
 
 WIDTH, LEAST = 5, 0.8
-FAMILY = 0.4
-#: Documents of a tile, and shingles that are counted at once.
-TILE, COLUMNS = 256, 8192
-#: Labels of a bucket that are listed as pairs at most; a larger bucket is cut into tiles.
-PAIRED = 32
 #: Text bytes whose signatures are made at once.
 SLICE = 1 << 18
 #: 32 bands of 5: two documents of similarity 0.8 miss each other with a probability of 3e-6.
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
-#: Bands of the first pass.
-FIRST = 4
+#: Components in which two nodes agree before their texts are compared: 0.8 of 160 less six standard deviations, so a pair of 0.8 is passed over with a probability of 2e-8.
+ALIKE = 98
+#: Members of a bucket whose pairs are listed; a larger bucket is compared by tiles of so many nodes.
+PAIRED, TILE = 64, 1024
 G1, G2, G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -96,7 +94,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int) -> np.
         sel = todo[doc]
         d0, h0, c0 = doc[sel], h[sel], count[sel]
         while len(h0):
-            seed = mix64(h0 ^ (np.uint64(level + 1) * G3))
+            seed = mix64(h0 ^ (np.uint64((level + 1) * int(G3) & 0xFFFFFFFFFFFFFFFF)))
             _points(sig, d0, seed, c0, until, low, high, level)
             low, high, level = high, high * 2, level + 1
             deep = c0 > low
@@ -131,8 +129,9 @@ def _points(sig, doc, seed, count, until, low, high, level) -> None:
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A key for each band; keys of different bands differ."""
     bits = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), BANDS, ROWS)
-    key = np.zeros((len(sig), BANDS), np.uint64)
+    key = np.tile(np.arange(BANDS, dtype=np.uint64) * G3, (len(sig), 1))
     for k in range(ROWS):
         key = mix64(key * G1 + bits[:, :, k])
     return key.view(np.int64)
@@ -143,10 +142,40 @@ def _sketch(batches):
         texts = batch["text"].to_pylist()
         for a, b in sliced([len(t) for t in texts], SLICE):
             doc, h, count = bags(texts[a:b])
-            keys = band_keys(signatures(doc, h, count, b - a))
+            sig = signatures(doc, h, count, b - a)
             some = np.bincount(doc, minlength=b - a) > 0
+            keys = band_keys(sig)[some].ravel()
             offsets = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["node"].slice(a, b - a), batch["doc_id"].slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()))], ["node", "doc_id", "bands"])
+            short = (mix64(sig.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [batch["node"].slice(a, b - a), batch["doc_id"].slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.array([x.tobytes() for x in short], pa.binary())],
+                ["node", "doc_id", "bands", "sig"],
+            )
+
+
+def _agree(batches):
+    """Pairs of signatures that agree in ALIKE components at least, with the number of these."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch[k].to_pylist()), np.uint8).reshape(-1, SIZE) for k in ("sa", "sb"))
+        n = (x == y).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(n.astype(np.int32))], ["a", "b", "agree"]).filter(pa.array(n >= ALIKE))
+
+
+def _tile(rows: pa.Table) -> pa.Table:
+    """Pairs of different classes that agree in ALIKE components, of two tiles of a bucket or of one."""
+    ids, root, tile = (rows[k].to_numpy() for k in ("id", "root", "tile"))
+    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, SIZE)
+    two = tile.min() != tile.max()
+    out = []
+    for k in range(0, len(ids), 32):
+        n = (sig[k : k + 32, None, :] == sig[None, :, :]).sum(axis=2)
+        ok = (n >= ALIKE) & (root[k : k + 32, None] != root[None, :]) & (ids[k : k + 32, None] < ids[None, :])
+        if two:
+            ok &= tile[k : k + 32, None] != tile[None, :]
+        i, j = np.nonzero(ok)
+        out.append((ids[k + i], ids[j], n[i, j].astype(np.int32)))
+    a, b, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.table({"a": a, "b": b, "agree": n})
 
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -158,72 +187,21 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return float(shared / total) if total else 1.0
 
 
-def _verify(batches):
-    """Similarities of pairs of texts, where they are FAMILY at least."""
-    for batch in batches:
-        ta, tb = batch["ta"].to_pylist(), batch["tb"].to_pylist()
-        sim = np.zeros(len(ta))
-        for a, b in sliced([len(x) + len(y) for x, y in zip(ta, tb, strict=True)]):
-            doc, h, count = bags(ta[a:b] + tb[a:b])
-            cut = np.searchsorted(doc, np.arange(2 * (b - a) + 1))
-            for i in range(b - a):
-                x, y = (slice(cut[k], cut[k + 1]) for k in (i, i + b - a))
-                sim[a + i] = similarity((h[x], count[x]), (h[y], count[y]))
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(sim)], ["a", "b", "similarity"]).filter(pa.array(sim >= FAMILY))
-
-
-def similarities(texts: list[bytes]) -> np.ndarray:
-    """Weighted Jaccard of all pairs of a tile's texts. A shingle that occurs k times is k elements of a set, so overlaps are products of 0/1 matrices."""
-    doc, h, count = [], [], []
-    for a, b in sliced([len(t) for t in texts]):
-        d, x, c = bags(texts[a:b])
-        doc.append(d + a)
-        h.append(x)
-        count.append(c)
-    doc, h, count = (np.concatenate(x) for x in (doc, h, count))
-    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    doc, h = np.repeat(doc, count), mix64(np.repeat(h, count) + nth.astype(np.uint64) * G3)
-    size = np.bincount(doc, minlength=len(texts)).astype(np.float32)
-    order = np.argsort(h)
-    doc, h = doc[order], h[order]
-    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-    element = np.cumsum(new) - 1
-    shared = np.bincount(element)[element] > 1 if len(h) else new
-    doc, element = doc[shared], element[shared]
-    element = np.unique(element, return_inverse=True)[1]
-    overlap = np.zeros((len(texts), len(texts)), np.float32)
-    for c in range(0, int(element.max()) + 1 if len(element) else 0, COLUMNS):
-        own = slice(*np.searchsorted(element, [c, c + COLUMNS]))
-        m = np.zeros((len(texts), COLUMNS), np.float32)
-        m[doc[own], element[own] - c] = 1
-        overlap += m @ m.T
-    return overlap / np.maximum(size[:, None] + size[None, :] - overlap, 1)
-
-
-def _tile(least: float):
-    def links(rows: pa.Table) -> pa.Table:
-        """Links of one pair of tiles that join classes: a spanning forest of all of them."""
-        order = np.argsort(np.array(rows["node"].to_pylist(), dtype=object), kind="stable")
-        rows = rows.take(pa.array(order))
-        nodes, root = rows["node"].to_pylist(), rows["root"].to_pylist()
-        of: dict = {r: r for r in root}
-
-        def find(x):
-            while of[x] != x:
-                of[x] = of[of[x]]
-                x = of[x]
-            return x
-
-        out: list[tuple] = []
-        if len(of) > 1:
-            i, j = np.nonzero(np.triu(similarities(rows["text"].to_pylist()) >= least, 1))
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                if (x := find(root[a])) != (y := find(root[b])):
-                    of[max(x, y)] = min(x, y)
-                    out.append((nodes[a], nodes[b]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
-
-    return links
+def _verify(least: float):
+    def verify(batches):
+        """Pairs of texts that are alike."""
+        for batch in batches:
+            ta, tb = batch["ta"].to_pylist(), batch["tb"].to_pylist()
+            sim = np.zeros(len(ta))
+            for a, b in sliced([len(x) + len(y) for x, y in zip(ta, tb, strict=True)]):
+                doc, h, count = bags(ta[a:b] + tb[a:b])
+                cut = np.searchsorted(doc, np.arange(2 * (b - a) + 1))
+                for i in range(b - a):
+                    x, y = (slice(cut[k], cut[k + 1]) for k in (i, i + b - a))
+                    sim[a + i] = similarity((h[x], count[x]), (h[y], count[y]))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(sim >= least))
+
+    return verify
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -262,94 +240,100 @@ def _node() -> Column:
 
 
 def _placed(docs: DataFrame, least: float) -> DataFrame:
-    """(doc_id, node, root) of every row: its text's hash and the node that names its class."""
+    """(doc_id, node, root) of every row: its text's hash and what names its class."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", _node())
-    sketches = rows.select("node", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sketch, "node binary, doc_id long, bands array<long>")
+    sketches = rows.select("node", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sketch, "node binary, doc_id long, bands array<long>, sig binary")
     sketches = written(sketches, "sketches")
-    nodes = written(sketches.where(F.size("bands") > 0).dropDuplicates(["node"]).select("node", "bands"), "nodes")
-
-    def texts_of(which: DataFrame) -> DataFrame:
-        return written(rows.select("node", F.col("text").cast("binary").alias("text")).join(which, "node", "left_semi").dropDuplicates(["node"]), "texts")
-
-    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        return written(both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary, similarity double"), "near")
-
-    # a label for what is like the first member of a bucket of the first bands: one pair for each text
-    early = nodes.select("node", F.posexplode(F.slice("bands", 1, FIRST)).alias("band", "key"))
-    hubs = early.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = early.join(hubs, ["band", "key"]).where("node <> hub.node").groupBy("node").agg(F.min("hub").alias("hub"))
-    stars = written(stars.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), "stars")
-    texts = texts_of(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct())
-    near = verified(stars, texts)
-    # two texts of `least` and their labels: the labels are apart by 2 * (1 - close) + 1 - least = 1 - FAMILY at most
-    close = max(least, 1 - (least - FAMILY) / 2)
-    labels = written(near.where(F.col("similarity") >= close).select(F.col("a").alias("node"), F.col("b").alias("label")), "labels")
-
-    def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
-        return df.join(labels.select(F.col("node").alias(node), F.col("label").alias("_l")), node, "left").withColumn(label, F.coalesce("_l", node)).drop("_l")
-
-    # all bands: the labels that a bucket holds, where it holds several, against one of them
-    each = labelled(nodes, "node", "label").select("label", F.posexplode("bands").alias("band", "key")).distinct()
-    hubs = each.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("label").alias("o"), "label")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = written(each.join(hubs, ["band", "key"]).where("label <> hub.label").select("band", "key", "label", F.col("hub.label").alias("hub"), "n"), "shared")
-    more = written(shared.select(F.least("label", "hub").alias("a"), F.greatest("label", "hub").alias("b")).distinct(), "stars")
-    others = texts_of(more.select(F.col("a").alias("node")).union(more.select("b")).distinct().join(texts.select("node"), "node", "left_anti"))
-    texts_all = texts.unionByName(others)
-    later = verified(more, texts_all)
-
-    def between(pairs: DataFrame) -> DataFrame:
-        """Pairs of texts as pairs of their labels, where these are two."""
-        both = labelled(labelled(pairs, "a", "la"), "b", "lb").where("la <> lb")
-        return both.drop("a", "b").withColumnsRenamed({"la": "a", "lb": "b"})
-
-    edges = written(between(near.unionByName(later)), "edges")
-    links = edges.where(F.col("similarity") >= least).select("a", "b")
-    family = components(edges).select(F.col("node").alias("label"), F.col("root").alias("family"))
-    # labels of one bucket that are still in different families: all against all
-    apart = shared.where("n > 2").select("band", "key", "label").join(family, "label", "left").withColumn("family", F.coalesce("family", "label"))
-    several = apart.groupBy("band", "key").agg(F.count("*").alias("n"), (F.min("family") != F.max("family")).alias("open")).where("open").drop("open")
-    apart = written(apart.join(several, ["band", "key"]), "apart")
-    left = apart.where(F.col("n") <= PAIRED)
-    right = left.select("band", "key", F.col("label").alias("b"), F.col("family").alias("fb"))
-    listed = left.withColumnRenamed("label", "a").join(right, ["band", "key"]).where("a < b and family <> fb").select("a", "b").distinct()
-    listed = written(listed.join(more, ["a", "b"], "left_anti"), "stars")
-    lately = verified(listed, texts_all).select("a", "b")
-    k = F.ceil(F.col("n") / TILE).cast("int")
-    crowd = apart.where(F.col("n") > PAIRED).withColumn("k", k).withColumn("tile", F.pmod(F.xxhash64("label"), F.col("k")).cast("int"))
-    crowd = crowd.select("band", "key", F.col("label").alias("node"), F.col("family").alias("root"), "tile", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    crowd = crowd.select("band", "key", "node", "root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(texts_all, "node")
-    lately = written(lately.unionByName(crowd.groupBy("band", "key", "i", "j").applyInArrow(_tile(FAMILY), "a binary, b binary")), "edges")
-    if not lately.isEmpty():
-        family = components(edges.select("a", "b").unionByName(between(lately))).select(F.col("node").alias("label"), F.col("root").alias("family"))
-    # families of more than one class; the largest class of one isn't compared within itself
-    member = labelled(texts_all.select("node"), "node", "label").join(family, "label")
-    member = written(member.join(components(links).withColumnRenamed("node", "label"), "label", "left").select("family", "node", F.coalesce("root", "label").alias("root")), "families")
-    sizes = member.groupBy("family", "root").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("family").agg(F.max(F.struct("n", "root")).alias("big"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
-    open_ = open_.select("family", F.col("big.root").alias("big"), F.ceil(F.col("big.n") / TILE).cast("int").alias("tb"), F.ceil((F.col("n") - F.col("big.n")) / TILE).cast("int").alias("to"))
+    nodes = sketches.where(F.size("bands") > 0).dropDuplicates(["node"]).select(F.monotonically_increasing_id().alias("id"), "node", "bands", "sig")
+    nodes = written(nodes, "nodes")  # ids are those of the table
+    sig = nodes.select("id", "sig")
+
+    each = nodes.select("id", F.explode("bands").alias("key"))
+    hubs = each.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
+    members = written(each.join(hubs, "key"), "members")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+        return both.select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long, agree int")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        return written(both.select("a", "b", "ta", "tb").mapInArrow(_verify(least), "a long, b long"), "links")
+
+    def rooted(df: DataFrame, roots: DataFrame, name: str, root: str) -> DataFrame:
+        """df with the root of the class of its column name; a node without links is its own."""
+        return df.join(roots.select(F.col("node").alias(name), F.col("root").alias("_r")), name, "left").withColumn(root, F.coalesce("_r", name)).drop("_r")
+
+    def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        both = rooted(rooted(pairs.select("a", "b", "agree"), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb")
+        return both.withColumn("r1", F.least("ra", "rb")).withColumn("r2", F.greatest("ra", "rb")).drop("ra", "rb")
+
+    stars = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = written(alike(stars), "stars")
+    best = written(stars.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b")), "best")
+
+    # buckets of several classes before any is verified: their texts may be needed
+    wanted = nodes.select("id", "node").join(members.select("id").distinct(), "id", "left_semi")
+    texts = rows.select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"]).join(wanted, "node").select("id", "text")
+    texts = written(texts, "texts")
+    links = verified(best)
+    roots = components(links)
+
+    placed = rooted(members.select("key", "id"), roots, "id", "root")
+    open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 < r1").select("key", "n")
+    apart = written(placed.join(open_, "key"), "apart")
+    few = apart.where(F.col("n") <= PAIRED)
+    other = few.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
+    listed = few.withColumnRenamed("id", "a").join(other, "key").where("a < b and root <> rb").select("a", "b").distinct()
+    found = written(alike(listed), "listed")
+    many = apart.where(F.col("n") > PAIRED)
+    if not many.isEmpty():
+        found = found.unionByName(written(tiled(many, sig), "tiled")).distinct()
+    # what has been verified isn't verified again; of two classes the most alike pair first
+    done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = across(found.join(done, ["a", "b"], "left_anti"), roots)
+    first = rest.groupBy("r1", "r2").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
+    rest, first = written(rest, "rest"), written(first, "first")
+    more = verified(first)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
+    last = across(rest.join(first, ["a", "b"], "left_anti"), roots)
+    more = verified(last)
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+    names = nodes.select(F.col("id").alias("own"), F.col("node").alias("name")).join(roots, F.col("own") == F.col("node")).select("name", "root")
+    names = written(names, "names")
+    forget(nodes, members, stars, best, texts, apart, rest, first)
+    named = sketches.select("doc_id", "node").join(names.withColumnRenamed("name", "node"), "node", "left")
+    return named.select("doc_id", "node", F.coalesce(F.unhex(F.lpad(F.hex("root"), 16, "0")), "node").alias("root"))
+
+
+def tiled(many: DataFrame, sig: DataFrame) -> DataFrame:
+    """Alike pairs across the classes of large buckets: (key, id, root, n), n the members of the bucket."""
+    sizes = many.groupBy("key", "root").agg(F.count("*").alias("m"))
+    big = sizes.groupBy("key").agg(F.max(F.struct("m", "root")).alias("big"), F.sum("m").alias("n"))
+    big = big.select("key", F.col("big.root").alias("big"), F.ceil(F.col("big.m") / TILE).cast("int").alias("tb"), F.ceil((F.col("n") - F.col("big.m")) / TILE).cast("int").alias("to"))
     main = F.col("root") == F.col("big")
-    spot = F.when(main, F.pmod(F.xxhash64("node"), F.col("tb"))).otherwise(F.col("tb") + F.pmod(F.xxhash64("node"), F.col("to"))).cast("int")
-    tiled = member.join(open_, "family").select("family", "node", "root", spot.alias("tile"), F.explode(F.sequence(F.when(main, F.col("tb")).otherwise(0), F.col("tb") + F.col("to") - 1)).alias("other"))
-    tiled = tiled.select("family", "node", "root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(texts_all, "node")
-    found = written(tiled.groupBy("family", "i", "j").applyInArrow(_tile(least), "a binary, b binary"), "links")
-    roots = components(links.unionByName(between(found)))
-    placed = labelled(sketches.select("doc_id", "node"), "node", "label").join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("root", F.coalesce("root", "label"))
-    forget(nodes, stars, texts, near, shared, more, others, later, edges, apart, listed, lately, member, found)
-    return placed.select("doc_id", "node", "root")
+    spot = F.when(main, F.pmod(F.xxhash64("id"), F.col("tb"))).otherwise(F.col("tb") + F.pmod(F.xxhash64("id"), F.col("to"))).cast("int")
+    dealt = many.drop("n").join(big, "key").select("key", "id", "root", spot.alias("tile"), F.explode(F.sequence(F.when(main, F.col("tb")).otherwise(0), F.col("tb") + F.col("to") - 1)).alias("other"))
+    dealt = dealt.select("key", "id", "root", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(sig, "id")
+    return dealt.groupBy("key", "i", "j").applyInArrow(_tile, "a long, b long, agree int")
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and class_size for every row of docs(doc_id, text).
 
-    Two texts are linked if the weighted Jaccard similarity of their shingle multisets is at least `least`;
-    a class is what links connect. Texts of fewer than five words are one shingle; texts without words are
-    only like equal texts, and a null text is an empty one. Repeated rows are members each. A null doc_id has
-    the class of its text; a class of null ids alone has a null class_id. Empty table: no rows. Other columns are
-    not read.
+    Two texts are linked if the weighted Jaccard similarity of their shingle multisets is at least `least` (0.8 or
+    more; signatures are cut for that); a class is what links connect. Texts of fewer than five words are one shingle;
+    texts without words are only like equal texts, and a null text is an empty one. Repeated rows are members each. A
+    null doc_id has the class of its text; a class of null ids alone has a null class_id. Empty table: no rows. Other
+    columns are not read.
     """
-    placed = _placed(docs, least)
-    sums = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    if least < LEAST:
+        raise ValueError("bands and ALIKE are made for a similarity of 0.8 or more")
+    placed = written(_placed(docs, least), "placed")
+    sums = written(placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
     return placed.join(sums, "root").select("doc_id", "class_id", "class_size")
 
 
