@@ -12,12 +12,14 @@ bucket. Every two nodes of a bucket are, in the end, in one class, or known to b
 
 * Each node is held against the first member of each of its buckets by their signatures, a byte a component; the
   most alike of these is verified on the multisets of the texts. What is verified makes classes.
-* In buckets that still hold several classes, all pairs across classes are compared by signature: listed where a
-  bucket has few members, tile by tile in a larger one, where the largest class isn't compared within itself.
-  Only pairs that agree in ALIKE components go on. Of two classes the most alike pair is verified first, and the
-  others only where that didn't join them.
-
-So whole texts move only with pairs that look alike, and pairs of a large group are never listed.
+* In buckets that still hold several classes, the signatures of all pairs across classes are compared, tile by tile in
+  a large bucket, where the largest class isn't compared within itself. Pairs that agree in ALIKE components make
+  families of classes; of these, a task returns no more than join what was apart.
+* A family of more than one class is verified across its classes, tile by tile: a task has two tiles of texts, counts
+  all overlaps by products of incidence matrices, and returns no more links than join what was apart.
+
+So pairs of a large group are never listed, and whole texts move only within families. What a group costs grows with
+the square of the part that isn't in one class, over TEXTS bytes a tile.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mix64, prefix_hash, sliced, span_hash, written
+from .common import block_of, forget, mix64, prefix_hash, released, sliced, span_hash, written
 
 WIDTH, LEAST = 5, 0.8
 #: Text bytes whose signatures are made at once.
@@ -37,8 +39,12 @@ BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
 #: Components in which two nodes agree before their texts are compared: 0.8 of 160 less six standard deviations, so a pair of 0.8 is passed over with a probability of 2e-8.
 ALIKE = 98
-#: Members of a bucket whose pairs are listed; a larger bucket is compared by tiles of so many nodes.
-PAIRED, TILE = 64, 1024
+#: A bucket of more members is compared by tiles, of TILE members; smaller ones are compared many in a task.
+WHOLE, TILE = 64, 1024
+#: Members of small buckets that a task compares, about.
+MEMBERS = 20_000
+#: Text bytes of a tile of a family, about, and shingles that are counted at once.
+TEXTS, COLUMNS = 1 << 20, 8192
 G1, G2, G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -161,21 +167,77 @@ def _agree(batches):
         yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(n.astype(np.int32))], ["a", "b", "agree"]).filter(pa.array(n >= ALIKE))
 
 
-def _tile(rows: pa.Table) -> pa.Table:
-    """Pairs of different classes that agree in ALIKE components, of two tiles of a bucket or of one."""
-    ids, root, tile = (rows[k].to_numpy() for k in ("id", "root", "tile"))
-    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, SIZE)
-    two = tile.min() != tile.max()
-    out = []
-    for k in range(0, len(ids), 32):
-        n = (sig[k : k + 32, None, :] == sig[None, :, :]).sum(axis=2)
-        ok = (n >= ALIKE) & (root[k : k + 32, None] != root[None, :]) & (ids[k : k + 32, None] < ids[None, :])
-        if two:
-            ok &= tile[k : k + 32, None] != tile[None, :]
-        i, j = np.nonzero(ok)
-        out.append((ids[k + i], ids[j], n[i, j].astype(np.int32)))
-    a, b, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.table({"a": a, "b": b, "agree": n})
+class Classes:
+    """Disjoint sets over the classes that a task sees, and the pairs that joined two of them."""
+
+    def __init__(self, root: np.ndarray):
+        self.names, self.of = np.unique(root, return_inverse=True)
+        self.up = list(range(len(self.names)))
+        self.left = len(self.names) - 1
+        self.pairs: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> None:
+        """Takes in pairs of rows that are alike; of equal pairs of classes only the first matters."""
+        a, b = self.of[i], self.of[j]
+        first = np.unique(np.minimum(a, b) * len(self.names) + np.maximum(a, b), return_index=True)[1]
+        for k in first[a[first] != b[first]].tolist():
+            x, y = self.find(int(a[k])), self.find(int(b[k]))
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                self.left -= 1
+                self.pairs.append((int(ids[i[k]]), int(ids[j[k]])))
+
+
+def _joined(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([x for _, x in pairs], pa.int64())})
+
+
+def _agreeing(ids: np.ndarray, root: np.ndarray, sig: np.ndarray) -> list[tuple[int, int]]:
+    classes = Classes(root)
+    for k in range(0, len(ids), 64):
+        if classes.left:
+            n = (sig[k : k + 64, None, :] == sig[None, :, :]).sum(axis=2)
+            i, j = np.nonzero(n >= ALIKE)
+            classes.join(i + k, j, ids)
+    return classes.pairs
+
+
+def _signatures(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, SIZE)
+
+
+def _buckets(rows: pa.Table) -> pa.Table:
+    """Pairs of signatures that join classes, in each of many small buckets."""
+    rows = rows.sort_by([("key", "ascending"), ("id", "ascending")])
+    key, ids, root = (rows[k].to_numpy() for k in ("key", "id", "root"))
+    sig = _signatures(rows)
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    return _joined([p for a, b in zip(cut[:-1], cut[1:], strict=True) for p in _agreeing(ids[a:b], root[a:b], sig[a:b])])
+
+
+def _tiles(rows: pa.Table) -> pa.Table:
+    """Pairs of signatures that join classes, of two tiles of a bucket or of one."""
+    rows = rows.sort_by("id")
+    return _joined(_agreeing(rows["id"].to_numpy(), rows["root"].to_numpy(), _signatures(rows)))
+
+
+def _verify_tiles(least: float):
+    def links(rows: pa.Table) -> pa.Table:
+        """Pairs of alike texts that join classes, of two tiles of a family or of one."""
+        rows = rows.sort_by("id")
+        ids, classes = rows["id"].to_numpy(), Classes(rows["root"].to_numpy())
+        if classes.left:
+            i, j = np.nonzero(np.triu(similarities(rows["text"].to_pylist()) >= least, 1))
+            classes.join(i, j, ids)
+        return released(_joined(classes.pairs))
+
+    return links
 
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -204,6 +266,34 @@ def _verify(least: float):
     return verify
 
 
+def similarities(texts: list[bytes]) -> np.ndarray:
+    """Weighted Jaccard of all pairs of a tile's texts. A shingle that occurs k times is k elements of a set, so overlaps are products of 0/1 matrices."""
+    doc, h, count = [], [], []
+    for a, b in sliced([len(t) for t in texts]):
+        d, x, c = bags(texts[a:b])
+        doc.append(d + a)
+        h.append(x)
+        count.append(c)
+    doc, h, count = (np.concatenate(x) for x in (doc, h, count))
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    doc, h = np.repeat(doc, count), mix64(np.repeat(h, count) + nth.astype(np.uint64) * G3)
+    size = np.bincount(doc, minlength=len(texts)).astype(np.float32)
+    order = np.argsort(h)
+    doc, h = doc[order], h[order]
+    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    element = np.cumsum(new) - 1
+    shared = np.bincount(element)[element] > 1 if len(h) else new
+    doc, element = doc[shared], element[shared]
+    element = np.unique(element, return_inverse=True)[1]
+    overlap = np.zeros((len(texts), len(texts)), np.float32)
+    for c in range(0, int(element.max()) + 1 if len(element) else 0, COLUMNS):
+        own = slice(*np.searchsorted(element, [c, c + COLUMNS]))
+        m = np.zeros((len(texts), COLUMNS), np.float32)
+        m[doc[own], element[own] - c] = 1
+        overlap += m @ m.T
+    return overlap / np.maximum(size[:, None] + size[None, :] - overlap, 1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component, for the nodes of edges(a, b).
 
@@ -264,61 +354,53 @@ def _placed(docs: DataFrame, least: float) -> DataFrame:
         """df with the root of the class of its column name; a node without links is its own."""
         return df.join(roots.select(F.col("node").alias(name), F.col("root").alias("_r")), name, "left").withColumn(root, F.coalesce("_r", name)).drop("_r")
 
-    def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        both = rooted(rooted(pairs.select("a", "b", "agree"), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb")
-        return both.withColumn("r1", F.least("ra", "rb")).withColumn("r2", F.greatest("ra", "rb")).drop("ra", "rb")
-
     stars = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = written(alike(stars), "stars")
-    best = written(stars.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b")), "best")
-
-    # buckets of several classes before any is verified: their texts may be needed
+    best = alike(stars).groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b"))
+    best = written(best, "best")
     wanted = nodes.select("id", "node").join(members.select("id").distinct(), "id", "left_semi")
     texts = rows.select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"]).join(wanted, "node").select("id", "text")
     texts = written(texts, "texts")
     links = verified(best)
     roots = components(links)
 
+    # buckets of several classes
     placed = rooted(members.select("key", "id"), roots, "id", "root")
     open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 < r1").select("key", "n")
     apart = written(placed.join(open_, "key"), "apart")
-    few = apart.where(F.col("n") <= PAIRED)
-    other = few.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-    listed = few.withColumnRenamed("id", "a").join(other, "key").where("a < b and root <> rb").select("a", "b").distinct()
-    found = written(alike(listed), "listed")
-    many = apart.where(F.col("n") > PAIRED)
+    few, many = apart.where(F.col("n") <= WHOLE), apart.where(F.col("n") > WHOLE)
+    groups = max(1, few.count() // MEMBERS)
+    pairs = few.join(sig, "id").select("key", "id", "root", "sig", block_of(groups, "key").alias("g")).groupBy("g").applyInArrow(_buckets, "a long, b long")
     if not many.isEmpty():
-        found = found.unionByName(written(tiled(many, sig), "tiled")).distinct()
-    # what has been verified isn't verified again; of two classes the most alike pair first
-    done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = across(found.join(done, ["a", "b"], "left_anti"), roots)
-    first = rest.groupBy("r1", "r2").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b")
-    rest, first = written(rest, "rest"), written(first, "first")
-    more = verified(first)
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = components(links)
-    last = across(rest.join(first, ["a", "b"], "left_anti"), roots)
-    more = verified(last)
+        pairs = pairs.unionByName(tiled(many.select("key", "id", "root", F.lit(1).alias("size")), TILE).join(sig, "id").groupBy("key", "i", "j").applyInArrow(_tiles, "a long, b long"))
+    pairs = written(pairs, "pairs")
+
+    # families of several classes
+    family = components(links.unionByName(pairs)).select(F.col("node").alias("id"), F.col("root").alias("key"))
+    member = rooted(family, roots, "id", "root")
+    open_ = member.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    member = written(member.join(open_, "key").join(texts.select("id", F.octet_length("text").alias("size")), "id"), "families")
+    more = written(tiled(member, TEXTS).join(texts, "id").groupBy("key", "i", "j").applyInArrow(_verify_tiles(least), "a long, b long"), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     names = nodes.select(F.col("id").alias("own"), F.col("node").alias("name")).join(roots, F.col("own") == F.col("node")).select("name", "root")
     names = written(names, "names")
-    forget(nodes, members, stars, best, texts, apart, rest, first)
+    forget(nodes, members, best, texts, links, apart, pairs, member, more, roots)
     named = sketches.select("doc_id", "node").join(names.withColumnRenamed("name", "node"), "node", "left")
     return named.select("doc_id", "node", F.coalesce(F.unhex(F.lpad(F.hex("root"), 16, "0")), "node").alias("root"))
 
 
-def tiled(many: DataFrame, sig: DataFrame) -> DataFrame:
-    """Alike pairs across the classes of large buckets: (key, id, root, n), n the members of the bucket."""
-    sizes = many.groupBy("key", "root").agg(F.count("*").alias("m"))
+def tiled(members: DataFrame, most: int) -> DataFrame:
+    """(key, id, root, i, j): members(key, id, root, size) of each key for every two tiles that have to meet, tiles of about `most` by size.
+
+    The largest class of a key has tiles of its own, which don't meet each other.
+    """
+    sizes = members.groupBy("key", "root").agg(F.sum("size").alias("m"))
     big = sizes.groupBy("key").agg(F.max(F.struct("m", "root")).alias("big"), F.sum("m").alias("n"))
-    big = big.select("key", F.col("big.root").alias("big"), F.ceil(F.col("big.m") / TILE).cast("int").alias("tb"), F.ceil((F.col("n") - F.col("big.m")) / TILE).cast("int").alias("to"))
+    big = big.select("key", F.col("big.root").alias("big"), F.ceil(F.col("big.m") / most).cast("int").alias("tb"), F.ceil((F.col("n") - F.col("big.m")) / most).cast("int").alias("to"))
     main = F.col("root") == F.col("big")
     spot = F.when(main, F.pmod(F.xxhash64("id"), F.col("tb"))).otherwise(F.col("tb") + F.pmod(F.xxhash64("id"), F.col("to"))).cast("int")
-    dealt = many.drop("n").join(big, "key").select("key", "id", "root", spot.alias("tile"), F.explode(F.sequence(F.when(main, F.col("tb")).otherwise(0), F.col("tb") + F.col("to") - 1)).alias("other"))
-    dealt = dealt.select("key", "id", "root", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(sig, "id")
-    return dealt.groupBy("key", "i", "j").applyInArrow(_tile, "a long, b long, agree int")
+    dealt = members.join(big, "key").select("key", "id", "root", spot.alias("tile"), F.explode(F.sequence(F.when(main, F.col("tb")).otherwise(0), F.col("tb") + F.col("to") - 1)).alias("other"))
+    return dealt.select("key", "id", "root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
