@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -13,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one group of documents holds, about; memory of a task follows it, not the input.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Text bytes that numpy works on at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _FALLBACK: dict[str, str] = {}
 
 
@@ -87,6 +88,17 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_ROWS else df
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released(table: pa.Table) -> pa.Table:
+    """The same table, after memory that the group before has left unused went back to the system: workers live on between groups."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+    return table
+
+
 def text_size(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 

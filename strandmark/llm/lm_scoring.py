@@ -7,7 +7,7 @@ node of it keeps a Krichevsky-Trofimov estimate, and the context-tree weights mi
 depths. The tree is learnt from the training rows and then held fixed, so a text's probability does not
 depend on the other texts that are scored.
 
-How the work is dealt: documents go to blocks of bounded size by a hash of their id. A block sends its
+How the work is dealt: documents go to blocks of bounded size by a hash of id and text. A block sends its
 distinct words and distinct (context, byte) pairs with their counts, sorted and packed by part, never its
 tokens. Words are summed in the part of their hash; pairs are worked up and down the context tree in the
 part of their nearest two bytes; and each block gets back the numbers of its own words and pairs. Nothing
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, binary_list, block_of, counted, forget, int_list, mix64, sliced, summed, text_size, written
+from .common import BLOCK_BYTES, binary_list, block_of, counted, forget, int_list, mix64, released, sliced, summed, text_size, written
 
 END = b"\n"
 SPLIT = 2  # context bytes that a part of the tree shares
@@ -248,7 +248,7 @@ def part_answers(rows: pa.Table, top: pa.Table, depth: int) -> pa.Table:
     return packed(out)
 
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("train", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known_log", pa.float64()), ("score", pa.float64())])
+SCORES = pa.schema([("doc_id", pa.int64()), ("train", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("known_log", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 
 
 def summed_up(bodies: list[bytes], depth: int, grams: np.ndarray, log_p: np.ndarray) -> np.ndarray:
@@ -276,7 +276,7 @@ def score_block(rows: pa.Table, answers: pa.Table, depth: int) -> pa.Table:
     log_p = np.concatenate([unpack(x, np.float32) for x in said["numbers"].to_pylist()]).astype(float)
     order = np.argsort(grams)
     grams, log_p = grams[order], log_p[order]
-    n_tokens, n_known, known_log, score = (np.zeros(len(texts)) for _ in range(4))
+    n_tokens, n_known, known_log, score, n_bytes = (np.zeros(len(texts)) for _ in range(5))
     get = known.__getitem__
     end = known[END]
     for a, b in sliced([len(x) for x in texts]):
@@ -291,10 +291,11 @@ def score_block(rows: pa.Table, answers: pa.Table, depth: int) -> pa.Table:
         n_tokens[a:b] = np.diff(np.append(firsts, len(c)))
         n_known[a:b] = np.add.reduceat((c > 0).astype(float), firsts)
         known_log[a:b] = np.add.reduceat(np.log10(c + 1), firsts)
+        n_bytes[a:b] = [len(x) for x in bodies]
         for c in range(0, len(bodies), 256):
             own = bodies[c : c + 256]
             score[a + c : a + c + len(own)] = summed_up(own, depth, grams, log_p)
-    return pa.table([rows["doc_id"], pa.array(train.astype(np.int32)), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(known_log), pa.array(score)], schema=SCORES)
+    return pa.table([rows["doc_id"], pa.array(train.astype(np.int32)), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(known_log), pa.array(score), pa.array(n_bytes.astype(np.int64))], schema=SCORES)
 
 
 def _shallow(nodes: DataFrame) -> DataFrame:
@@ -332,27 +333,27 @@ def _shallow(nodes: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame, held_out: Column, depth: int = 6, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores every row of docs(doc_id, text) with a model of the rows where held_out is not true.
 
-    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and bits_per_byte of the
-    text as it was scored. A null text counts as empty and an empty text is its end alone; a null held_out
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and bits_per_byte: the code length
+    over the bytes of the text as it was scored, its end included. A null text counts as empty and an empty text is its end alone; a null held_out
     counts as false. Repeated rows are scored each. No training rows: the estimates are those of an empty
     tree. Columns other than these two are not read.
     """
     if not 3 <= depth <= 6:
         raise ValueError("depth must be 3 to 6")
     n = max(1, -(-text_size(docs) // block_bytes))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.when(held_out, 0).otherwise(1).alias("train"), block_of(n, "doc_id").alias("block"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.when(held_out, 0).otherwise(1).alias("train"), block_of(n, "doc_id", "text").alias("block"))
     parts = min(n, MOST_PARTS)
-    sent = written(rows.select("block", "train", "text").groupBy("block").applyInArrow(lambda t: count_block(t, depth, parts), PACKED), "lm-sent")
+    sent = written(rows.select("block", "train", "text").groupBy("block").applyInArrow(lambda t: released(count_block(t, depth, parts)), PACKED), "lm-sent")
     words = sent.where(~F.col("grams")).groupBy("part").applyInArrow(sum_words, PACKED)
     grams = sent.where("grams").groupBy("part")
-    nodes = written(grams.applyInArrow(lambda t: part_nodes(t, depth), "part int, context long, node int, zeros long, ones long, log_w double"), "lm-nodes")
-    log_p = grams.cogroup(_shallow(nodes).groupBy("part")).applyInArrow(lambda a, b: part_answers(a, b, depth), PACKED)
+    nodes = written(grams.applyInArrow(lambda t: released(part_nodes(t, depth)), "part int, context long, node int, zeros long, ones long, log_w double"), "lm-nodes")
+    log_p = grams.cogroup(_shallow(nodes).groupBy("part")).applyInArrow(lambda a, b: released(part_answers(a, b, depth)), PACKED)
     answers = written(words.unionByName(log_p), "lm-answers")
     total = answers.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
     train_tokens, kinds = total["tokens"] or 0, total["kinds"] or 0
     answers = answers.where("block is not null").select("block", "grams", "keys", "numbers")
     forget(sent, nodes)
-    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: score_block(a, b, depth), "doc_id long, train int, n_tokens long, n_known long, known_log double, score double")
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: released(score_block(a, b, depth)), "doc_id long, train int, n_tokens long, n_known long, known_log double, score double, n_bytes long")
     return scored.select(
         "doc_id",
         (F.col("train") == 0).alias("held_out"),
@@ -361,4 +362,5 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = 6, block_byt
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("known_log") - F.col("n_tokens") * F.log10(F.lit(float(train_tokens + kinds + 1)))).alias("base_score"),
         "score",
+        (-F.col("score") * F.log2(F.lit(10.0)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
