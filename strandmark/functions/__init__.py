@@ -87,6 +87,12 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ATCGN", "TAGCN"))
 
 
+def fix_strand(seq: Column, qual: Column, is_reverse: Column, ro: Column) -> tuple[Column, Column]:
+    """seq and qual as they are on the strand of the truth: turned where the read's strand is another one."""
+    turn = is_reverse.cast("int") != ro.cast("int")
+    return F.when(turn, reverse_complement(seq)).otherwise(seq), F.when(turn, F.reverse(qual)).otherwise(qual)
+
+
 def encode_qname(*cols) -> Column:
     return F.concat_ws("|", *(c.cast("string") for c in cols))
 

@@ -10,12 +10,23 @@ from pyspark.sql import functions as F
 from .. import functions as X
 
 BIN = 400  # four read lengths
+#: A feature over more than LONG bins is put into bins WIDER times as wide.
+LONG, WIDER = 16, 256
+#: Bins of a misalignment matrix that are allowed unless asked for, as edges of all chromosomes.
+MOST_BINS = 5000
 
 
 def score_alignments(df: DataFrame, window: int = 0, extended: bool = False, cigar_errors: bool = False) -> DataFrame:
-    """Each primary, decodable alignment with its truth and whether chromosome, place and CIGAR are right. Narrow; also for streams."""
-    t = df.where("coalesce(is_secondary, 0) = 0").where(X.qname_is_whole())
-    t = t.select("qname", "is_read1", "is_unmapped", "mapq", *(c.alias(k) for k, c in X.qname_fields().items()), F.col("ref_id").alias("a_chrom"), F.col("apos").alias("a_pos"), F.col("acigar").alias("a_cigar"))
+    """Each primary, decodable alignment with its truth and whether chromosome, place and CIGAR are right. Narrow; also for streams.
+
+    Where df has a column is_paired, names of unpaired reads have seven fields, and their mates' are 0 or empty; without it,
+    all reads are paired. Columns seq, qual and is_reverse come along if df has them.
+    """
+    paired = F.col("is_paired") if "is_paired" in df.columns else None
+    more = [c for c in ("is_reverse", "seq", "qual") if c in df.columns]
+    t = df.where("coalesce(is_secondary, 0) = 0").where(X.qname_is_whole(is_paired=paired))
+    own = (F.lit(True) if paired is None else paired).alias("is_paired")
+    t = t.select("qname", "is_read1", own, "is_unmapped", "mapq", *more, *(c.alias(k) for k, c in X.qname_fields(is_paired=paired).items()), F.col("ref_id").alias("a_chrom"), F.col("apos").alias("a_pos"), F.col("acigar").alias("a_cigar"))
     t = t.withColumn("want", F.col("cigar") if extended else X.old_style_cigar(F.col("cigar")))
     mapped = F.col("is_unmapped") == 0
     chrom_ok = ~mapped | (F.col("a_chrom") == F.col("chrom") - 1)
@@ -26,6 +37,19 @@ def score_alignments(df: DataFrame, window: int = 0, extended: bool = False, cig
     return t.withColumn("read_stop", F.col("pos") + F.col("rlen")).withColumn("mate_stop", F.col("pos_m") + F.col("rlen_m")).drop("want")
 
 
+def to_truth_coordinates(scored: DataFrame) -> DataFrame:
+    """Scored reads laid where they belong: ref_id, apos and acigar are the truth, as are the strands of read and mate; both count as mapped.
+
+    The aligner's answer stays in a_chrom, a_pos and a_cigar. If there are seq, qual and is_reverse, those of misaligned reads are turned to the true strand.
+    """
+    out = scored.withColumns({"ref_id": F.col("chrom") - 1, "apos": F.col("pos"), "acigar": F.col("cigar"), "pnext": F.col("pos_m"), "was_unmapped": F.col("is_unmapped"), "is_unmapped": F.lit(0).cast("bigint")})
+    if {"seq", "qual", "is_reverse"} <= set(scored.columns):
+        seq, qual = X.fix_strand(F.col("seq"), F.col("qual"), F.col("is_reverse"), F.col("ro"))
+        wrong = F.col("is_misaligned")
+        out = out.withColumns({"seq": F.when(wrong, seq).otherwise(F.col("seq")), "qual": F.when(wrong, qual).otherwise(F.col("qual"))})
+    return out.withColumns({"is_reverse": F.col("ro") == 1, "mate_is_reverse": F.col("ro") == 0})
+
+
 def bad_reads(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("is_misaligned") | (F.col("is_unmapped") == 1))
 
@@ -38,32 +62,87 @@ def reads_in_region(df: DataFrame, chrom: int, start: int, width: int) -> DataFr
     return df.where((F.col("chrom") == chrom) & (F.col("pos") > start) & (F.col("pos") < start + width))
 
 
-def overlap_join(reads: DataFrame, feats: DataFrame, start: str = "pos", stop: str = "read_stop", width: int = BIN) -> DataFrame:
-    """Closed-interval overlaps of reads(chrom, start, stop) and feats(chrom, f_start, f_stop), each pair once.
+def overlap_join(reads: DataFrame, feats: DataFrame, start: str = "pos", stop: str = "read_stop", width: int = BIN, by: tuple = ("chrom",)) -> DataFrame:
+    """Closed-interval overlaps of reads(by, start, stop) and feats(by, f_start, f_stop), each pair once.
 
-    Both sides are put into the bins that they touch and joined on (chrom, bin); a pair counts in its first common bin.
+    Both sides are put into the bins that they touch and joined on (by, bin); a pair counts in its first common bin.
+    Features over more than LONG bins have wider bins of their own, so that a long one makes few rows.
     """
-    r = reads.withColumn("bin", F.explode(F.expr(f"sequence({start} div {width}, {stop} div {width})")))
-    f = feats.withColumn("bin", F.explode(F.expr(f"sequence(f_start div {width}, f_stop div {width})")))
-    both = r.join(f, ["chrom", "bin"]).where(f"{start} <= f_stop and {stop} >= f_start and bin = greatest({start} div {width}, f_start div {width})")
-    return both.drop("bin")
+    longest = feats.agg(F.max(F.col("f_stop") - F.col("f_start"))).first()[0] or 0
+    return _binned(reads, feats, start, stop, width, by, longest > LONG * width)
+
+
+def _binned(reads: DataFrame, feats: DataFrame, start: str, stop: str, width: int, by: tuple, long: bool) -> DataFrame:
+    bins = lambda a, b, w: f"sequence({a} div {w}, {b} div {w})"
+    first = f"greatest({start} div {width}, f_start div {width})"
+    if not long:
+        r = reads.withColumn("bin", F.explode(F.expr(bins(start, stop, width))))
+        f = feats.withColumn("bin", F.explode(F.expr(bins("f_start", "f_stop", width))))
+        return r.join(f, [*by, "bin"]).where(f"{start} <= f_stop and {stop} >= f_start and bin = {first}").drop("bin")
+    wide = width * WIDER
+    is_long = f"f_stop - f_start > {LONG * width}"
+    # bins of the wider kind are those below zero
+    below = lambda a, b: f"transform({bins(a, b, wide)}, x -> -1 - x)"
+    r = reads.withColumn("bin", F.explode(F.expr(f"concat({bins(start, stop, width)}, {below(start, stop)})")))
+    f = feats.withColumn("bin", F.explode(F.expr(f"if({is_long}, {below('f_start', 'f_stop')}, {bins('f_start', 'f_stop', width)})")))
+    own = f"if({is_long}, -1 - greatest({start} div {wide}, f_start div {wide}), {first})"
+    return r.join(f, [*by, "bin"]).where(f"{start} <= f_stop and {stop} >= f_start and bin = {own}").drop("bin")
 
 
 def features(variant: DataFrame) -> DataFrame:
     return variant.select("v_id", "chrom", F.col("pos").alias("f_start"), F.col("stop").alias("f_stop"), X.indel_length().alias("x"))
 
 
-def templates_over_features(scored: DataFrame, feats: DataFrame) -> DataFrame:
+def features_of_copies(variant: DataFrame, genotype: DataFrame) -> DataFrame:
+    """features() of a sample, with the copy (cpy) that each lies on: twice what is on both copies."""
+    on = F.when(F.col("gt") == 2, F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).otherwise(F.array(F.col("gt").cast("bigint")))
+    on = genotype.select("v_id", F.explode(on).alias("cpy"))
+    return features(variant).join(on, "v_id")
+
+
+def paired_only(scored: DataFrame) -> DataFrame:
+    """Reads that have a mate."""
+    return scored.where("is_paired") if "is_paired" in scored.columns else scored
+
+
+def templates_over_features(scored: DataFrame, feats: DataFrame, by: tuple = ("chrom",)) -> DataFrame:
     """Overlaps of the mates of reads that meet no feature themselves."""
-    met = overlap_join(scored, feats).select("read_serial").distinct()
-    return overlap_join(scored.join(met, "read_serial", "left_anti"), feats, "pos_m", "mate_stop")
+    met = overlap_join(scored, feats, by=by).select("read_serial").distinct()
+    return overlap_join(paired_only(scored).join(met, "read_serial", "left_anti"), feats, "pos_m", "mate_stop", by=by)
 
 
-def reads_outside_features(scored: DataFrame, feats: DataFrame) -> DataFrame:
-    met = overlap_join(scored, feats).select("read_serial").union(overlap_join(scored, feats, "pos_m", "mate_stop").select("read_serial")).distinct()
+def reads_outside_features(scored: DataFrame, feats: DataFrame, by: tuple = ("chrom",)) -> DataFrame:
+    """Reads that meet no feature, and whose mates meet none."""
+    met = overlap_join(scored, feats, by=by).select("read_serial").union(overlap_join(paired_only(scored), feats, "pos_m", "mate_stop", by=by).select("read_serial")).distinct()
     return scored.join(met, "read_serial", "left_anti")
 
 
+def accuracy_per_feature(feats: DataFrame, hits: DataFrame, by: tuple = ()) -> DataFrame:
+    """(by, v_id, x, correct, total) of every feature, also without reads; hits are overlaps of reads or of mates."""
+    n = hits.groupBy("v_id", *by).agg(F.count_if(F.col("xf") == 1).alias("correct"), F.count("*").alias("total"))
+    return feats.select("v_id", *by, "x").join(n, ["v_id", *by], "left").fillna(0, ["correct", "total"])
+
+
+def indel_count_covered(per_feature: DataFrame, most: int) -> DataFrame:
+    """(x, n): features of each length with a read at least, a feature of both copies once for each; of accuracy_per_feature()."""
+    return per_feature.where((F.col("total") > 0) & (F.abs("x") <= most)).groupBy("x").agg(F.count("*").alias("n"))
+
+
+def indel_accuracy(scored: DataFrame, variant: DataFrame, genotype: DataFrame | None = None, most: int = 50) -> dict[str, DataFrame]:
+    """How well reads are placed on, beside and away from variants; with the genotype of a sample, on the copy they come from.
+
+    reads, templates: (x, correct, total) of reads on features, and of those whose mate alone is on one; outside:
+    (correct, total); covered: (x, n) of features with reads. Without a genotype all variants count for both copies. As
+    copies are counted apart, a read is outside if it meets nothing of its own copy.
+    """
+    by = ("chrom",) if genotype is None else ("chrom", "cpy")
+    feats = features(variant) if genotype is None else features_of_copies(variant, genotype)
+    hits = overlap_join(scored, feats, by=by)
+    per = accuracy_per_feature(feats, hits, by[1:])
+    outside = reads_outside_features(scored, feats, by).agg(F.count_if(F.col("xf") == 1).alias("correct"), F.count("*").alias("total"))
+    return {"reads": accuracy_by_indel_length(hits, most), "templates": accuracy_by_indel_length(templates_over_features(scored, feats, by), most), "outside": outside, "covered": indel_count_covered(per, most)}
+
+
 def accuracy_by_indel_length(hits: DataFrame, max_indel: int) -> DataFrame:
     """(x, correct, total) for every length from -max_indel to max_indel; longer ones are left out."""
     got = hits.groupBy("x").agg(F.count_if(F.col("xf") == 1).alias("correct"), F.count("*").alias("total"))
@@ -111,22 +190,44 @@ def attach_runs(runs: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (d.withColumn("run", F.lit(k)) for k, d in runs.items()))
 
 
-def run_matrix(runs: DataFrame) -> DataFrame:
-    """(r, c, kind, n): reads of r that c lacks for all r and c, and reads of both for c from r on. One shuffle by read."""
-    names = runs.select("run").distinct()
-    sets = runs.groupBy("read_serial").agg(F.collect_set("run").alias("in_runs"))
-    each = sets.select("in_runs", F.explode("in_runs").alias("r"))
-    both = each.select("r", F.explode("in_runs").alias("c")).where("c >= r").groupBy("r", "c").count().withColumnRenamed("count", "n").withColumn("kind", F.lit("intersect"))
-    lacks = each.join(F.broadcast(names.select(F.col("run").alias("c"))), ~F.array_contains("in_runs", F.col("c"))) if names.count() <= 1000 else each.join(names.select(F.col("run").alias("c")), ~F.array_contains("in_runs", F.col("c")))
-    diff = lacks.groupBy("r", "c").count().withColumnRenamed("count", "n").withColumn("kind", F.lit("diff"))
+def run_matrix(runs: DataFrame, chrom: int | None = None, variants_only: bool = False) -> DataFrame:
+    """(r, c, kind, n): reads of r that c lacks for all r and c, and reads of both for c from r on. One shuffle by read.
+
+    Of one chromosome alone if given; variants_only takes reads whose true CIGAR (cigar) has a variant.
+    """
+    if chrom is not None:
+        runs = runs.where(F.col("chrom") == chrom)
+    if variants_only:
+        runs = runs.where(X.has_variant_cigar(F.col("cigar")))
+    sets = runs.groupBy("read_serial").agg(F.sort_array(F.collect_set("run")).alias("in_runs")).groupBy("in_runs").agg(F.count("*").alias("n"))
+    names = runs.select(F.col("run").alias("c")).distinct()
+    # a row for each set of runs that occurs and each of its runs: neither grows with the reads
+    each = sets.select("in_runs", "n", F.explode("in_runs").alias("r"))
+    both = each.select("r", "n", F.explode("in_runs").alias("c")).where("c >= r").groupBy("r", "c").agg(F.sum("n").alias("n")).withColumn("kind", F.lit("intersect"))
+    diff = each.crossJoin(names).where(~F.array_contains("in_runs", F.col("c"))).groupBy("r", "c").agg(F.sum("n").alias("n")).withColumn("kind", F.lit("diff"))
     return both.unionByName(diff).select("r", "c", "kind", "n")
 
 
+def matrix_width(contig: DataFrame, width: int | None = None, force: bool = False) -> int:
+    """The bin width of a misalignment matrix: a hundredth of all contigs if none is given; too many bins are an error unless forced."""
+    total, n = contig.agg(F.sum("seq_len"), F.count("*")).first()
+    width = width or max(1, int((total or 0) / 100))
+    edges = contig.agg(F.sum(F.ceil(F.col("seq_len") / width) + 1)).first()[0] or 0
+    if edges > MOST_BINS and not force:
+        raise ValueError(f"{edges} bins are more than {MOST_BINS}: take a larger width, or force it")
+    return width
+
+
 def misalignment_matrix(bad: DataFrame, width: int) -> DataFrame:
-    """Counts by correct and aligned (chrom, bin), of reads that are mapped."""
+    """Counts by correct and aligned (chrom, bin), of reads that are mapped; unmapped_by_bin() has the rest."""
     return bad.where("a_chrom >= 0").groupBy(F.col("chrom").alias("c_chrom"), X.bin_of("pos", width).alias("c_bin"), (F.col("a_chrom") + 1).alias("a_chrom"), X.bin_of("a_pos", width).alias("a_bin")).count().withColumnRenamed("count", "n")
 
 
+def unmapped_by_bin(bad: DataFrame, width: int) -> DataFrame:
+    """Reads without a place by correct (chrom, bin)."""
+    return bad.where("a_chrom < 0").groupBy(F.col("chrom").alias("c_chrom"), X.bin_of("pos", width).alias("c_bin")).agg(F.count("*").alias("n"))
+
+
 def misalignment_cell(bad: DataFrame, c1: int, p: tuple[int, int], c2: int, q: tuple[int, int]) -> DataFrame:
     return bad.where((F.col("chrom") == c1) & (F.col("pos") >= p[0]) & (F.col("pos") < p[1]) & (F.col("a_chrom") == c2 - 1) & (F.col("a_pos") >= q[0]) & (F.col("a_pos") < q[1])).agg(F.count("*").alias("n"))
 
@@ -153,7 +254,7 @@ def alignment_summary(alignments: DataFrame, scored: DataFrame) -> DataFrame:
     """All reads, those that are bad, and their percentage."""
     total = alignments.agg(F.count("*").alias("total"))
     bad = scored.agg(F.count_if(F.col("is_misaligned") | (F.col("is_unmapped") == 1)).alias("bad"))
-    return total.join(bad).withColumn("pct", F.when(F.col("total") > 0, F.col("bad") * 100.0 / F.col("total")).otherwise(0.0))
+    return total.crossJoin(bad).withColumn("pct", F.when(F.col("total") > 0, F.col("bad") * 100.0 / F.col("total")).otherwise(0.0))
 
 
 def pair_mates(alignments: DataFrame) -> DataFrame:
@@ -206,7 +307,7 @@ def histogram2d(df: DataFrame, x: str, y: str, most: int, bins: int = 100) -> Da
 
 def mean_coverage(reads: DataFrame, contig: DataFrame) -> DataFrame:
     """Bases of the reads over the bases of the contigs."""
-    return reads.agg(F.sum("rlen").alias("bases")).join(contig.agg(F.sum("seq_len").alias("all"))).select((F.col("bases") / F.col("all")).alias("coverage"))
+    return reads.agg(F.sum("rlen").alias("bases")).crossJoin(contig.agg(F.sum("seq_len").alias("all"))).select((F.col("bases") / F.col("all")).alias("coverage"))
 
 
 def run_report(runs: DataFrame, acc: DataFrame) -> DataFrame:
@@ -225,15 +326,31 @@ def serialise(df: DataFrame, order: list, bucket: Column, by: tuple = (), name:
     return df.withColumn("_b", bucket).join(before, [*by, "_b"]).withColumn(name, (F.col("_n") + own).cast("bigint")).drop("_b", "_n")
 
 
+def truth_templates(scored: DataFrame, width: int = 10000) -> DataFrame:
+    """A row for each aligned template on one chromosome, numbered by place and named by where its reads lie.
+
+    serial, qname, and the reads r0, r1 (a_chrom, a_pos, a_cigar, ro, rlen, and seq if scored has it); r1 is null for unpaired reads.
+    """
+    of = F.when(F.col("is_paired"), F.expr("read_serial div 10")).otherwise(F.col("read_serial"))
+    mate = F.when(F.col("is_paired"), F.col("read_serial") % 10).otherwise(0)
+    read = F.struct("a_chrom", "a_pos", "a_cigar", "ro", "rlen", *(["seq"] if "seq" in scored.columns else []))
+    both = scored.where("is_unmapped = 0").groupBy(of.alias("rs"), "is_paired").agg(*(F.max(F.when(mate == k, read)).alias(f"r{k}") for k in (0, 1)))
+    both = both.where("r0 is not null and (not is_paired or r1.a_chrom = r0.a_chrom)").select("*", F.col("r0.a_chrom").alias("c"), F.col("r0.a_pos").alias("p"))
+    numbered = serialise(both, ["p", "rs", "is_paired"], F.struct("c", X.bin_of("p", width)))
+    side = lambda k: [F.col(f"{k}.{c}") for c in ("ro", "a_pos", "rlen", "a_cigar")]  # noqa: E731  what is null is left out of the name
+    return numbered.select("serial", X.encode_qname(F.col("serial"), F.col("c") + 1, F.lit(0), *side("r0"), *side("r1")).alias("qname"), "r0", "r1")
+
+
 def truth_names(scored: DataFrame, width: int = 10000) -> DataFrame:
-    """(serial, qname) of a truth read set from aligned templates: numbered by place, named by where their reads lie."""
-    pairs = scored.where("is_unmapped = 0").groupBy(F.expr("read_serial div 10").alias("rs")).agg(
-        *(F.max(F.when(F.col("read_serial") % 10 == k, F.struct("a_chrom", "a_pos", "a_cigar", "ro"))).alias(f"r{k}") for k in (0, 1))
-    ).where("r0 is not null and r1 is not null")
-    pairs = pairs.select("rs", "r0", "r1", F.col("r0.a_chrom").alias("c"), F.col("r0.a_pos").alias("p"))
-    numbered = serialise(pairs, ["p", "rs"], F.struct("c", X.bin_of("p", width)))
-    side = lambda k: [F.col(f"{k}.ro"), F.col(f"{k}.a_pos"), F.lit(100), F.col(f"{k}.a_cigar")]
-    return numbered.select("serial", X.encode_qname(F.col("serial"), F.col("c") + 1, F.lit(0), *side("r0"), *side("r1")).alias("qname"))
+    """(serial, qname) of truth_templates()."""
+    return truth_templates(scored, width).select("serial", "qname")
+
+
+def truth_fastq(scored: DataFrame) -> DataFrame:
+    """(qname, mate, seq) of a truth read set, for write_fastq(): a row for each read of truth_templates(), on the strand it was read from."""
+    t = truth_templates(scored)
+    reads = t.select("qname", F.posexplode(F.array("r0", "r1")).alias("k", "r")).where("r is not null")
+    return reads.select("qname", (F.col("k") + 1).alias("mate"), F.col("r.seq").alias("seq"))
 
 
 def run_counts(kinds: DataFrame) -> DataFrame:

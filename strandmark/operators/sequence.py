@@ -1,4 +1,4 @@
-"""Sequence tables (seq_no, seq): k-mers, GC windows."""
+"""Sequence tables (seq_no, seq): k-mers, GC windows, haplotypes."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
-
+from .reads import overlap_join
 
 #: Bases that positions are counted in at once: finding a place in a string takes time with its distance from the start.
-PART = 1024
+PART = 128
 
 
 def parts(seqs: DataFrame, width: int, more: int = 0) -> DataFrame:
@@ -20,12 +20,12 @@ def parts(seqs: DataFrame, width: int, more: int = 0) -> DataFrame:
 
 
 def kmers(seqs: DataFrame, k: int, step: int = 1) -> DataFrame:
-    """A row for each k-mer at every step bases."""
+    """A row for each k-mer at every step bases; only the k-mers themselves leave their part."""
     width = step * max(1, PART // step)
     cut = parts(seqs, width, k - 1).where(F.length("part") >= k)
     at = F.sequence(F.lit(0), F.least(F.length("part") - k, F.lit(width - 1)), F.lit(step))
-    each = cut.select("seq_no", "c", "part", F.explode(at).alias("i"))
-    return each.select("seq_no", (F.col("c").cast("bigint") * width + F.col("i")).alias("at"), F.expr(f"substring(part, i + 1, {k})").alias("kmer"))
+    each = cut.select("seq_no", "c", F.posexplode(F.transform(at, lambda i: F.substring(F.col("part"), i + 1, F.lit(k)))).alias("i", "kmer"))
+    return each.select("seq_no", (F.col("c").cast("bigint") * width + F.col("i") * step).alias("at"), "kmer")
 
 
 def kmer_count(seqs: DataFrame, k: int) -> DataFrame:
@@ -42,6 +42,7 @@ def gc_windows(seqs: DataFrame, window: int) -> DataFrame:
 
 
 def contig_stats(seqs: DataFrame) -> DataFrame:
+    """Length and md5 of whole sequences; a sequence is a value of a row here."""
     return seqs.select("seq_no", F.length("seq").cast("bigint").alias("seq_len"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 
 
@@ -81,19 +82,89 @@ def gc_with_coverage(gc: DataFrame, coverage: DataFrame) -> DataFrame:
     return gc.join(some, "seq_no", "left_semi").join(coverage, ["seq_no", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def consensus_pieces(seqs: DataFrame, variant: DataFrame) -> DataFrame:
+def applied(variant: DataFrame, by: tuple = ("seq_no",)) -> DataFrame:
+    """variant(by, pos, stop, alt) of one copy, free of collisions, with the place of each allele on the haplotype (alt_start), and where the sequence before it begins (from, alt_from)."""
+    w = Window.partitionBy(*by).orderBy("pos")
+    grown = F.length("alt") - (F.col("stop") - F.col("pos"))
+    before = F.coalesce(F.sum(grown).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    v = variant.withColumn("shift", before).withColumn("from", F.coalesce(F.lag("stop").over(w), F.lit(0)))
+    return v.withColumn("alt_start", F.col("pos") + F.col("shift")).withColumn("alt_from", F.col("from") + F.col("shift")).drop("shift")
+
+
+def consensus_pieces(seqs: DataFrame, variant: DataFrame, width: int = 1 << 16) -> DataFrame:
     """(seq_no, alt_start, piece): the sequence of a copy with its variants applied, in pieces.
 
-    variant(seq_no, pos, stop, alt) of one copy, free of collisions. Reference pieces lie between them.
+    variant(seq_no, pos, stop, alt) of one copy, free of collisions. What lies between them is cut from chunks of the
+    sequence, so no join moves a whole one; places come from the variants alone.
+    """
+    v = applied(variant.select("seq_no", "pos", "stop", "alt"))
+    gaps = v.select("seq_no", F.col("from").alias("pos"), F.col("pos").alias("stop"), "alt_from")
+    ends = v.groupBy("seq_no").agg(F.max(F.struct("stop", (F.col("alt_start") + F.length("alt")).alias("alt"))).alias("m"))
+    tail = seqs.select("seq_no", F.length("seq").cast("bigint").alias("n")).join(ends, "seq_no", "left")
+    tail = tail.select("seq_no", F.coalesce("m.stop", F.lit(0)).cast("bigint").alias("pos"), F.col("n").alias("stop"), F.coalesce("m.alt", F.lit(0)).cast("bigint").alias("alt_from"))
+    spans = gaps.unionByName(tail).withColumn("start", F.col("pos"))
+    cut = spans_on_sequence(spans, chunked(seqs, width), width).select("seq_no", (F.col("alt_from") + F.col("at") - F.col("start")).alias("alt_start"), "piece")
+    alleles = v.where(F.length("alt") > 0).select("seq_no", "alt_start", F.col("alt").alias("piece"))
+    none = seqs.where(F.length("seq") == 0).select("seq_no", F.lit(0).cast("bigint").alias("alt_start"), F.lit("").alias("piece"))
+    return cut.unionByName(alleles).unionByName(none)
+
+
+def typed_pieces(contig: DataFrame, variant: DataFrame, by: tuple = ("seq_no",)) -> DataFrame:
+    """(by, f_start, f_stop, ref_pos, op, n): how a haplotype is made of the reference, as closed intervals of its own places.
+
+    '=' follows the reference from ref_pos, X is a replaced base, I has no place on the reference and ref_pos is what
+    follows it; D stands at the first place after it, with its length n. contig(by, seq_len); variant as for
+    consensus_pieces(), with ref. Equal first bases of an indel count as '='.
+    """
+    v = applied(variant, by).withColumn("r", F.length("ref")).withColumn("a", F.length("alt"))
+    grown = F.greatest(F.col("a") - F.col("r"), F.lit(0))
+    kept = F.least("r", "a")
+    piece = lambda start, n, ref, op: F.struct(start.cast("bigint").alias("f_start"), (start + n - 1).cast("bigint").alias("f_stop"), ref.cast("bigint").alias("ref_pos"), F.lit(op).alias("op"), F.when(F.lit(op) == "D", F.col("r") - F.col("a")).otherwise(n).cast("bigint").alias("n"))
+    s, pos = F.col("alt_start"), F.col("pos")
+    out = F.array(
+        piece(F.col("alt_from"), pos - F.col("from"), F.col("from"), "="),
+        F.when(F.col("r") == F.col("a"), piece(s, F.lit(1), pos, "X")),
+        F.when(F.col("r") == F.col("a"), piece(s + 1, F.col("r") - 1, pos + 1, "=")).otherwise(piece(s, kept, pos, "=")),
+        F.when(F.col("a") > F.col("r"), piece(s + kept, grown, pos + F.col("r"), "I")),
+        F.when(F.col("a") < F.col("r"), piece(s + kept, F.lit(1), pos + F.col("r"), "D")),
+    )
+    made = v.select(*by, F.explode(F.array_compact(out)).alias("q")).select(*by, "q.*")
+    ends = variant_ends(v, by)
+    tail = contig.join(ends, list(by), "left").withColumn("from", F.coalesce("last", F.lit(0))).withColumn("alt_from", F.coalesce("alt_last", F.lit(0)))
+    tail = tail.select(*by, F.col("alt_from").cast("bigint").alias("f_start"), (F.col("alt_from") + F.col("seq_len") - F.col("from") - 1).cast("bigint").alias("f_stop"), F.col("from").cast("bigint").alias("ref_pos"), F.lit("=").alias("op"), (F.col("seq_len") - F.col("from")).cast("bigint").alias("n"))
+    return made.unionByName(tail).where("n > 0")
+
+
+def variant_ends(v: DataFrame, by: tuple) -> DataFrame:
+    """(by, last, alt_last): the first places after the last allele, on the reference and on the haplotype; of applied()."""
+    return v.groupBy(*by).agg(F.max(F.struct("stop", (F.col("alt_start") + F.length("alt")).alias("alt"))).alias("m")).select(*by, F.col("m.stop").alias("last"), F.col("m.alt").alias("alt_last"))
+
+
+def lift_to_reference(intervals: DataFrame, pieces: DataFrame, by: tuple = ("seq_no",)) -> DataFrame:
+    """intervals(by, id, start, rlen) of a haplotype with their pos and CIGAR on the reference.
+
+    pos is the first base with a place there. An insertion at either end of an interval is S, one that fills it nS; a
+    deletion counts between two bases of the interval only. An interval must lie on the haplotype.
     """
-    w = Window.partitionBy("seq_no").orderBy("pos")
-    v = variant.select("seq_no", "pos", "stop", "alt").withColumn("from", F.coalesce(F.lag("stop").over(w), F.lit(0)))
-    parts = v.select("seq_no", "from", F.col("pos").alias("to"), "alt")
-    last = seqs.select("seq_no").join(v.groupBy("seq_no").agg(F.max("stop").alias("from")), "seq_no", "left").select("seq_no", F.coalesce("from", F.lit(0)).alias("from"), F.lit(None).cast("bigint").alias("to"), F.lit("").alias("alt"))
-    cut = parts.unionByName(last).join(seqs, "seq_no").withColumn("to", F.coalesce("to", F.length("seq").cast("bigint")))
-    cut = cut.select("seq_no", "from", "to", F.concat(F.expr("substring(seq, cast(`from` + 1 as int), cast(`to` - `from` as int))"), "alt").alias("piece"))
-    before = F.sum(F.length("piece")).over(Window.partitionBy("seq_no").orderBy("from", "to").rowsBetween(Window.unboundedPreceding, -1))
-    return cut.select("seq_no", F.coalesce(before, F.lit(0)).alias("alt_start"), "piece")
+    q = intervals.withColumn("end", F.col("start") + F.col("rlen") - 1)
+    met = overlap_join(q, pieces, "start", "end", by=by).where("op <> 'D' or start < f_start")
+    n = F.when(F.col("op") == "D", F.col("n")).otherwise(F.least("f_stop", "end") - F.greatest("f_start", "start") + 1)
+    cut = (F.col("f_start") <= F.col("start")) | (F.col("f_stop") >= F.col("end"))
+    op = F.when((F.col("op") == "I") & cut, "S").otherwise(F.col("op"))
+    at = F.when(F.col("op") == "I", F.col("ref_pos")).otherwise(F.col("ref_pos") + F.greatest(F.col("start") - F.col("f_start"), F.lit(0)))
+    # in order; a deletion comes before the bases that follow it
+    part = F.struct("f_start", (F.col("op") != "D").alias("later"), n.alias("n"), op.alias("op"), at.alias("at"))
+    rows = met.groupBy(*by, "id").agg(F.array_sort(F.collect_list(part)).alias("parts"))  # a row for each variant under one interval
+    kind = "array<struct<n:bigint,op:string>>"
+    top = lambda acc: F.try_element_at(acc, F.lit(-1))
+    step = lambda x: F.struct(x["n"].alias("n"), x["op"].alias("op"))
+    merged = F.aggregate(
+        "parts",
+        F.array().cast(kind),
+        lambda acc, x: F.when((F.size(acc) > 0) & (x["op"] == "=") & (top(acc)["op"] == "="), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct((top(acc)["n"] + x["n"]).alias("n"), x["op"].alias("op"))))).otherwise(F.concat(acc, F.array(step(x)))),
+    )
+    first = F.element_at(F.filter("parts", lambda x: x["op"] != "D"), 1)["at"]
+    return rows.select(*by, "id", first.alias("pos"), F.array_join(F.transform(merged, lambda x: F.concat(x["n"].cast("string"), x["op"])), "").alias("cigar"))
 
 
 def consensus(pieces: DataFrame) -> DataFrame:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from .reads import serialise
+
+#: Bases that an ordered pass over a chromosome takes in one task.
+STRETCH = 1 << 20
 
 
 def sample_variants(variant: DataFrame, genotype: DataFrame) -> DataFrame:
@@ -16,28 +24,91 @@ def copy_variants(sampled: DataFrame, copy: int) -> DataFrame:
     return sampled.where(F.col("gt").isin(copy, 2))
 
 
-def sweep(df: DataFrame, by: list[str], broken: Column, drop: Column) -> DataFrame:
-    """Greedy sweep in order of pos, inside clusters of neighbours that a break resets.
+def sample_names(genotype: DataFrame) -> DataFrame:
+    return genotype.select("sample").distinct()
+
+
+def first_samples(genotype: DataFrame, n: int) -> DataFrame:
+    """The first n names in order."""
+    return sample_names(genotype).orderBy("sample").limit(n)
+
+
+def contigs_with_variants(contig: DataFrame, variant: DataFrame) -> DataFrame:
+    return contig.join(variant.select("chrom"), "chrom", "left_semi")
+
+
+def concat_variants(lists: list[DataFrame]) -> DataFrame:
+    """Variant lists of several sources, one after the other, with new serial numbers by place."""
+    cols = ["chrom", "pos", "stop", "ref", "alt", "p"]
+    every = reduce(DataFrame.unionByName, (d.select(*cols, F.lit(k).alias("source"), F.col("v_id").alias("own_id")) for k, d in enumerate(lists)))
+    order = ["pos", "ref", "alt", "source", "own_id"]
+    return serialise(every, order, X.bin_of("pos", STRETCH), ("chrom",), "v_id")
+
 
-    Columns pos, stop, v_id. A cluster begins where broken holds; in a cluster a row goes if drop(row, last kept) does.
+def _chain(pos: np.ndarray, stop: np.ndarray, slack: int) -> np.ndarray:
+    """For each row in order, the next row that may be kept after it; len(pos) for none."""
+    return np.maximum(np.searchsorted(pos, stop + slack, side="right"), np.arange(1, len(pos) + 1))
+
+
+def _in_order(rows: pa.Table) -> pa.Table:
+    return rows.sort_by([("pos", "ascending"), ("v_id", "ascending")])
+
+
+def sweep(df: DataFrame, by: list[str], slack: int, width: int = STRETCH) -> DataFrame:
+    """Greedy sweep in order of (pos, v_id): a row is kept if pos > stop + slack of the last one kept. Columns by, pos, stop, v_id.
+
+    Chromosomes are cut into stretches. What a stretch does depends only on the stop of the last row kept before it, so
+    a first pass gives for each stretch the stop it ends with, by where its first kept row lies (few numbers, as chains
+    from different rows soon meet); these are followed from stretch to stretch, and a second pass keeps the rows.
     """
-    order = Window.partitionBy(*by).orderBy("pos", "v_id")
-    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    c = df.withColumn("reach", reach).withColumn("new", F.when(F.col("reach").isNull() | broken, 1).otherwise(0)).withColumn("cluster", F.sum("new").over(order))
-    kind = "array<struct<pos:bigint,v_id:bigint,stop:bigint>>"
-    rows = F.array_sort(F.collect_list(F.struct("pos", "v_id", "stop")))
-    fold = F.aggregate(rows, F.array().cast(kind), lambda acc, x: F.when((F.size(acc) > 0) & drop(x, F.try_element_at(acc, F.lit(-1))), acc).otherwise(F.concat(acc, F.array(x))))
-    return c.groupBy(*by, "cluster").agg(fold.alias("kept")).select(*by, F.explode("kept").alias("k")).select(*by, "k.pos", "k.stop", "k.v_id")
+    rows = df.select(*by, "pos", "stop", "v_id", X.bin_of("pos", width).alias("_b"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema)
+
+    def ends(t: pa.Table) -> pa.Table:
+        t = _in_order(t)
+        pos, stop = t["pos"].to_numpy(), t["stop"].to_numpy()
+        step, end = _chain(pos, stop, slack).tolist(), stop.tolist()
+        for i in range(len(end) - 1, -1, -1):
+            if step[i] < len(end):
+                end[i] = end[step[i]]
+        end = np.array(end)
+        last = np.flatnonzero(np.append(end[1:] != end[:-1], True))  # the last row of each run of equal ends
+        out = {c: t[c].slice(0, 1) for c in (*by, "_b")}
+        return pa.table(out | {"upto": pa.array([pos[last].tolist()], pa.list_(pa.int64())), "end": pa.array([end[last].tolist()], pa.list_(pa.int64()))})
+
+    def follow(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_b")
+        at, before = None, []
+        for upto, end in zip(t["upto"].to_pylist(), t["end"].to_pylist(), strict=True):
+            before.append(at)
+            k = 0 if at is None else int(np.searchsorted(np.array(upto), at + slack, side="right"))
+            at = end[k] if k < len(end) else at
+        return pa.table({c: t[c] for c in (*by, "_b")} | {"before": pa.array(before, pa.int64())})
+
+    def keep(t: pa.Table) -> pa.Table:
+        t = _in_order(t)
+        pos, stop, before = t["pos"].to_numpy(), t["stop"].to_numpy(), t["before"][0].as_py()
+        step = _chain(pos, stop, slack)
+        i = 0 if before is None else int(np.searchsorted(pos, before + slack, side="right"))
+        kept = []
+        while i < len(pos):
+            kept.append(i)
+            i = int(step[i])
+        return t.select([*by, "pos", "stop", "v_id"]).take(pa.array(kept, pa.int64()))
+
+    sums = rows.groupBy(*by, "_b").applyInArrow(ends, f"{kinds}, _b bigint, upto array<bigint>, end array<bigint>")
+    start = sums.groupBy(*by).applyInArrow(follow, f"{kinds}, _b bigint, before bigint")
+    return rows.join(start, [*by, "_b"]).groupBy(*by, "_b").applyInArrow(keep, f"{kinds}, pos bigint, stop bigint, v_id bigint")
 
 
 def remove_collisions(df: DataFrame, by: list[str]) -> DataFrame:
     """Keeps the first, and skips what begins at or before the stop of the last one kept."""
-    return sweep(df, by, F.col("pos") > F.col("reach"), lambda x, last: x["pos"] <= last["stop"])
+    return sweep(df, by, 0)
 
 
 def min_spacing(df: DataFrame, by: list[str], gap: int) -> DataFrame:
     """Skips what begins less than gap after the stop of the last one kept."""
-    return sweep(df, by, F.col("pos") - F.col("reach") >= gap, lambda x, last: x["pos"] - last["stop"] < gap)
+    return sweep(df, by, gap - 1)
 
 
 def merge_diploid(copies: DataFrame, by: list[str], filter_multi_allele: bool = False) -> DataFrame:
@@ -52,13 +123,23 @@ def merge_diploid(copies: DataFrame, by: list[str], filter_multi_allele: bool =
     return g.select(*by, "pos", F.explode(out).alias("o")).select(*by, "pos", "o.v_id", "o.gt")
 
 
-def nearest_variant(v1: DataFrame, v2: DataFrame) -> DataFrame:
-    """v1 with the nearest v2 of its chromosome: distance and indel length; the later one at equal distance."""
+def nearest_variant(v1: DataFrame, v2: DataFrame, width: int = STRETCH) -> DataFrame:
+    """v1 with the nearest v2 of its chromosome: distance and indel length; the later one at equal distance.
+
+    Neighbours are sought inside stretches of a chromosome; beyond their ends, each stretch knows the last v2 before
+    and the first one after it.
+    """
     last = v2.groupBy("chrom", "pos").agg(F.max_by("x", "v_id").alias("x2")).select("chrom", "pos", F.lit(None).cast("bigint").alias("v_id"), F.struct(F.col("pos").alias("p2"), "x2").alias("n"), F.lit(0).alias("side"))
-    both = v1.select("chrom", "pos", "v_id", F.lit(None).cast("struct<p2:bigint,x2:bigint>").alias("n"), F.lit(1).alias("side")).unionByName(last)
-    w = Window.partitionBy("chrom").orderBy("pos", "side")
-    down = Window.partitionBy("chrom").orderBy(F.desc("pos"), F.desc("side"))
+    both = v1.select("chrom", "pos", "v_id", F.lit(None).cast("struct<p2:bigint,x2:bigint>").alias("n"), F.lit(1).alias("side")).unionByName(last).withColumn("_b", X.bin_of("pos", width))
+    ends = both.groupBy("chrom", "_b").agg(F.max("n").alias("hi"), F.min("n").alias("lo"))
+    every = Window.partitionBy("chrom").orderBy("_b")
+    before = F.last("hi", ignorenulls=True).over(every.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("lo", ignorenulls=True).over(every.rowsBetween(1, Window.unboundedFollowing))
+    ends = ends.select("chrom", "_b", before.alias("before"), after.alias("after"))
+    w = Window.partitionBy("chrom", "_b").orderBy("pos", "side")
+    down = Window.partitionBy("chrom", "_b").orderBy(F.desc("pos"), F.desc("side"))
     near = both.withColumn("lo", F.last("n", ignorenulls=True).over(w)).withColumn("hi", F.last("n", ignorenulls=True).over(down)).where("side = 1")
+    near = near.join(ends, ["chrom", "_b"]).withColumn("lo", F.coalesce("lo", "before")).withColumn("hi", F.coalesce("hi", "after"))
     d0, d1 = F.col("pos") - F.col("lo.p2"), F.col("hi.p2") - F.col("pos")
     pick = F.when(F.col("lo").isNull() | (d1 <= d0), F.col("hi")).otherwise(F.col("lo"))
     return near.withColumn("m", pick).select("v_id", "chrom", "pos", F.abs(F.col("pos") - F.col("m.p2")).alias("dist"), F.col("m.x2").alias("length"))
@@ -66,17 +147,17 @@ def nearest_variant(v1: DataFrame, v2: DataFrame) -> DataFrame:
 
 def rebalance_spectrum(variant: DataFrame, spectrum: list[tuple[float, float]]) -> DataFrame:
     """Levels of p handed out in blocks of int(f*n+0.5) in the order of p; rows past the last block keep theirs."""
-    n = F.count("*").over(Window.partitionBy("chrom"))
-    rank = F.row_number().over(Window.partitionBy("chrom").orderBy("p", "v_id"))
+    sizes = variant.groupBy("chrom").agg(F.count("*").alias("_all"))
+    ranked = serialise(variant, ["v_id"], F.struct("p", X.bin_of("v_id", STRETCH)), ("chrom",), "_rank").join(sizes, "chrom")
     before: Column = F.lit(0)
     level = F.col("p")
     steps = []
     for p, f in spectrum:
-        before = before + F.floor(F.lit(f) * F.col("n") + 0.5)
+        before = before + F.floor(F.lit(f) * F.col("_all") + 0.5)
         steps.append((before, p))
     for bound, p in reversed(steps):
-        level = F.when(F.col("rank") <= bound, F.lit(p)).otherwise(level)
-    return variant.withColumn("n", n).withColumn("rank", rank).withColumn("p_new", level).drop("n", "rank")
+        level = F.when(F.col("_rank") < bound, F.lit(p)).otherwise(level)
+    return ranked.withColumn("p_new", level).drop("_all", "_rank")
 
 
 def waypoints(variant: DataFrame, by: list[str]) -> DataFrame:
@@ -89,7 +170,8 @@ def waypoints(variant: DataFrame, by: list[str]) -> DataFrame:
 
 
 def assign_v_id(variant: DataFrame) -> DataFrame:
-    return variant.withColumn("new_id", (F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "ref", "alt", "v_id")) - 1).cast("bigint"))
+    """Serial numbers from 0 by place, for each chromosome."""
+    return serialise(variant, ["pos", "ref", "alt", "v_id"], X.bin_of("pos", STRETCH), ("chrom",), "new_id")
 
 
 def indel_histogram(variant: DataFrame, most: int = 50) -> DataFrame:
@@ -144,7 +226,7 @@ def spectrum_histogram(variant: DataFrame, spectrum: list[tuple[float, float]])
     got = variant.groupBy(at.alias("i")).agg(F.count("*").alias("n"))
     every = variant.sparkSession.createDataFrame([(i, p, f) for i, (p, f) in enumerate(spectrum)], "i int, level double, share double")
     total = variant.agg(F.count("*").alias("total"))
-    return every.join(got, "i", "left").join(total).select("level", F.coalesce("n", F.lit(0)).alias("actual"), (F.col("share") * F.col("total")).alias("ideal"))
+    return every.join(got, "i", "left").crossJoin(total).select("level", F.coalesce("n", F.lit(0)).alias("actual"), (F.col("share") * F.col("total")).alias("ideal"))
 
 
 def force_homozygous(variant: DataFrame, seed: int, samples: int) -> DataFrame:
@@ -158,8 +240,6 @@ def nested_samples(variant: DataFrame, p_vx: float, p_vn: list[float], seed: int
 
     vx takes the first int(n * p_vx) rows of each chromosome and copy in hash order.
     """
-    from .reads import serialise
-
     u = lambda salt: X.hash_uniform(F.lit(seed), F.lit(salt), F.col("copy"), F.col("chrom"), F.col("v_id"))
     each = variant.select("chrom", "v_id", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")).alias("copy")).withColumn("rank_u", u("vx")).withColumn("u", u("v"))
     ranked = serialise(each, ["rank_u", "v_id"], F.floor(F.col("rank_u") * 1024), ("chrom", "copy"), "rank")

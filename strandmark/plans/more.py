@@ -9,7 +9,7 @@ from .. import functions as X
 from ..operators import reads as R
 from ..operators import sequence as Q
 from ..operators import variants as V
-from .registry import ACC, BOTH, FEATS, HITS, PCT, S1, SCORED, acc, feats, query, scored, view, with_
+from .registry import BOTH, FEATS, HITS, PCT, S1, feats, greedy, query, scored, view, with_
 
 #: Width of the chunks that sequences are cut into.
 CHUNK = 500
@@ -170,12 +170,126 @@ def c5(spark: SparkSession, d: str) -> DataFrame:
     return V.diploid_samples(view(spark, d, "fx_variant"), 7, 3)
 
 
-def g5(spark: SparkSession, d: str) -> DataFrame:
-    """Haplotype sequences: legal, collision-free variants applied to every sequence; checked against a loop in the tests."""
-    seqs = view(spark, d, "fx_seq")
-    legal = Q.legal_variants(view(spark, d, "fx_site"), Q.chunked(seqs, CHUNK), CHUNK)
-    kept = V.remove_collisions(legal.select("seq_no", "pos", "stop", "v_id"), ["seq_no"]).join(legal.select("v_id", "alt"), "v_id")
-    return Q.consensus_pieces(seqs, kept)
+LEGAL = "legal as (select v_id, seq_no, pos, stop, alt from fx_site v join fx_seq s using (seq_no) where stop<=length(seq) and not contains(substr(seq, (pos+1)::int, (stop-pos)::int), 'N'))"
 
 
-PLAIN = {"c5_diploid_samples": c5, "g5_consensus": g5}
+def haplotype(spark: SparkSession, d: str) -> DataFrame:
+    """Legal, collision-free variants of every sequence."""
+    legal = Q.legal_variants(view(spark, d, "fx_site"), Q.chunked(view(spark, d, "fx_seq"), CHUNK), CHUNK)
+    return V.remove_collisions(legal.select("seq_no", "pos", "stop", "v_id"), ["seq_no"]).join(legal.select("v_id", "ref", "alt"), "v_id")
+
+
+@query("g5_consensus", with_("fx_site", "fx_seq", extra=(
+    LEGAL, greedy("legal", "seq_no", 0),
+    "a as (select k.*, alt, lag(k.stop, 1, 0) over (partition by k.seq_no order by k.pos) f from kept k join legal l on k.v_id=l.v_id)",
+    "b as (select seq_no, string_agg(substr(seq, (f+1)::int, (pos-f)::int) || alt, '' order by pos) body, max(stop) f from a join fx_seq using (seq_no) group by seq_no)",
+)).replace("with ", "with recursive ", 1) + "select s.seq_no, length(h)::bigint hap_len, md5(h) hap_md5 from (select s.seq_no, coalesce(body, '') || substr(seq, (coalesce(f, 0)+1)::int) h from fx_seq s left join b on s.seq_no=b.seq_no) s")
+def _(spark, d):
+    whole = Q.consensus(Q.consensus_pieces(view(spark, d, "fx_seq"), haplotype(spark, d)))
+    return whole.select("seq_no", F.length("seq").cast("bigint").alias("hap_len"), F.md5(F.col("seq").cast("binary")).alias("hap_md5"))
+
+
+def g6(spark: SparkSession, d: str) -> DataFrame:
+    """Where reads of 60 bases, one at every 40 of each haplotype, lie on the reference; checked against a loop over bases in the tests."""
+    contig = view(spark, d, "fx_seq").select("seq_no", F.length("seq").cast("bigint").alias("seq_len"))
+    kept = haplotype(spark, d)
+    grown = kept.groupBy("seq_no").agg(F.sum(F.length("alt") - F.length("ref")).alias("g"))
+    ends = contig.join(grown, "seq_no", "left").select("seq_no", (F.col("seq_len") + F.coalesce("g", F.lit(0)) - 60).alias("last")).where("last >= 0")
+    reads = ends.select("seq_no", F.explode(F.expr("sequence(0L, last, 40L)")).alias("start")).select("seq_no", "start", F.col("start").alias("id"), F.lit(60).cast("bigint").alias("rlen"))
+    return Q.lift_to_reference(reads, Q.typed_pieces(contig, kept))
+
+
+@query("f6_fix_strand", with_("fx_seq") + "select seq_no, md5(case when seq_no % 2 <> (seq_no % 3)//2 then reverse(translate(seq,'ATCGN','TAGCN')) else seq end) seq, md5(case when seq_no % 2 <> (seq_no % 3)//2 then reverse(translate(seq,'ACGTN','vwxyz')) else translate(seq,'ACGTN','vwxyz') end) qual from fx_seq")
+def _(spark, d):
+    seq, qual = X.fix_strand(F.col("seq"), F.translate("seq", "ACGTN", "vwxyz"), F.expr("seq_no % 2"), F.expr("(seq_no % 3) div 2"))
+    return view(spark, d, "fx_seq").select("seq_no", F.md5(seq.cast("binary")).alias("seq"), F.md5(qual.cast("binary")).alias("qual"))
+
+
+@query("p2_to_truth_coordinates", with_("fx_align", extra=(S1, "ro as (select cast(split_part(qname,'|',1) as bigint)*10 + case when is_read1=1 then 0 else 1 end read_serial, split_part(qname,'|',case when is_read1=1 then 4 else 8 end)='1' is_reverse from fx_align)")) + "select s.read_serial, chrom-1 ref_id, pos apos, '100=' acigar, pos_m pnext, is_reverse, not is_reverse mate_is_reverse, a_chrom, a_pos, is_unmapped was_unmapped from scored_x s join ro using (read_serial)")
+def _(spark, d):
+    return R.to_truth_coordinates(scored(spark, d)).select("read_serial", "ref_id", "apos", "acigar", "pnext", "is_reverse", "mate_is_reverse", "a_chrom", "a_pos", "was_unmapped")
+
+
+@query("p1_score_unpaired", with_("fx_single") + "select split_part(qname,'|',1)::bigint read_serial, split_part(qname,'|',5)::bigint pos, 0::bigint pos_m, split_part(qname,'|',7) cigar, (apos = split_part(qname,'|',5)::bigint)::int::bigint xf, split_part(qname,'|',7) <> '5I95=' cigar_ok, not (apos = split_part(qname,'|',5)::bigint and split_part(qname,'|',7) <> '5I95=') is_misaligned from fx_single where is_secondary=0 and split_part(qname,'|',5)<>'none'")
+def _(spark, d):
+    s = R.score_alignments(view(spark, d, "fx_single"), cigar_errors=True)
+    return s.select("read_serial", "pos", F.col("pos_m").cast("bigint").alias("pos_m"), "cigar", "xf", "cigar_ok", "is_misaligned")
+
+
+@query("a25_sample_names", with_("fx_genotype") + "select distinct sample from fx_genotype")
+def _(spark, d):
+    return V.sample_names(view(spark, d, "fx_genotype"))
+
+
+@query("o4_first_samples", with_("fx_genotype") + "select distinct sample from fx_genotype order by sample limit 10")
+def _(spark, d):
+    return V.first_samples(view(spark, d, "fx_genotype"), 10)
+
+
+@query("a25_contigs_with_variants", with_("fx_contig", "fx_variant") + "select * from fx_contig where chrom in (select chrom from fx_variant)")
+def _(spark, d):
+    return V.contigs_with_variants(view(spark, d, "fx_contig"), view(spark, d, "fx_variant"))
+
+
+@query("o3_concat_variants", with_("fx_variant", "fx_site", extra=("e as (select 0 source, v_id own_id, chrom, pos, ref, alt from fx_variant union all select 1, v_id, seq_no % 5 + 1, pos, ref, alt from fx_site)",)) + "select source, own_id, chrom, pos, row_number() over (partition by chrom order by pos, ref, alt, source, own_id)-1 v_id from e")
+def _(spark, d):
+    site = view(spark, d, "fx_site").withColumn("chrom", F.expr("seq_no % 5 + 1")).withColumn("p", F.lit(0.0))
+    return V.concat_variants([view(spark, d, "fx_variant"), site]).select("source", "own_id", "chrom", "pos", "v_id")
+
+
+@query("a2_templates_per_feature", with_("fx_align", "fx_variant", extra=(S1, FEATS, HITS, "mates as (select f.v_id, s.xf from scored_x s join feats f on s.chrom=f.chrom and s.pos_m <= f.f_stop and s.mate_stop >= f.f_start where s.read_serial not in (select read_serial from hits))")) + "select f.v_id, f.x, count(*) filter (xf=1) correct, count(xf) total from feats f left join mates m on f.v_id=m.v_id group by f.v_id, f.x")
+def _(spark, d):
+    f = feats(spark, d)
+    return R.accuracy_per_feature(f, R.templates_over_features(scored(spark, d), f))
+
+
+COPIES = (
+    "featsc as (select f.*, c.cpy from feats f join fx_genotype g on f.v_id=g.v_id and g.sample=1 join (select unnest([0,1])::bigint cpy) c on g.gt=2 or g.gt=c.cpy)",
+    "hitsc as (select s.read_serial, s.xf, f.x, f.v_id, f.cpy from scored_x s join featsc f on s.chrom=f.chrom and s.cpy=f.cpy and s.pos <= f.f_stop and s.read_stop >= f.f_start)",
+    "matec as (select s.read_serial, s.xf, f.x from scored_x s join featsc f on s.chrom=f.chrom and s.cpy=f.cpy and s.pos_m <= f.f_stop and s.mate_stop >= f.f_start)",
+    "tplc as (select * from matec where read_serial not in (select read_serial from hitsc))",
+)
+BY_X = "select '{0}' part, r.x, count(*) filter (xf=1) correct, count(xf) total from (select unnest(range(-20,21)) x) r left join {1} h on r.x=h.x group by r.x"
+
+
+@query("c1_indel_accuracy", with_("fx_align", "fx_variant", "fx_genotype", extra=(S1, FEATS, *COPIES)) + f"{BY_X.format('reads', 'hitsc')} union all {BY_X.format('templates', 'tplc')} union all select 'covered', x, n, n from (select x, count(*) n from (select distinct x, v_id, cpy from hitsc) group by x) union all select 'outside', null, count(*) filter (xf=1), count(*) from scored_x where read_serial not in (select read_serial from hitsc union all select read_serial from matec)")
+def _(spark, d):
+    g = view(spark, d, "fx_genotype").where("sample = 1")
+    got = R.indel_accuracy(scored(spark, d), view(spark, d, "fx_variant"), g, 20)
+    part = lambda name, *cols: got[name].select(F.lit(name).alias("part"), *cols)
+    both = [part(k, "x", "correct", "total") for k in ("reads", "templates")]
+    covered = part("covered", "x", F.col("n").alias("correct"), F.col("n").alias("total"))
+    outside = part("outside", F.lit(None).cast("bigint").alias("x"), "correct", "total")
+    return both[0].unionByName(both[1]).unionByName(covered).unionByName(outside)
+
+
+@query("j1_reads_over_copies", with_("fx_align", "fx_variant", "fx_genotype", extra=(S1, FEATS, *COPIES)) + "select read_serial, v_id, cpy, x, xf from hitsc")
+def _(spark, d):
+    f = R.features_of_copies(view(spark, d, "fx_variant"), view(spark, d, "fx_genotype").where("sample = 1"))
+    return R.overlap_join(scored(spark, d), f, by=("chrom", "cpy")).select("read_serial", "v_id", "cpy", "x", "xf")
+
+
+@query("a12_run_matrix_of_chrom", with_("fx_align", extra=(*BOTH, "runs as (select 'a' run, read_serial from b1 where chrom=2 union all select 'b', read_serial from b2 where chrom=2)")) + "select x.run r, y.run c, 'intersect' kind, count(*) n from runs x join runs y on x.read_serial=y.read_serial and x.run<=y.run group by 1,2 union all select x.run, y.run, 'diff', count(*) from runs x cross join (select distinct run from runs) y where not exists (select 1 from runs z where z.run=y.run and z.read_serial=x.read_serial) group by 1,2")
+def _(spark, d):
+    return R.run_matrix(R.attach_runs({k: R.bad_reads(scored(spark, d, i)).select("read_serial", "chrom", "cigar") for i, k in ((1, "a"), (2, "b"))}), chrom=2)
+
+
+@query("a8_default_bins", with_("fx_align", extra=(S1,)) + "select chrom c_chrom, pos//50000 c_bin, count(*) n from scored_x where is_unmapped=1 group by all")
+def _(spark, d):
+    return R.unmapped_by_bin(R.bad_reads(scored(spark, d)), R.matrix_width(view(spark, d, "fx_contig")))
+
+
+BASES = "translate(substr(repeat(md5(concat(qname, is_read1::varchar)), 4), 1, 100), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+@query("c2_truth_fastq", with_("fx_align", extra=(
+    f"a as (select cast(split_part(qname,'|',1) as bigint) rs, is_read1, ref_id, apos, acigar, split_part(qname,'|',case when is_read1=1 then 4 else 8 end) ro, {BASES} seq from fx_align where is_unmapped=0 and mapq>=20)",
+    "t as (select x.rs, x.ref_id c, x.apos p, x.seq s0, y.seq s1, concat_ws('|', x.ro, x.apos::varchar, '100', x.acigar) h0, concat_ws('|', y.ro, y.apos::varchar, '100', y.acigar) h1 from a x join a y on x.rs=y.rs and x.is_read1=1 and y.is_read1=0)",
+    "n as (select *, concat_ws('|', (row_number() over (order by c, p, rs)-1)::varchar, (c+1)::varchar, '0', h0, h1) qname from t)",
+)) + "select qname, 1 mate, s0 seq from n union all select qname, 2, s1 from n")
+def _(spark, d):
+    bases = F.translate(F.substring(F.repeat(F.md5(F.concat("qname", F.col("is_read1").cast("string")).cast("binary")), 4), 1, 100), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return R.truth_fastq(R.filter_mapped(R.score_alignments(view(spark, d, "fx_align").withColumn("seq", bases)), 20))
+
+
+PLAIN = {"c5_diploid_samples": c5, "g6_lift_to_reference": g6}
