@@ -42,7 +42,9 @@ ALIKE = 98
 #: A bucket of more members is compared by tiles, of TILE members; smaller ones are compared many in a task.
 WHOLE, TILE = 64, 1024
 #: Members of small buckets that a task compares, about.
-MEMBERS = 20_000
+MEMBERS = 2_000
+#: Edges whose components a task finds by itself.
+EDGES = 200_000
 #: Text bytes of a tile of a family, about, and shingles that are counted at once.
 TEXTS, COLUMNS = 1 << 20, 8192
 G1, G2, G3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -294,11 +296,50 @@ def similarities(texts: list[bytes]) -> np.ndarray:
     return overlap / np.maximum(size[:, None] + size[None, :] - overlap, 1)
 
 
+def joined_up(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) for the nodes of these edges that aren't the least themselves."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for side in (x, y):
+            np.minimum.at(new, label[side], low)
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    below = label < np.arange(len(nodes))
+    return nodes[below], nodes[label[below]]
+
+
+def _contracted(batches):
+    """Edges of a task as stars, EDGES at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def stars():
+        a, b = (np.concatenate([x[k].to_numpy(zero_copy_only=False) for x in held]) for k in ("a", "b"))
+        return pa.record_batch([pa.array(c) for c in joined_up(a, b)], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= EDGES:
+            yield stars()
+            held, rows = [], 0
+    if held:
+        yield stars()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each connected component, for the nodes of edges(a, b).
 
-    Alternating large and small stars; each round is a table in the shared folder, and its size is all that
-    the driver sees. Minima are joined back rather than neighbours gathered, so a hub has no list of them.
+    Tasks first make stars of the edges that they hold, a bounded number at a time; where all edges fit one task, that is
+    all. Otherwise large and small stars alternate over all edges; each round is a table in the shared folder, and its size
+    is all that the driver sees. Minima are joined back rather than neighbours gathered, so a hub has no list of them.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -311,16 +352,17 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = written(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "edges")
-    seen = mark(now)
-    while True:
-        after = written(star(star(now, True), False), "edges")
-        found = mark(after)
-        forget(now)
-        now = after
-        if found == seen:
-            break
-        seen = found
+    def contracted(df: DataFrame, tasks: int) -> DataFrame:
+        return written(df.select("a", "b").coalesce(tasks).mapInArrow(_contracted, "a long, b long"), "edges")
+
+    n = edges.count()
+    now = contracted(edges, -(-n // EDGES) or 1)
+    if n > EDGES:
+        seen = None
+        while (found := mark(now)) != seen:
+            after = written(star(star(now, True), False), "edges")
+            forget(now)
+            now, seen = after, found
     # every node now hangs on its root
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
