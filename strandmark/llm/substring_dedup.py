@@ -7,7 +7,7 @@ named first; a suffix can only tie with another over LENGTH bytes if a sample in
 that occurs again, and only such suffixes are sorted. They go to buckets by the leading bits of the name of
 their prefix; one bucket at a time is sorted, and each tie is given the first block that it occurs in.
 
-Copies of a whole text go first, by a digest. The other documents are dealt to blocks of bounded size in the order of their ids. A block sends packed sorted names,
+Copies of a whole text go first, by a digest. The other documents are dealt to blocks of bounded size in the order of their ids (blocked()). A block sends packed sorted names,
 each once, so a string that every document has costs one name a block; a bucket answers with one bit a
 name, in the same order. Texts go no further than to their block.
 """
@@ -23,13 +23,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_list, int_list, prefix_hash, sliced, small, span_hash, written
+from .common import binary_list, int_list, prefix_hash, released, sliced, small, span_hash, written
 
 LENGTH, PERIOD = 50, 31
 #: A perfect difference set modulo 31; fixed values.
 COVER = (0, 1, 3, 8, 12, 18)
 SAMPLE = LENGTH - PERIOD + 1
 BLOCK = 8 << 20
+#: Quantiles of the ids that blocks are cut by, and blocks that one id may be dealt to.
+QUANTILES, PARTS = 256, 1 << 24
 #: Names of samples keep so many bits besides their bucket: a name of 2**20 in a bucket is taken for another with 1e-6, and then is sorted in vain.
 SAMPLE_BITS = 40
 
@@ -74,7 +76,7 @@ def sample_names(texts: list[bytes], n: int) -> tuple[list[tuple], np.ndarray]:
     return out, np.concatenate(names) if names else np.zeros(0, np.uint64)
 
 
-SENT = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary())])
+SENT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("names", pa.binary())])
 
 
 def _cuts(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,7 @@ def send_samples(rows: pa.Table, n: int) -> pa.Table:
     low, high = names.astype(np.uint32), ((names >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8)
     first, last = _cuts(bucket)
     blobs = [low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(first, last, strict=True)]
-    return pa.table([pa.array(np.full(len(first), block, np.int32)), pa.array(bucket[first].astype(np.int32)), pa.array(blobs, pa.binary())], schema=SENT)
+    return pa.table([pa.array(np.full(len(first), block, np.int64)), pa.array(bucket[first].astype(np.int32)), pa.array(blobs, pa.binary())], schema=SENT)
 
 
 def repeated_samples(rows: pa.Table) -> pa.Table:
@@ -165,11 +167,11 @@ def send_suffixes(rows: pa.Table, answers: pa.Table, n: int) -> pa.Table:
     s = Suffixes(_in_order(rows)[1], answers, n)
     first, last = _cuts(s.buckets)
     blobs = [zstandard.compress(np.diff(s.names[a:b], prepend=np.uint64(0)).tobytes() + s.more[a:b].tobytes(), 1) for a, b in zip(first, last, strict=True)]
-    return pa.table([pa.array(np.full(len(first), block, np.int32)), pa.array(s.buckets[first].astype(np.int32)), pa.array(blobs, pa.binary())], schema=SENT)
+    return pa.table([pa.array(np.full(len(first), block, np.int64)), pa.array(s.buckets[first].astype(np.int32)), pa.array(blobs, pa.binary())], schema=SENT)
 
 
 def earlier_suffixes(rows: pa.Table) -> pa.Table:
-    """Sorts one bucket. For each block: a bit for each of its names, set if an earlier block has it."""
+    """Sorts one bucket. For each block: a bit for each of its names, set if a block of a lower rank has it."""
     h1, h2, of = [], [], []
     blocks = int_list(rows["block"])
     for block, blob in zip(blocks, binary_list(rows["names"]), strict=True):
@@ -177,13 +179,15 @@ def earlier_suffixes(rows: pa.Table) -> pa.Table:
         k = len(blob) // 10
         h1.append(np.cumsum(np.frombuffer(blob, np.uint64, k), dtype=np.uint64))
         h2.append(np.frombuffer(blob, np.uint16, k, 8 * k))
-        of.append(np.full(k, block, np.int32))
+        of.append(np.full(k, block // PARTS, np.int64))
     sizes = [len(x) for x in h1]
     h1, h2, of = (np.concatenate(x) for x in (h1, h2, of))
     order = np.lexsort((of, h2, h1))
     x, y = h1[order], h2[order]
+    new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    rank = of[order]
     tied = np.zeros(len(order), bool)
-    tied[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    tied[order] = rank > rank[np.flatnonzero(new)[np.cumsum(new) - 1]]
     bits = [np.packbits(t).tobytes() for t in np.split(tied, np.cumsum(sizes)[:-1])]
     return pa.table([rows["block"], rows["bucket"], pa.array(bits, pa.binary())], schema=SENT)
 
@@ -231,23 +235,39 @@ def remove(rows: pa.Table, answers: pa.Table, n: int, digest: bool) -> pa.Table:
 
 
 def blocked(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """rows with a block number that rises with doc_id, and how many blocks; blocks are of about block_bytes of text.
+    """rows with a block number, and how many blocks there are, about; blocks are of about block_bytes of text.
 
-    Ids are put into four times as many cells of equal width, and cells are gathered in order until a block is
-    full; only the cells, not the rows, are summed in order. Null ids are the last block.
+    A block's rank is its number over PARTS, and ranks rise with doc_id. Ids are put into cells: each of QUANTILES
+    quantiles of the ids alone, and what lies between two of them in steps of equal width. Only cells, not rows, are
+    summed in order and gathered until a block is full. A cell of one id, or of null ids, that is larger than a block is
+    dealt by text to blocks of the same rank. So neither a far outlier nor a frequent id makes a large block.
     """
     size = F.octet_length("text")
     lo, hi, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.sum(size)).first()
-    if lo is None:
-        return rows.withColumn("block", F.lit(0)), 1
-    cells = max(1, 4 * (total or 0) // block_bytes)
-    width = (hi - lo) // cells + 1
-    cell = F.when(F.col("doc_id").isNull(), F.lit(cells + 1)).otherwise(F.expr(f"(doc_id - {lo}) div {width}")).cast("long")
+    n = max(1, (total or 0) // block_bytes)
+    if n == 1:
+        return rows.withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(PARTS)).otherwise(F.lit(0)).cast("long")), 1
+    k = min(QUANTILES, 4 * n)
+    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 100 * k)).first()[0] or []))
+    edges = [lo, *cuts, hi] if lo is not None else []
+    steps = max(1, 4 * n // k)
+    below = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("doc_id")))
+    start = F.element_at(F.lit(edges or [0]).cast("array<bigint>"), below + 1)
+    width = F.element_at(F.lit([(b - a) // steps + 1 for a, b in zip(edges, edges[1:], strict=False)] or [1]).cast("array<bigint>"), below + 1)
+    alone = F.col("doc_id").isin(cuts) if cuts else F.lit(False)
+    at = F.when(F.col("doc_id").isNull(), F.lit(2 * len(cuts) + 2)).when(alone, 2 * below + 1).otherwise(2 * below)
+    step = F.when(F.col("doc_id").isNull() | alone, F.lit(0)).otherwise(F.floor((F.col("doc_id") - start) / width))
+    cell = F.struct(at.cast("int").alias("at"), step.cast("long").alias("step"))
     sizes = rows.select(cell.alias("cell"), size.alias("size")).groupBy("cell").agg(F.sum("size").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = written(sizes.select("cell", F.expr("0L").alias("z"), before.alias("before")).select("cell", F.floor(F.col("before") / block_bytes).cast("int").alias("block")), "cells")
-    n = places.agg(F.max("block")).first()[0] + 1
-    return rows.withColumn("cell", cell).join(places, "cell").drop("cell"), n
+    whole = F.floor(before / block_bytes)
+    heavy = (F.col("cell.at") % 2 == 1) & (F.col("size") > block_bytes)
+    last = F.col("cell.at") == 2 * len(cuts) + 2  # null ids rank after all others
+    rank = F.when(last, F.lit(2 * n + 4)).otherwise(2 * whole + F.when(heavy, 1).otherwise(0))
+    parts = F.when(heavy | last, F.greatest(F.lit(1), F.ceil(F.col("size") / block_bytes))).otherwise(1)
+    places = written(sizes.select("cell", (rank * PARTS).cast("long").alias("first"), parts.cast("int").alias("parts")), "cells")
+    dealt = rows.withColumn("cell", cell).join(places, "cell")
+    return dealt.withColumn("block", F.col("first") + F.pmod(F.xxhash64("text"), F.col("parts"))).drop("cell", "first", "parts"), n
 
 
 def remove_repeats(docs: DataFrame, digest: bool = False, block_bytes: int = BLOCK) -> DataFrame:
@@ -264,13 +284,13 @@ def remove_repeats(docs: DataFrame, digest: bool = False, block_bytes: int = BLO
     first = small(copies.select(F.col("doc_id").alias("id2"), "of").distinct())
     rows = rows.withColumn("of2", F.md5("text")).join(first, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("of2") == F.col("of")), "left_anti").select("doc_id", "text")
     rows, n = blocked(rows, block_bytes)
-    kind = "block int, bucket int, names binary"
+    kind = "block long, bucket int, names binary"
     by_block = rows.groupBy("block")
-    sent = by_block.applyInArrow(lambda t: send_samples(t, n), kind)
-    samples = written(sent.groupBy("bucket").applyInArrow(repeated_samples, kind), "samples")
-    sent = by_block.cogroup(samples.groupBy("block")).applyInArrow(lambda a, b: send_suffixes(a, b, n), kind)
-    suffixes = written(sent.groupBy("bucket").applyInArrow(earlier_suffixes, kind), "suffixes")
+    sent = by_block.applyInArrow(lambda t: released(send_samples(t, n)), kind)
+    samples = written(sent.groupBy("bucket").applyInArrow(lambda t: released(repeated_samples(t)), kind), "samples")
+    sent = by_block.cogroup(samples.groupBy("block")).applyInArrow(lambda a, b: released(send_suffixes(a, b, n)), kind)
+    suffixes = written(sent.groupBy("bucket").applyInArrow(lambda t: released(earlier_suffixes(t)), kind), "suffixes")
     answers = samples.withColumn("kind", F.lit(0)).unionByName(suffixes.withColumn("kind", F.lit(1)))
-    out = by_block.cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: remove(a, b, n, digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = by_block.cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: released(remove(a, b, n, digest)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     none = F.lit(hashlib.sha256(b"").hexdigest().encode() if digest else b"")
     return out.unionByName(copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), none.alias("kept")))
