@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import pyarrow as pa
 import regex
@@ -23,6 +24,8 @@ SEGMENT, LARGEST = 32, 256
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose counts a worker remembers.
 REMEMBERED = 200_000
+#: Documents whose trees a task holds at once.
+PORTION = 256
 _CODERS: dict[str, Coder] = {}
 
 
@@ -60,14 +63,34 @@ class Counted:
         self.coder, self.recoded = coder, 0
         self._build(coder.pieces(text))
 
+    @classmethod
+    def kept(cls, segments: list[dict], coder: Coder) -> Counted:
+        """The tree of stored segments: nothing is cut or encoded again."""
+        self = cls.__new__(cls)
+        self.coder, self.recoded, self.segments = coder, 0, []
+        for s in segments:
+            text, at, pieces = s["text"], 0, []
+            for n in array("I", s["lengths"]):
+                pieces.append(text[at : at + n])
+                at += n
+            self.segments.append(pieces)
+        self._sum([s["tokens"] for s in segments])
+        return self
+
+    def stored(self) -> list[dict]:
+        """The segments in order: text, packed lengths of its pre-tokens, tokens."""
+        return [{"text": "".join(s), "lengths": array("I", map(len, s)).tobytes(), "tokens": self.tokens[self.leaves + i]} for i, s in enumerate(self.segments)]
+
     def _build(self, pieces: list[str]) -> None:
         self.segments = [pieces[i : i + SEGMENT] for i in range(0, len(pieces), SEGMENT)] or [[]]
+        self._sum([sum(map(self.coder.count, s)) for s in self.segments])
+
+    def _sum(self, tokens: list[int]) -> None:
         self.leaves = 1 << (len(self.segments) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.leaves), [0] * (2 * self.leaves)
-        count = self.coder.count
         for i, s in enumerate(self.segments):
             self.chars[self.leaves + i] = sum(map(len, s))
-            self.tokens[self.leaves + i] = sum(map(count, s))
+            self.tokens[self.leaves + i] = tokens[i]
         for i in range(self.leaves - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -195,34 +218,65 @@ class Counted:
             self._build([p for x in self.segments for p in x])
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("n_edits", pa.int64()), ("n_recoded", pa.int64()), ("edited_chars", pa.int64()), ("edited_tokens", pa.int64()), ("edited_sha256", pa.string())])
+SEGMENTS = "array<struct<text:string,lengths:binary,tokens:bigint>>"
+COUNTS = "n_chars long, n_tokens long, n_edits long, n_recoded long, edited_chars long, edited_tokens long, edited_sha256 string"
+_SEGMENTS = pa.list_(pa.struct([("text", pa.string()), ("lengths", pa.binary()), ("tokens", pa.int64())]))
+_EDITED = pa.schema([("doc_id", pa.int64()), ("segments", _SEGMENTS), *((c, pa.int64()) for c in ("n_chars", "n_tokens", "n_edits", "n_recoded", "edited_chars", "edited_tokens")), ("edited_sha256", pa.string())])
 
 
-def count_edits(docs: DataFrame, path: str) -> DataFrame:
-    """Token counts of docs(doc_id, text, edits) before and after its edits, in their order.
+def segment_trees(docs: DataFrame, path: str, carry: tuple = ()) -> DataFrame:
+    """(doc_id, segments) of docs(doc_id, text): the table that is kept for each document, from which edits start.
+
+    A segment has its text, the packed lengths of its pre-tokens and its tokens; sums over them are made when read. path: a
+    vocabulary file of byte-level ranks, at the same place on every executor. Columns named in carry come along. A null
+    text is empty and has one empty segment; repeated rows stay; other columns are not read; an empty table gives no rows.
+    No shuffle.
+    """
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
+
+    def rows(batches):
+        coder = Coder.of(path)
+        for batch in batches:
+            for a in range(0, batch.num_rows, PORTION):
+                part = batch.slice(a, PORTION)
+                trees = pa.array([Counted(t, coder).stored() for t in part["text"].to_pylist()], _SEGMENTS)
+                yield pa.record_batch([part["doc_id"], *(part[c] for c in carry), trees], names=["doc_id", *carry, "segments"])
+
+    return docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, f"{kinds}, segments {SEGMENTS}")
+
 
-    edits: array of (start, stop, text), places by code point in the text as the edits before have left it; places
-    beyond the text are its end, and a null place or text counts as 0 or empty. path: a vocabulary file of byte-level
-    ranks, which executors read. A null text is empty, null edits are none; repeated rows are counted each; other
-    columns are not read; an empty table gives no rows. No shuffle: a row's tree lives as long as the row is worked on.
+def edit_trees(trees: DataFrame, path: str) -> DataFrame:
+    """trees(doc_id, segments, edits) after their edits, in their order, with the counts before and after.
+
+    edits: array of (start, stop, text), places by code point in the text as the edits before have left it; places beyond the
+    text are its end, and a null place or text counts as 0 or empty. Only pre-tokens that an edit touches, and a few
+    around it (n_recoded), are cut and encoded again. Null edits are none; null segments are an empty text; repeated rows
+    are edited each. The result has the form of segment_trees() and can be edited again. No shuffle.
     """
 
     def rows(batches):
         coder = Coder.of(path)
         for batch in batches:
-            cols: list[list] = [[] for _ in RESULT]
-            for doc_id, text, edits in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "edits")), strict=True):
-                tree = Counted(text, coder)
-                before = (tree.n_chars, tree.n_tokens)
-                for e in edits or []:
-                    if e is not None:
-                        tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                for c, v in zip(cols, [doc_id, *before, len(edits or []), tree.recoded, tree.n_chars, tree.n_tokens, hashlib.sha256(tree.text.encode()).hexdigest()], strict=True):
-                    c.append(v)
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, RESULT, strict=True)], schema=RESULT)
-
-    kinds = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in RESULT)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "edits").mapInArrow(rows, kinds)
+            for a in range(0, batch.num_rows, PORTION):
+                part, out = batch.slice(a, PORTION), []
+                for doc_id, segments, edits in zip(*(part[c].to_pylist() for c in ("doc_id", "segments", "edits")), strict=True):
+                    tree = Counted.kept(segments, coder) if segments else Counted("", coder)
+                    before = (tree.n_chars, tree.n_tokens)
+                    for e in edits or []:
+                        if e is not None:
+                            tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
+                    out.append((doc_id, tree.stored(), *before, len(edits or []), tree.recoded, tree.n_chars, tree.n_tokens, hashlib.sha256(tree.text.encode()).hexdigest()))
+                yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_EDITED)], schema=_EDITED)
+
+    return trees.select("doc_id", "segments", "edits").mapInArrow(rows, f"doc_id long, segments {SEGMENTS}, {COUNTS}")
+
+
+def count_edits(docs: DataFrame, path: str) -> DataFrame:
+    """Token counts of docs(doc_id, text, edits) before and after its edits: edit_trees() of segment_trees(), without the segments.
+
+    The trees of this call aren't kept; write segment_trees() to keep them. Nulls, empty texts and repeated rows as there.
+    """
+    return edit_trees(segment_trees(docs, path, ("edits",)), path).drop("segments")
 
 
 def sample_edits(text: str = "text"):
