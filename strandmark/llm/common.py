@@ -79,13 +79,16 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Most rows of a table that is broadcast; a larger one is joined by shuffle.
-MOST_ROWS = 300_000
+#: Most rows, and bytes of their JSON, of a table that is broadcast; a larger one is joined by shuffle.
+MOST_ROWS, MOST_BYTES = 300_000, 24 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """The frame, to be broadcast if its rows, counted here, are few enough."""
-    return F.broadcast(df) if df.count() <= MOST_ROWS else df
+    """The frame, to be broadcast if its rows and bytes, measured here, are few enough."""
+    if df.count() > MOST_ROWS:
+        return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= MOST_BYTES else df
 
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)

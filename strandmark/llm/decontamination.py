@@ -80,8 +80,8 @@ def _matched(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     found = candidates(index, anchors).join(windows.select("window", "items"), "window")
     by_text = written(found.groupBy("doc_id", "of").agg(F.collect_list(F.struct("window", "start", "n", "items")).alias("__found")), "candidates")
     by_text = by_text.withColumnsRenamed({"doc_id": "__id", "of": "__same"})
-    rows = docs.withColumns({"__of": F.xxhash64("text"), "__words": words_of("text")})
-    joined = rows.join(small(by_text), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__same")), "left")
+    # words are cut after the join: if it has to be a shuffle, that moves the text alone
+    joined = docs.join(small(by_text), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__same")), "left").withColumn("__words", words_of("text"))
     exact = F.filter(F.coalesce("__found", F.array()), lambda c: F.concat_ws(" ", F.slice(F.col("__words"), c["start"] + 1, c["n"])) == c["window"])
     return joined.select(*docs.columns, F.size("__words").cast("long").alias("__n_words"), exact.alias("__matches"))
 

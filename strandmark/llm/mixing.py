@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small
+
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 SEED = "mix-1"
@@ -47,20 +49,33 @@ def uniform(*cols: str):
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
+def _mixed(docs: DataFrame) -> DataFrame:
+    """docs with what mix() adds, under names of its own."""
+    by = targets(docs.select("source", n_words().alias("size"))).withColumnsRenamed({"source": "_mix_of", "source_size": "_mix_source_size", "target": "_mix_target"})
+    out = docs.withColumn("_mix_size", n_words()).join(small(by), F.col("source").eqNullSafe(F.col("_mix_of"))).drop("_mix_of")
+    rate = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(0.0)
+    return out.withColumn("_mix_copies", (F.floor(rate) + F.when(uniform("doc_id") < rate - F.floor(rate), 1).otherwise(0)).cast("int"))
+
+
+ADDED = ("size", "source_size", "target", "copies")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the row); other columns stay.
 
-    A null text has size 0; a null source is a source of its own, after the others. Repeated rows are taken alike, as
-    the hash is of doc_id; a source of size 0 has target 0 and is not taken. Empty table: no rows.
+    A column of docs that has one of these four names gives way to it. A null text has size 0; a null source is a source
+    of its own, after the others. Repeated rows are taken alike, as the hash is of doc_id; a source of size 0 has target 0
+    and is not taken. Empty table: no rows.
     """
-    sized = docs.withColumn("size", n_words())
-    by = targets(docs.select("source", n_words().alias("size"))).withColumnRenamed("source", "of")
-    out = sized.join(F.broadcast(by) if by.count() <= 100_000 else by, sized["source"].eqNullSafe(by["of"])).drop("of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return out.withColumn("copies", (F.floor(rate) + F.when(uniform("doc_id") < rate - F.floor(rate), 1).otherwise(0)).cast("int"))
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    return _mixed(docs).select(*kept, *(F.col(f"_mix_{c}").alias(c) for c in ADDED))
 
 
 def emitted(docs: DataFrame) -> DataFrame:
-    """The mixture itself: each row of docs as often as it is taken, numbered by copy from 1."""
-    mixed = mix(docs).where("copies > 0")
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    """The mixture itself: each row of docs as often as it is taken, numbered from 1 in a column copy.
+
+    All columns of docs stay as they are, but for one named copy, which gives way. Nulls, repeated rows and an empty
+    table as in mix(): a row without words is taken as often as its source's rate says.
+    """
+    kept = [c for c in docs.columns if c.lower() != "copy"]
+    return _mixed(docs).where("_mix_copies > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("copy"))

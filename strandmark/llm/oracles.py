@@ -29,5 +29,19 @@ select doc_id, size, source_size, target, ((floor(rate) + case when u < rate - f
 """
 
 
+#: Texts as hexadecimal digits of their bytes, so that strings of 50 bytes are strings of 100 digits.
+OP9 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h, octet_length(encode(coalesce(text, ''))) n from documents),
+w as (select doc_id, p, substr(h, (2 * p + 1)::bigint, 100) s from d, lateral (select unnest(range(0, n - 49)) p) where n >= 50),
+m as (select s, min(doc_id) least from w group by s having count(*) > 1),
+hit as (select w.doc_id, p from w join m on w.s = m.s where least < w.doc_id),
+isle as (select doc_id, p, sum(new) over (partition by doc_id order by p rows unbounded preceding) k from (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end new from hit)),
+run as (select doc_id, min(p) a, max(p) + 50 b from isle group by doc_id, k),
+gap as (select doc_id, a, coalesce(lag(b) over (partition by doc_id order by a), 0) f, b - a size, max(b) over (partition by doc_id) last from run),
+kept as (select gap.doc_id, count(*) n_spans, sum(size) n_removed, string_agg(substr(h, (2 * f + 1)::bigint, (2 * (a - f))::bigint), '' order by a) || substr(any_value(h), (2 * any_value(last) + 1)::bigint) h from gap join d on d.doc_id = gap.doc_id group by gap.doc_id)
+select d.doc_id, n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans, sha256(unhex(coalesce(kept.h, d.h))) kept_sha256 from d left join kept on d.doc_id = kept.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3, "op5_mixing": OP5}
+    return {"op3_decontamination": OP3, "op5_mixing": OP5, "op9_substring_dedup": OP9}

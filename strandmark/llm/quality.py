@@ -143,7 +143,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier rejects; columns stay. Texts are read twice and not shuffled."""
+    """docs without the rows that the classifier rejects; columns stay. Texts are read twice and not shuffled.
+
+    A null text is judged as an empty one and stays null; repeated rows and null ids are judged each; an empty table stays empty.
+    """
     model = fit(statistics_table(docs), labels, training_row())
     at = docs.columns.index("text")
 

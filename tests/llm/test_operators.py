@@ -138,6 +138,15 @@ def test_lm_score_is_the_weighted_mixture(spark):
     assert len(got) == 40
     for r in got:
         assert abs(r["score"] - score(norm[r["doc_id"]])) < 1e-3
+        assert abs(r["bits_per_byte"] + r["score"] * math.log2(10) / len(norm[r["doc_id"]])) < 1e-9
+
+
+def test_lm_hot_ids(spark):
+    """One id, or none, for most rows: blocks are dealt by text too, and scores don't depend on it."""
+    rows = [(None if k % 2 else 1, f"some words of row {k} " * 9) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = (lm_scoring.score_documents(df, F.lit(False), depth=3, block_bytes=b).collect() for b in (1 << 20, 700))
+    assert sorted(round(r["score"], 2) for r in few) == sorted(round(r["score"], 2) for r in many) and len(many) == 60
 
 
 def test_lm_beats_words_on_held_out(spark):
@@ -285,6 +294,17 @@ def test_mixing(docs, odd):
     assert mixing.emitted(docs).count() == sum(r["copies"] for r in mixing.mix(docs).collect())
 
 
+def test_mixing_beside_other_columns(spark):
+    rows = [(k, "a b c", "s" if k % 3 else None, 777, "t", k, "own") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, Size long, target string, copies long, copy string")
+    got = mixing.mix(df)
+    assert got.columns == ["doc_id", "text", "source", "copy", "size", "source_size", "target", "copies"] and {r["size"] for r in got.collect()} == {3}
+    out = mixing.emitted(df)
+    assert out.columns == ["doc_id", "text", "source", "Size", "target", "copies", "copy"]
+    n = {r["doc_id"]: r["copies"] for r in got.collect()}
+    assert sorted((r["doc_id"], r["Size"], r["target"], r["copies"], r["copy"]) for r in out.collect()) == sorted((k, 777, "t", k, c) for k, m in n.items() for c in range(1, m + 1))
+
+
 # 6
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -350,11 +370,44 @@ def test_edits_are_local():
     assert tree.recoded < 30
 
 
+def test_trees_are_kept(spark, docs, odd, tmp_path):
+    """A written table of trees takes edits in two later jobs, and ends as counted anew."""
+    coder = token_counts.Coder.of(queries.TOKENIZER)
+    for n, df in enumerate((docs, odd)):
+        at = str(tmp_path / str(n))
+        token_counts.segment_trees(df, queries.TOKENIZER).write.parquet(f"{at}/0")
+        first, second = [(5, 9, "new words"), (0, 0, "x")], [(3, 3, " and more"), (10**9, 10**9, " tail")]
+        for k, edits in enumerate((first, second)):
+            some = F.array(*(F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("stop"), F.lit(t).alias("text")) for a, b, t in edits))
+            token_counts.edit_trees(spark.read.parquet(f"{at}/{k}").withColumn("edits", some), queries.TOKENIZER).write.parquet(f"{at}/{k + 1}")
+        want = []
+        for i, t in rows_of(df):
+            t = t or ""
+            for a, b, new in first + second:
+                a, b = min(a, len(t)), min(max(a, b), len(t))
+                t = t[:a] + new + t[b:]
+            want.append((i, len(t), len(coder.coder.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()))
+        got = spark.read.parquet(f"{at}/2").collect()
+        assert sorted(((r["doc_id"], r["edited_chars"], r["edited_tokens"], r["edited_sha256"]) for r in got), key=key) == sorted(want, key=key)
+        assert all("".join(x["text"] for x in r["segments"]) is not None and sum(x["tokens"] for x in r["segments"]) == r["edited_tokens"] for r in got)
+        long = [r for r in got if r["edited_chars"] > 4000]
+        assert all(r["n_recoded"] < 40 for r in long)
+
+
 def test_count_edits(docs, odd):
     for df in (docs, odd):
         got = token_counts.count_edits(df.withColumn("edits", token_counts.sample_edits()), queries.TOKENIZER).collect()
         coder = token_counts.Coder.of(queries.TOKENIZER).coder
-        assert sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=key) == sorted(((i, len(coder.encode_ordinary(t or ""))) for i, t in rows_of(df)), key=key)
+        edits = {r["text"]: r["edits"] for r in df.select("text", token_counts.sample_edits().alias("edits")).collect()}
+        want = []
+        for i, t in rows_of(df):
+            new = t or ""
+            for e in edits[t] or []:
+                lo = min(max(e["start"] or 0, 0), len(new))
+                hi = min(max(e["stop"] or 0, lo), len(new))
+                new = new[:lo] + (e["text"] or "") + new[hi:]
+            want.append((i, len(t or ""), len(coder.encode_ordinary(t or "")), len(new), len(coder.encode_ordinary(new)), hashlib.sha256(new.encode()).hexdigest()))
+        assert sorted(((r["doc_id"], r["n_chars"], r["n_tokens"], r["edited_chars"], r["edited_tokens"], r["edited_sha256"]) for r in got), key=key) == sorted(want, key=key)
 
 
 # 8
@@ -416,6 +469,27 @@ def test_signature_is_unbiased():
     assert abs(sum(found) / 60 - want) < 0.02
 
 
+@pytest.mark.parametrize("edges", [10, 200_000])
+def test_components(spark, monkeypatch, edges):
+    monkeypatch.setattr(near_dedup, "EDGES", edges)
+    rng = random.Random(6)
+    pairs = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    pairs = [p for p in pairs if p[0] != p[1]]
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    got = [tuple(r) for r in near_dedup.components(df).collect()]
+    assert sorted(got) == sorted((x, find(x)) for x in {x for p in pairs for x in p})
+
+
 def test_chain_of_links(spark):
     w = [f"t{i}" for i in range(400)]
     rows = [(k, " ".join(w[k * 12 : k * 12 + 220])) for k in range(10)]
@@ -423,15 +497,17 @@ def test_chain_of_links(spark):
     assert sorted(map(tuple, near_dedup.classes(df).collect())) == sorted(classes_by_hand(rows))
 
 
-@pytest.mark.parametrize(("paired", "tile"), [(32, 256), (4, 7)])
-def test_shared_passages(spark, monkeypatch, paired, tile):
+@pytest.mark.parametrize(("whole", "tile", "texts"), [(64, 1024, 1 << 20), (4, 7, 3000)])
+def test_shared_passages(spark, monkeypatch, whole, tile, texts):
     """Texts of shared passages, all in one bucket: unlike the bucket's hub, they are still held against each other."""
 
+    sketch = near_dedup._sketch
+
     def one_bucket(batches):
         import pyarrow as pa
 
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["node"], b["doc_id"], pa.array([[7]] * b.num_rows, pa.list_(pa.int64()))], ["node", "doc_id", "bands"])
+        for b in sketch(batches):
+            yield pa.RecordBatch.from_arrays([b["node"], b["doc_id"], pa.array([[7]] * b.num_rows, pa.list_(pa.int64())), b["sig"]], ["node", "doc_id", "bands", "sig"])
 
     rng = random.Random(4)
     passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(100)]
@@ -443,8 +519,31 @@ def test_shared_passages(spark, monkeypatch, paired, tile):
     want = classes_by_hand(rows)
     assert sum(n == 2 for _, _, n in want) == 24
     monkeypatch.setattr(near_dedup, "_sketch", one_bucket)
-    monkeypatch.setattr(near_dedup, "PAIRED", paired, raising=False)
+    monkeypatch.setattr(near_dedup, "WHOLE", whole)
     monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "TEXTS", texts)
+    assert sorted(map(tuple, near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(want)
+
+
+def test_alike_is_passed_over_rarely():
+    n, p = near_dedup.SIZE, near_dedup.LEAST
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_dedup.ALIKE)) < 1e-7
+    with pytest.raises(ValueError):
+        near_dedup.classes(None, 0.7)
+
+
+def test_group_around_the_threshold(spark):
+    """A large group of copies with edits, alike in part only: every link of 0.8 counts, whoever the buckets' first members are."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for _ in range(rng.randint(0, 7)):
+            w[rng.randrange(120)] = f"e{k}x{rng.random()}"
+        rows.append((k, " ".join(w)))
+    want = classes_by_hand(rows)
+    assert len({c for _, c, _ in want}) > 20
     assert sorted(map(tuple, near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(want)
 
 
@@ -484,6 +583,27 @@ def test_cover():
         assert any((a - b) % substring_dedup.PERIOD == d for a in substring_dedup.COVER for b in substring_dedup.COVER)
 
 
+def test_blocks_are_even(spark):
+    """Neither a far outlier, nor a frequent id, nor null ids make a large block; ranks rise with the ids."""
+    text = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(900)]
+    ids = [k if k < 300 else 1 << 60 if k == 300 else 77 if k < 600 else None for k in range(900)]
+    df = spark.createDataFrame(list(zip(ids, text, strict=True)), "doc_id long, text string")
+    rows, n = substring_dedup.blocked(df, 4000)
+    got = rows.collect()
+    size, ranks = Counter(), defaultdict(set)
+    for r in got:
+        size[r["block"]] += len(r["text"])
+        ranks[r["doc_id"]].add(r["block"] // substring_dedup.PARTS)
+    assert len(got) == 900 and n > 40 and max(size.values()) < 4 * 4000
+    assert all(len(v) == 1 for v in ranks.values())
+    order = [max(ranks[i]) for i in sorted(i for i in ranks if i is not None)] + [max(ranks[None])]
+    assert order == sorted(order)
+    least = {}
+    twice = df.unionByName(df.select((F.col("doc_id") + 1000).alias("doc_id"), F.concat(F.lit("zz "), "text").alias("text")))
+    out = substring_dedup.remove_repeats(twice, True, 4000).collect()
+    assert sorted(((r[0], r[1], r[2], r[3], bytes(r[4]).decode()) for r in out), key=key) == sorted(repeats_by_hand(rows_of(twice)), key=key)
+
+
 @pytest.mark.parametrize("block", [30_000, 8 << 20])
 def test_repeats(spark, odd, block):
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
@@ -522,10 +642,27 @@ def test_personal_data(docs, spark):
     for t in made + [t or "" for _, t in rows_of(docs)]:
         got = [s for s in pii.find(t) if s[1] < 4]
         assert got == [x[:3] for x in base_by_hand(t)]
-    rows = spark.createDataFrame([(1, "a@b.cd, IBAN DE89 3704 0044"), (None, None)], "doc_id long, text string")
+    for r in pii.personal_data(docs).collect():
+        want = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in base_by_hand(dict(rows_of(docs))[r["doc_id"]] or ""))
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    rows = spark.createDataFrame([(1, "a@b.cd, IBAN DE89 3704 0044 0532 0130 00, next"), (None, None)], "doc_id long, text string")
     got = pii.personal_data(rows).collect()
-    assert got[0]["spans"] == "email:0:6,account:13:27" and got[1]["spans"] == "" and got[0]["n_email"] == 1
-    assert [r["text"] for r in pii.mask(rows).collect()] == ["[EMAIL], IBAN [ACCOUNT]", None]
+    assert got[0]["spans"] == "email:0:6,account:13:40" and got[1]["spans"] == "" and got[0]["n_email"] == 1
+    assert [r["text"] for r in pii.mask(rows).collect()] == ["[EMAIL], IBAN [ACCOUNT], next", None]
+
+
+def added(text):
+    return [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find(text) if k >= 4]
+
+
+def test_added_kinds():
+    for good, end in (("DE89370400440532013000", "."), ("GB82 WEST 1234 5698 7654 32", " and more"), ("FR14 2004 1010 0505 0001 3M02 606", "")):
+        assert added(f"IBAN: {good}{end}") == [("account", good)]
+    assert added("IBAN DE88370400440532013000") == [] and added("iban GB82 WEST 1234") == []
+    assert added("account no. 12345678 rest") == [("account", "12345678")] and added("accounting 12345678") == []
+    assert added("see http://user:pw@host.org/x now") == [("link", "http://user:pw@host.org/x")]
+    key = "0123456789abcdef0123"
+    assert added(f'token = "{key}" and password: {key}') == [("secret", key)] * 2 and added("token = abc") == [] and added("the token of thanks") == []
 
 
 # all
