@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept. Its result is written and
 read again before the next begins, so a lost executor costs no more than one stage.
+
+Every stage takes rows as they come: a null text is an empty one, rows with a null or repeated doc_id stay rows of their
+own (near_dedup keeps one row of each class of texts), all columns go through, and an empty table gives an empty one. An
+empty text is judged like any other by quality, is like equal texts alone in near_dedup, holds no passage and no personal
+data, and has no words for mixing.
 """
 
 from __future__ import annotations
@@ -15,12 +20,12 @@ from strandmark.llm.common import shared_dir, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
+    """Without the documents that the quality classifier rejects; labels of held-out rows are not learnt from."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: the one with the least id."""
     return near_dedup.keep_one(docs)
 
 
