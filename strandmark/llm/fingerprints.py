@@ -12,16 +12,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, span_hash, text_size
+from .common import PARTS, blocked, prefix_hash, small, span_hash, written
 
 #: Hashes that a fingerprint keeps; eight hex digits each.
 KEPT = 128
 #: Text bytes of a range of ids; tasks read their range as a stream, so this sets parallel work, not memory.
 RANGE_BYTES = 4 << 20
-MOST_RANGES = 4096
 
 
 def _grow(node: dict, root: dict, chars: str, at: int, ends: list, made: list) -> dict:
@@ -123,27 +122,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The next document is the next by descending doc_id, the first one after the last; a document alone is its
     own next. A null text is empty, and an empty text has the empty fingerprint. A null doc_id comes last;
     rows that repeat an id follow each other by descending text. Empty table: no rows. Other columns are not read.
-    Ids are dealt to ranges by quantiles, so that a range holds about as many rows as any other; one row a
-    range travels twice.
+    Ids are dealt to ranges of about RANGE_BYTES of text; of each range, one row travels to the one above, too. All rows
+    of one id are in one range, which a task reads as a stream.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = int(min(MOST_RANGES, max(1, text_size(docs) // RANGE_BYTES)))
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
-    bounds = sorted(set(bounds)) if n > 1 else []
-    at = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(at))
-    first = rows.groupBy("range").agg(F.max("doc_id").alias("doc_id"))
-    heads = sorted((r["range"], r["doc_id"]) for r in first.collect())  # a row a range
-    if not heads:
-        return rows.select("doc_id", F.lit(0).cast("long").alias("n_chars"), *(F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next")).limit(0)
-    before = {r: heads[(i + 1) % len(heads)][0] for i, (r, _) in enumerate(heads)}
-    head = None
-    ids = [i for _, i in heads if i is not None]
-    chosen = rows.where(F.col("doc_id").isin(ids) if len(ids) == len(heads) else F.col("doc_id").isin(ids) | F.col("doc_id").isNull())
-    chosen = chosen.groupBy("range", "doc_id").agg(F.max("text").alias("text"))
-    moved = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    head = chosen.select("doc_id", "text", moved[F.col("range")].alias("range"), F.lit(True).alias("extra"))
-    places = F.create_map(*(F.lit(x) for i, (r, _) in enumerate(heads) for x in (r, i)))
-    both = rows.withColumn("extra", F.lit(False)).unionByName(head)
-    dealt = both.repartitionById(len(heads), places[F.col("range")]).sortWithinPartitions("extra", F.desc_nulls_last("doc_id"), F.desc("text"))
-    return dealt.select("doc_id", "text", "extra").mapInArrow(stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = blocked(rows, RANGE_BYTES)[0].withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.expr(f"block div {PARTS}"))).drop("block")
+    heads = rows.groupBy("range").agg(F.max("doc_id").alias("head"))
+    up, every = Window.orderBy("range"), Window.partitionBy()  # a row for each range
+    heads = heads.withColumns({"place": F.row_number().over(up) - 1, "above": (F.row_number().over(up) % F.count("*").over(every)).cast("int")})
+    heads = written(heads, "ranges")
+    n = heads.count()
+    dealt = rows.join(small(heads), "range").select("doc_id", "text", "head", "place", "above")
+    first = dealt.where(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("doc_id", "above").agg(F.max("text").alias("text"))
+    both = dealt.select("doc_id", "text", "place", F.lit(False).alias("extra")).unionByName(first.select("doc_id", "text", F.col("above").alias("place"), F.lit(True).alias("extra")))
+    both = both.repartitionById(max(1, n), F.col("place")).sortWithinPartitions("extra", F.desc_nulls_last("doc_id"), F.desc("text"))
+    return both.select("doc_id", "text", "extra").mapInArrow(stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -20,18 +20,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_list, int_list, prefix_hash, released, sliced, small, span_hash, written
+from .common import PARTS, binary_list, blocked, int_list, prefix_hash, released, sliced, small, span_hash, written
 
 LENGTH, PERIOD = 50, 31
 #: A perfect difference set modulo 31; fixed values.
 COVER = (0, 1, 3, 8, 12, 18)
 SAMPLE = LENGTH - PERIOD + 1
 BLOCK = 8 << 20
-#: Quantiles of the ids that blocks are cut by, and blocks that one id may be dealt to.
-QUANTILES, PARTS = 256, 1 << 24
 #: Names of samples keep so many bits besides their bucket: a name of 2**20 in a bucket is taken for another with 1e-6, and then is sorted in vain.
 SAMPLE_BITS = 40
 
@@ -234,42 +232,6 @@ def remove(rows: pa.Table, answers: pa.Table, n: int, digest: bool) -> pa.Table:
     return pa.table([rows["doc_id"].take(pa.array(at)), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())], schema=RESULT)
 
 
-def blocked(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """rows with a block number, and how many blocks there are, about; blocks are of about block_bytes of text.
-
-    A block's rank is its number over PARTS, and ranks rise with doc_id. Ids are put into cells: each of QUANTILES
-    quantiles of the ids alone, and what lies between two of them in steps of equal width. Only cells, not rows, are
-    summed in order and gathered until a block is full. A cell of one id, or of null ids, that is larger than a block is
-    dealt by text to blocks of the same rank. So neither a far outlier nor a frequent id makes a large block.
-    """
-    size = F.octet_length("text")
-    lo, hi, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.sum(size)).first()
-    n = max(1, (total or 0) // block_bytes)
-    if n == 1:
-        return rows.withColumn("block", F.when(F.col("doc_id").isNull(), F.lit(PARTS)).otherwise(F.lit(0)).cast("long")), 1
-    k = min(QUANTILES, 4 * n)
-    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 100 * k)).first()[0] or []))
-    edges = [lo, *cuts, hi] if lo is not None else []
-    steps = max(1, 4 * n // k)
-    below = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("doc_id")))
-    start = F.element_at(F.lit(edges or [0]).cast("array<bigint>"), below + 1)
-    width = F.element_at(F.lit([(b - a) // steps + 1 for a, b in zip(edges, edges[1:], strict=False)] or [1]).cast("array<bigint>"), below + 1)
-    alone = F.col("doc_id").isin(cuts) if cuts else F.lit(False)
-    at = F.when(F.col("doc_id").isNull(), F.lit(2 * len(cuts) + 2)).when(alone, 2 * below + 1).otherwise(2 * below)
-    step = F.when(F.col("doc_id").isNull() | alone, F.lit(0)).otherwise(F.floor((F.col("doc_id") - start) / width))
-    cell = F.struct(at.cast("int").alias("at"), step.cast("long").alias("step"))
-    sizes = rows.select(cell.alias("cell"), size.alias("size")).groupBy("cell").agg(F.sum("size").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.floor(before / block_bytes)
-    heavy = (F.col("cell.at") % 2 == 1) & (F.col("size") > block_bytes)
-    last = F.col("cell.at") == 2 * len(cuts) + 2  # null ids rank after all others
-    rank = F.when(last, F.lit(2 * n + 4)).otherwise(2 * whole + F.when(heavy, 1).otherwise(0))
-    parts = F.when(heavy | last, F.greatest(F.lit(1), F.ceil(F.col("size") / block_bytes))).otherwise(1)
-    places = written(sizes.select("cell", (rank * PARTS).cast("long").alias("first"), parts.cast("int").alias("parts")), "cells")
-    dealt = rows.withColumn("cell", cell).join(places, "cell")
-    return dealt.withColumn("block", F.col("first") + F.pmod(F.xxhash64("text"), F.col("parts"))).drop("cell", "first", "parts"), n
-
-
 def remove_repeats(docs: DataFrame, digest: bool = False, block_bytes: int = BLOCK) -> DataFrame:
     """Removes from each text of docs(doc_id, text) every byte covered by a string of 50 bytes that starts in a text with a smaller id too.
 

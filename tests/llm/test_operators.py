@@ -588,12 +588,12 @@ def test_blocks_are_even(spark):
     text = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(900)]
     ids = [k if k < 300 else 1 << 60 if k == 300 else 77 if k < 600 else None for k in range(900)]
     df = spark.createDataFrame(list(zip(ids, text, strict=True)), "doc_id long, text string")
-    rows, n = substring_dedup.blocked(df, 4000)
+    rows, n = common.blocked(df, 4000)
     got = rows.collect()
     size, ranks = Counter(), defaultdict(set)
     for r in got:
         size[r["block"]] += len(r["text"])
-        ranks[r["doc_id"]].add(r["block"] // substring_dedup.PARTS)
+        ranks[r["doc_id"]].add(r["block"] // common.PARTS)
     assert len(got) == 900 and n > 40 and max(size.values()) < 4 * 4000
     assert all(len(v) == 1 for v in ranks.values())
     order = [max(ranks[i]) for i in sorted(i for i in ranks if i is not None)] + [max(ranks[None])]
