@@ -91,6 +91,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= MOST_BYTES else df
 
 
+def portions(batches, rows: int = 512):
+    """The batches in pieces of so many rows, so that a task holds few texts as Python objects at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_of, forget, mix64, prefix_hash, released, sliced, span_hash, written
+from .common import block_of, forget, mix64, portions, prefix_hash, released, sliced, span_hash, written
 
 WIDTH, LEAST = 5, 0.8
 #: Text bytes whose signatures are made at once.
@@ -146,7 +146,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches):
-    for batch in batches:
+    for batch in portions(batches):
         texts = batch["text"].to_pylist()
         for a, b in sliced([len(t) for t in texts], SLICE):
             doc, h, count = bags(texts[a:b])
@@ -254,7 +254,7 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
 def _verify(least: float):
     def verify(batches):
         """Pairs of texts that are alike."""
-        for batch in batches:
+        for batch in portions(batches):
             ta, tb = batch["ta"].to_pylist(), batch["tb"].to_pylist()
             sim = np.zeros(len(ta))
             for a, b in sliced([len(x) + len(y) for x, y in zip(ta, tb, strict=True)]):

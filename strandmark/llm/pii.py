@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
+
 #: Base kinds in the order that ties of start follow, then those that the method adds.
 KINDS = ("email", "ip", "card", "phone", "account", "link", "secret")
 #: Cues of account numbers and of secrets; fixed values.
@@ -164,7 +166,7 @@ FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KIN
 
 
 def _rows(batches):
-    for batch in batches:
+    for batch in portions(batches):
         cols: list[list] = [[] for _ in FOUND]
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             spans = find(text)
@@ -192,7 +194,7 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def rows(batches):
-        for batch in batches:
+        for batch in portions(batches):
             new = [None if t is None else masked(t, find(t)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import portions, written
 
 POOLED, IDENTITY = 0.1, 0.05
 CUT = 0.3
@@ -49,7 +49,7 @@ def statistics(text: bytes) -> list[float]:
 
 
 def _statistics(batches):
-    for batch in batches:
+    for batch in portions(batches):
         x = [statistics(t or b"") for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -151,7 +151,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def rows(batches):
-        for batch in batches:
+        for batch in portions(batches):
             x = np.array([statistics((t or "").encode()) for t in batch.column(at).to_pylist()], float).reshape(-1, D)
             yield batch.filter(pa.array(model.score(x) >= CUT))
 

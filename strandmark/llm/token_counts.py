@@ -18,6 +18,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
+
 #: Pre-tokens that a segment is built with, and those beyond which the tree is built anew.
 SEGMENT, LARGEST = 32, 256
 #: The published pre-token pattern of the byte-level vocabulary; a fixed value.
@@ -236,11 +238,9 @@ def segment_trees(docs: DataFrame, path: str, carry: tuple = ()) -> DataFrame:
 
     def rows(batches):
         coder = Coder.of(path)
-        for batch in batches:
-            for a in range(0, batch.num_rows, PORTION):
-                part = batch.slice(a, PORTION)
-                trees = pa.array([Counted(t, coder).stored() for t in part["text"].to_pylist()], _SEGMENTS)
-                yield pa.record_batch([part["doc_id"], *(part[c] for c in carry), trees], names=["doc_id", *carry, "segments"])
+        for part in portions(batches, PORTION):
+            trees = pa.array([Counted(t, coder).stored() for t in part["text"].to_pylist()], _SEGMENTS)
+            yield pa.record_batch([part["doc_id"], *(part[c] for c in carry), trees], names=["doc_id", *carry, "segments"])
 
     return docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, f"{kinds}, segments {SEGMENTS}")
 
@@ -256,17 +256,16 @@ def edit_trees(trees: DataFrame, path: str) -> DataFrame:
 
     def rows(batches):
         coder = Coder.of(path)
-        for batch in batches:
-            for a in range(0, batch.num_rows, PORTION):
-                part, out = batch.slice(a, PORTION), []
-                for doc_id, segments, edits in zip(*(part[c].to_pylist() for c in ("doc_id", "segments", "edits")), strict=True):
-                    tree = Counted.kept(segments, coder) if segments else Counted("", coder)
-                    before = (tree.n_chars, tree.n_tokens)
-                    for e in edits or []:
-                        if e is not None:
-                            tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                    out.append((doc_id, tree.stored(), *before, len(edits or []), tree.recoded, tree.n_chars, tree.n_tokens, hashlib.sha256(tree.text.encode()).hexdigest()))
-                yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_EDITED)], schema=_EDITED)
+        for part in portions(batches, PORTION):
+            out = []
+            for doc_id, segments, edits in zip(*(part[c].to_pylist() for c in ("doc_id", "segments", "edits")), strict=True):
+                tree = Counted.kept(segments, coder) if segments else Counted("", coder)
+                before = (tree.n_chars, tree.n_tokens)
+                for e in edits or []:
+                    if e is not None:
+                        tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
+                out.append((doc_id, tree.stored(), *before, len(edits or []), tree.recoded, tree.n_chars, tree.n_tokens, hashlib.sha256(tree.text.encode()).hexdigest()))
+            yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_EDITED)], schema=_EDITED)
 
     return trees.select("doc_id", "segments", "edits").mapInArrow(rows, f"doc_id long, segments {SEGMENTS}, {COUNTS}")
 
