@@ -164,6 +164,29 @@ def test_files_to_report(spark, tmp_path):
     assert {r["x"]: r["n"] for r in own["covered"].collect()} == {0: 1, 1: 1}
 
 
+def test_write_sorted(spark, tmp_path):
+    df = spark.range(2000).select((F.col("id") * 7 % 5).alias("chrom"), (F.col("id") * 7919 % 100003).alias("pos"))
+    sources.write_sorted(df, str(tmp_path / "s"))
+    files = sorted((tmp_path / "s").glob("part-*"))
+    rows = [tuple(r) for f in files for r in spark.read.parquet(str(f)).select("chrom", "pos").collect()]
+    assert rows == sorted(map(tuple, df.collect()))
+
+
+def test_scoring_a_stream(spark, sf_dir, tmp_path):
+    """score_alignments() and bad_reads() keep no state: new files give the rows that they give in a batch."""
+    from strandmark.operators import reads as R
+    from strandmark.plans.registry import view
+
+    align = view(spark, sf_dir, "fx_align").limit(3000)
+    align.repartition(3).write.parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = R.bad_reads(R.score_alignments(stream)).select("read_serial", "a_pos").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination(120)
+    want = R.bad_reads(R.score_alignments(batch)).select("read_serial", "a_pos")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_entry(spark, sf_dir):
     import __spark_entry__ as e
 
