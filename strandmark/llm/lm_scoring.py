@@ -10,7 +10,7 @@ depend on the other texts that are scored.
 How the work is dealt: documents go to blocks of bounded size by a hash of id and text. A block sends its
 distinct words and distinct (context, byte) pairs with their counts, sorted and packed by part, never its
 tokens. Words are summed in the part of their hash; pairs are worked up and down the context tree in the
-part of their nearest two bytes; and each block gets back the numbers of its own words and pairs. Nothing
+part of their nearest three bytes; and each block gets back the numbers of its own words and pairs. Nothing
 is broadcast. There are as many parts as blocks, so what a task holds follows the block, not the corpus.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import BLOCK_BYTES, binary_list, block_of, counted, forget, int_list, mix64, released, sliced, summed, text_size, written
 
 END = b"\n"
-SPLIT = 2  # context bytes that a part of the tree shares
+SPLIT = 3  # context bytes that a part of the tree shares; the nodes of that depth and above are few, and Spark sums them
 MOST_PARTS = 1 << 15
 PACKED = "block int, part int, grams boolean, keys binary, numbers binary, tokens long, kinds long"
 SENT = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("grams", pa.bool_()), ("keys", pa.binary()), ("numbers", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
