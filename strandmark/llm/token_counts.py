@@ -245,8 +245,8 @@ def segment_trees(docs: DataFrame, path: str, carry: tuple = ()) -> DataFrame:
     return docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, f"{kinds}, segments {SEGMENTS}")
 
 
-def edit_trees(trees: DataFrame, path: str) -> DataFrame:
-    """trees(doc_id, segments, edits) after their edits, in their order, with the counts before and after.
+def edit_trees(trees: DataFrame, path: str, keep: bool = True) -> DataFrame:
+    """trees(doc_id, segments, edits) after their edits, in their order, with the counts before and after; without the segments if keep is false.
 
     edits: array of (start, stop, text), places by code point in the text as the edits before have left it; places beyond the
     text are its end, and a null place or text counts as 0 or empty. Only pre-tokens that an edit touches, and a few
@@ -254,6 +254,9 @@ def edit_trees(trees: DataFrame, path: str) -> DataFrame:
     are edited each. The result has the form of segment_trees() and can be edited again. No shuffle.
     """
 
+    fields = [f for f in _EDITED if keep or f.name != "segments"]
+    kinds = f"doc_id long, segments {SEGMENTS}, {COUNTS}" if keep else f"doc_id long, {COUNTS}"
+
     def rows(batches):
         coder = Coder.of(path)
         for part in portions(batches, PORTION):
@@ -264,10 +267,10 @@ def edit_trees(trees: DataFrame, path: str) -> DataFrame:
                 for e in edits or []:
                     if e is not None:
                         tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                out.append((doc_id, tree.stored(), *before, len(edits or []), tree.recoded, tree.n_chars, tree.n_tokens, hashlib.sha256(tree.text.encode()).hexdigest()))
-            yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_EDITED)], schema=_EDITED)
+                out.append((doc_id, *([tree.stored()] if keep else []), *before, len(edits or []), tree.recoded, tree.n_chars, tree.n_tokens, hashlib.sha256(tree.text.encode()).hexdigest()))
+            yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
 
-    return trees.select("doc_id", "segments", "edits").mapInArrow(rows, f"doc_id long, segments {SEGMENTS}, {COUNTS}")
+    return trees.select("doc_id", "segments", "edits").mapInArrow(rows, kinds)
 
 
 def count_edits(docs: DataFrame, path: str) -> DataFrame:
@@ -275,7 +278,7 @@ def count_edits(docs: DataFrame, path: str) -> DataFrame:
 
     The trees of this call aren't kept; write segment_trees() to keep them. Nulls, empty texts and repeated rows as there.
     """
-    return edit_trees(segment_trees(docs, path, ("edits",)), path).drop("segments")
+    return edit_trees(segment_trees(docs, path, ("edits",)), path, keep=False)
 
 
 def sample_edits(text: str = "text"):
