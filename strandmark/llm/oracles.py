@@ -43,5 +43,38 @@ select d.doc_id, n::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, co
 """
 
 
+def _item(c: str) -> str:
+    return f"coalesce(octet_length(encode(({c})::varchar))::varchar || ':' || ({c})::varchar, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_item, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+#: Bit by bit: after each byte of the id, eight steps (-1).
+CRC32 = "xor(list_reduce(flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: case when x >= 0 then xor(a, x::bigint) else xor(a >> 1, 3988292384 * (a & 1)) end, 4294967295::bigint), 4294967295::bigint)"
+HALVED = "list_transform(range(0, (len(h) + 1) // 2), lambda i: sha256(h[2 * i + 1] || coalesce(h[2 * i + 2], '')))"
+STEP = "case when (i >> level) & 1 = 1 then 'L' else 'R' end || coalesce(h[xor(i >> level, 1) + 1], '')"
+
+OP11 = f"""
+with recursive d as (select row_number() over () k, doc_id, coalesce('=' || lang, '') tree, {_leaf("n_chars")} leaf, {CRC32} % 7 = 0 hit, {_leaf("n_chars + 1")} bad from documents),
+p as (select *, (row_number() over (partition by tree order by doc_id nulls first, leaf) - 1)::bigint i from d),
+lv as (select tree, 0::bigint as level, list(leaf order by i) h from p group by tree union all select tree, level + 1, {HALVED} from lv where len(h) > 1),
+sub as (select tree, h[1] subroot, (row_number() over (order by tree) - 1)::bigint i from lv where len(h) = 1),
+top as (select 0::bigint as level, list(subroot order by i) h from sub union all select level + 1, {HALVED} from top where len(h) > 1),
+up as (select k, list({STEP} order by level) s from p join lv on p.tree = lv.tree and len(h) > 1 group by k),
+above as (select tree, list({STEP} order by level) s from sub join top on len(h) > 1 group by tree),
+w as (select p.*, subroot, (select h[1] from top where len(h) = 1) root, list_concat(coalesce(up.s, []), coalesce(above.s, [])) s from p join sub on p.tree = sub.tree left join up on p.k = up.k left join above on p.tree = above.tree),
+f as (select *, list_reduce(s, lambda a, x: case when x[1] = 'L' then sha256(x[2:] || a) else sha256(a || x[2:]) end, case when hit then bad else leaf end) folded_root from w)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(s, lambda x: x[2:]), '')) proof_sha256, folded_root, folded_root = root verified from f
+"""
+
+OP13 = """
+with q as (select page_id, octet_length(encode(coalesce(html, '')))::bigint payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
+m as (select payload_digest, max(page_id) f from q where payload_bytes >= 1000 group by payload_digest having count(*) > 1)
+select page_id, payload_bytes, q.payload_digest, case when f is null or page_id = f then 'response' else 'revisit' end record_type, case when page_id is distinct from f then f end refers_to from q left join m on q.payload_digest = m.payload_digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3, "op5_mixing": OP5, "op9_substring_dedup": OP9}
+    return {"op3_decontamination": OP3, "op5_mixing": OP5, "op9_substring_dedup": OP9, "op11_merkle_manifest": OP11, "op13_warc_index": OP13}

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, html_text, lm_scoring, mixing, near_dedup, pii, quality, substring_dedup, token_counts
+from . import decontamination, fingerprints, html_text, lm_scoring, merkle, mixing, near_dedup, pii, quality, substring_dedup, token_alignment, token_counts, warc
 from .common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER_A, TOKENIZER_B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +57,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_account", "n_link", "n_secret")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = merkle.checked(table(spark, sf_dir, "documents"), tampered)
+    siblings = F.array_join(F.transform("proof", lambda x: x["digest"]), "")
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align_documents(table(spark, sf_dir, "documents"), TOKENIZER_A, TOKENIZER_B, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.stored(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op3_decontamination, op4_quality, op5_mixing, op6_html_text, op7_token_counts, op8_near_dedup, op9_substring_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_fingerprints, op3_decontamination, op4_quality, op5_mixing, op6_html_text, op7_token_counts, op8_near_dedup, op9_substring_dedup, op10_pii, op11_merkle_manifest, op12_token_alignment, op13_warc_index)}
