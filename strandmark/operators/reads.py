@@ -62,31 +62,37 @@ def reads_in_region(df: DataFrame, chrom: int, start: int, width: int) -> DataFr
     return df.where((F.col("chrom") == chrom) & (F.col("pos") > start) & (F.col("pos") < start + width))
 
 
-def overlap_join(reads: DataFrame, feats: DataFrame, start: str = "pos", stop: str = "read_stop", width: int = BIN, by: tuple = ("chrom",)) -> DataFrame:
+def overlap_join(reads: DataFrame, feats: DataFrame, start: str = "pos", stop: str = "read_stop", width: int = BIN, by: tuple = ("chrom",), how: str = "inner", heavy: int | None = None) -> DataFrame:
     """Closed-interval overlaps of reads(by, start, stop) and feats(by, f_start, f_stop), each pair once.
 
     Both sides are put into the bins that they touch and joined on (by, bin); a pair counts in its first common bin.
-    Features over more than LONG bins have wider bins of their own, so that a long one makes few rows.
+    Features over more than LONG bins have wider bins of their own, so that a long one makes few rows. Nothing runs while
+    the plan is made. how = "left" keeps each bin's row of a read that meets nothing there, with nulls. heavy: bins with more rows of reads than that are dealt
+    over salts, a salt for each heavy rows, and the features there are repeated for each; for features that are too many to broadcast.
     """
-    longest = feats.agg(F.max(F.col("f_stop") - F.col("f_start"))).first()[0] or 0
-    return _binned(reads, feats, start, stop, width, by, longest > LONG * width)
-
-
-def _binned(reads: DataFrame, feats: DataFrame, start: str, stop: str, width: int, by: tuple, long: bool) -> DataFrame:
     bins = lambda a, b, w: f"sequence({a} div {w}, {b} div {w})"
-    first = f"greatest({start} div {width}, f_start div {width})"
-    if not long:
-        r = reads.withColumn("bin", F.explode(F.expr(bins(start, stop, width))))
-        f = feats.withColumn("bin", F.explode(F.expr(bins("f_start", "f_stop", width))))
-        return r.join(f, [*by, "bin"]).where(f"{start} <= f_stop and {stop} >= f_start and bin = {first}").drop("bin")
     wide = width * WIDER
     is_long = f"f_stop - f_start > {LONG * width}"
     # bins of the wider kind are those below zero
     below = lambda a, b: f"transform({bins(a, b, wide)}, x -> -1 - x)"
     r = reads.withColumn("bin", F.explode(F.expr(f"concat({bins(start, stop, width)}, {below(start, stop)})")))
     f = feats.withColumn("bin", F.explode(F.expr(f"if({is_long}, {below('f_start', 'f_stop')}, {bins('f_start', 'f_stop', width)})")))
-    own = f"if({is_long}, -1 - greatest({start} div {wide}, f_start div {wide}), {first})"
-    return r.join(f, [*by, "bin"]).where(f"{start} <= f_stop and {stop} >= f_start and bin = {own}").drop("bin")
+    own = f"if({is_long}, -1 - greatest({start} div {wide}, f_start div {wide}), greatest({start} div {width}, f_start div {width}))"
+    met = f"{start} <= f_stop and {stop} >= f_start and bin = {own}"
+    key = [*by, "bin"]
+    if heavy is not None:
+        full = r.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > heavy)
+        full = full.select(*key, F.ceil(F.col("_n") / heavy).cast("int").alias("_salts"))  # as many rows as all reads have heavy ones, at most
+        one = F.coalesce("_salts", F.lit(1))
+        r = r.join(full, key, "left").withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), one).cast("int")).drop("_salts")
+        f = f.join(full, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
+        key = [*key, "_salt"]
+    if how == "inner":
+        return r.join(f, key).where(met).drop("bin", "_salt")
+    names = {c: f"_f_{i}" for i, c in enumerate(key)}
+    f = f.withColumnsRenamed(names)
+    same = reduce(lambda x, y: x & y, (F.col(c) == F.col(n) for c, n in names.items()))
+    return r.join(f, same & F.expr(met), "left").drop("bin", "_salt", *names.values())
 
 
 def features(variant: DataFrame) -> DataFrame:
@@ -105,16 +111,49 @@ def paired_only(scored: DataFrame) -> DataFrame:
     return scored.where("is_paired") if "is_paired" in scored.columns else scored
 
 
+def _intervals(scored: DataFrame, by: tuple) -> list[str]:
+    """What decides whether a read or its mate meets a feature."""
+    return [*by, *(["is_paired"] if "is_paired" in scored.columns else []), "pos", "read_stop", "pos_m", "mate_stop"]
+
+
+def classes_of_reads(scored: DataFrame, feats: DataFrame, by: tuple = ("chrom",)) -> DataFrame:
+    """(class, by, v_id, x, correct, total): reads counted once over all that they or their mates meet, in one join.
+
+    class 0: reads on the feature; 1: reads that meet none, whose mate is on the feature; 2: reads that, with their mates,
+    meet nothing, in a row for each by (v_id and x null). Reads with the same two places are one row from the start, so
+    a pile-up is small before it is shuffled, and a read needs no name of its own.
+    """
+    key = _intervals(scored, by)
+    alike = scored.groupBy(*key).agg(F.count_if(F.col("xf") == 1).alias("correct"), F.count("*").alias("total"))
+    side = lambda k, a, b: F.struct(F.lit(k).alias("side"), F.col(a).cast("bigint").alias("i_start"), F.col(b).cast("bigint").alias("i_stop"))
+    paired = F.col("is_paired") if "is_paired" in key else F.lit(True)
+    sides = F.array_compact(F.array(side(0, "pos", "read_stop"), F.when(paired, side(1, "pos_m", "mate_stop"))))
+    each = alike.select("*", F.explode(sides).alias("i")).select("*", "i.*").drop("i")
+    met = overlap_join(each, feats, "i_start", "i_stop", by=by, how="left")
+    met = met.withColumn("side", F.when(F.col("v_id").isNull(), 2).otherwise(F.col("side")))
+    w = Window.partitionBy(*key)
+    best = met.withColumn("class", F.min("side").over(w)).withColumn("k", F.row_number().over(w.orderBy("side"))).where("side = class and (class < 2 or k = 1)")
+    return best.groupBy("class", *by, "v_id", "x").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
+
+
 def templates_over_features(scored: DataFrame, feats: DataFrame, by: tuple = ("chrom",)) -> DataFrame:
     """Overlaps of the mates of reads that meet no feature themselves."""
-    met = overlap_join(scored, feats, by=by).select("read_serial").distinct()
-    return overlap_join(paired_only(scored).join(met, "read_serial", "left_anti"), feats, "pos_m", "mate_stop", by=by)
+    own, key = _met(scored, feats, by), _intervals(scored, by)
+    return overlap_join(paired_only(scored).join(own.where("side = 0").select(*key).distinct(), key, "left_anti"), feats, "pos_m", "mate_stop", by=by)
 
 
 def reads_outside_features(scored: DataFrame, feats: DataFrame, by: tuple = ("chrom",)) -> DataFrame:
     """Reads that meet no feature, and whose mates meet none."""
-    met = overlap_join(scored, feats, by=by).select("read_serial").union(overlap_join(paired_only(scored), feats, "pos_m", "mate_stop", by=by).select("read_serial")).distinct()
-    return scored.join(met, "read_serial", "left_anti")
+    key = _intervals(scored, by)
+    return scored.join(_met(scored, feats, by).select(*key).distinct(), key, "left_anti")
+
+
+def _met(scored: DataFrame, feats: DataFrame, by: tuple) -> DataFrame:
+    """The distinct places of reads and their mates that meet a feature, by the read (side 0) or by its mate (1)."""
+    key = _intervals(scored, by)
+    alike = scored.select(*key).distinct()
+    own = overlap_join(alike, feats, by=by).select(*key, F.lit(0).alias("side"))
+    return own.unionByName(overlap_join(paired_only(alike), feats, "pos_m", "mate_stop", by=by).select(*key, F.lit(1).alias("side")))
 
 
 def accuracy_per_feature(feats: DataFrame, hits: DataFrame, by: tuple = ()) -> DataFrame:
@@ -128,19 +167,37 @@ def indel_count_covered(per_feature: DataFrame, most: int) -> DataFrame:
     return per_feature.where((F.col("total") > 0) & (F.abs("x") <= most)).groupBy("x").agg(F.count("*").alias("n"))
 
 
-def indel_accuracy(scored: DataFrame, variant: DataFrame, genotype: DataFrame | None = None, most: int = 50) -> dict[str, DataFrame]:
-    """How well reads are placed on, beside and away from variants; with the genotype of a sample, on the copy they come from.
+def indel_accuracy_table(scored: DataFrame, variant: DataFrame, genotype: DataFrame | None = None, most: int = 50) -> DataFrame:
+    """(part, x, correct, total) of how well reads are placed on, beside and away from variants, from one pass over scored.
 
-    reads, templates: (x, correct, total) of reads on features, and of those whose mate alone is on one; outside:
-    (correct, total); covered: (x, n) of features with reads. Without a genotype all variants count for both copies. As
-    copies are counted apart, a read is outside if it meets nothing of its own copy.
+    part reads: reads on features, by length; templates: reads whose mate alone is on one; both have every length from
+    -most to most. covered: features of each length that have reads, in both counts. outside: reads away from all, x null. With the
+    genotype of a sample, variants lie on the copies that they are on, each copy for itself; without, all count for both.
     """
     by = ("chrom",) if genotype is None else ("chrom", "cpy")
     feats = features(variant) if genotype is None else features_of_copies(variant, genotype)
-    hits = overlap_join(scored, feats, by=by)
-    per = accuracy_per_feature(feats, hits, by[1:])
-    outside = reads_outside_features(scored, feats, by).agg(F.count_if(F.col("xf") == 1).alias("correct"), F.count("*").alias("total"))
-    return {"reads": accuracy_by_indel_length(hits, most), "templates": accuracy_by_indel_length(templates_over_features(scored, feats, by), most), "outside": outside, "covered": indel_count_covered(per, most)}
+    per = classes_of_reads(scored, feats, by)
+    row = lambda part, n, of: F.struct(F.lit(part).alias("part"), F.when(F.lit(part != "outside"), F.col("x")).alias("x"), n.alias("correct"), of.alias("total"))
+    counts = F.col("correct"), F.col("total")
+    one = F.lit(1).cast("bigint")
+    rows = F.when(F.col("class") == 0, F.array(row("reads", *counts), row("covered", one, one))).when(F.col("class") == 1, F.array(row("templates", *counts))).otherwise(F.array(row("outside", *counts)))
+    got = per.select(F.explode(rows).alias("o")).select("o.*").where(f"x is null or abs(x) <= {most}").groupBy("part", "x").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
+    spark = scored.sparkSession
+    lengths = spark.range(-most, most + 1).select(F.explode(F.array(F.lit("reads"), F.lit("templates"))).alias("part"), F.col("id").alias("x"))
+    every = lengths.unionByName(spark.range(1).select(F.lit("outside").alias("part"), F.lit(None).cast("bigint").alias("x"))).select("*", F.lit(0).cast("bigint").alias("correct"), F.lit(0).cast("bigint").alias("total"))
+    return got.unionByName(every).groupBy("part", "x").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
+
+
+def parts_of_accuracy(table: DataFrame) -> dict[str, DataFrame]:
+    """indel_accuracy_table() as its parts: reads and templates (x, correct, total), outside (correct, total), covered (x, n)."""
+    of = lambda part: table.where(F.col("part") == part)
+    by_x = {k: of(k).select("x", "correct", "total") for k in ("reads", "templates")}
+    return by_x | {"outside": of("outside").select("correct", "total"), "covered": of("covered").select("x", F.col("total").alias("n"))}
+
+
+def indel_accuracy(scored: DataFrame, variant: DataFrame, genotype: DataFrame | None = None, most: int = 50) -> dict[str, DataFrame]:
+    """parts_of_accuracy() of indel_accuracy_table(); each part is a pass of its own until the table has been written."""
+    return parts_of_accuracy(indel_accuracy_table(scored, variant, genotype, most))
 
 
 def accuracy_by_indel_length(hits: DataFrame, max_indel: int) -> DataFrame:
@@ -150,11 +207,23 @@ def accuracy_by_indel_length(hits: DataFrame, max_indel: int) -> DataFrame:
     return every.join(got, "x", "left").select("x", F.coalesce("correct", F.lit(0)).alias("correct"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
-def accuracy_summary(acc: DataFrame) -> DataFrame:
-    """Unweighted mean percentages of four bands of lengths and of SNPs; lengths without reads don't count."""
+def _bands() -> dict[str, Column]:
+    x = F.col("x")
+    return {"snp": x == 0, "del_long": x <= -20, "del_short": (x > -20) & (x < 0), "ins_short": (x > 0) & (x < 20), "ins_long": x >= 20}
+
+
+def accuracy_summary(acc: DataFrame, outside: DataFrame | None = None, by: tuple = ()) -> DataFrame:
+    """Unweighted mean percentages of four bands of lengths and of SNPs; lengths without reads don't count.
+
+    With outside(by, correct, total), also ref: the percentage of reads away from all variants. by: a row for each.
+    """
     pct = F.when(F.col("total") > 0, F.col("correct") / F.col("total") * 100)
-    bands: dict[str, Column] = {"snp": F.col("x") == 0, "del_long": F.col("x") <= -20, "del_short": (F.col("x") > -20) & (F.col("x") < 0), "ins_short": (F.col("x") > 0) & (F.col("x") < 20), "ins_long": F.col("x") >= 20}
-    return acc.agg(*(F.avg(F.when(c, pct)).alias(k) for k, c in bands.items()))
+    means = [F.avg(F.when(c, pct)).alias(k) for k, c in _bands().items()]
+    out = acc.groupBy(*by).agg(*means)
+    if outside is None:
+        return out
+    ref = outside.groupBy(*by).agg((F.sum("correct") / F.nullif(F.sum("total"), F.lit(0)) * 100).alias("ref"))
+    return out.join(ref, list(by), "left") if by else out.join(F.broadcast(ref), how="left")  # without by, both have one row
 
 
 def median_smooth(acc: DataFrame, k: int) -> DataFrame:
@@ -169,37 +238,68 @@ def median_smooth(acc: DataFrame, k: int) -> DataFrame:
     return got.select("x", F.element_at(F.sort_array(F.concat("near", zeros)), h + 1).alias("smooth"))
 
 
-def compare_runs(bad1: DataFrame, bad2: DataFrame) -> DataFrame:
-    """Reads wrong in either run, labelled identical, different, only_1 or only_2."""
-    cols = ["read_serial", "a_chrom", "a_pos", "a_cigar"]
-    a, b = (d.select(F.col("read_serial"), *(F.col(c).alias(f"{c}_{i}") for c in cols[1:])) for i, d in ((1, bad1), (2, bad2)))
-    same = reduce(lambda x, y: x & y, (F.col(f"{c}_1") == F.col(f"{c}_2") for c in cols[1:]))
-    kind = F.when(F.col("a_pos_2").isNull(), "only_1").when(F.col("a_pos_1").isNull(), "only_2").when(same, "identical").otherwise("different")
-    return a.join(b, "read_serial", "full_outer").withColumn("kind", kind)
+#: What names a read in every run; rows of one read (supplementary ones) are numbered by where they were placed.
+READ = ("qname", "is_read1")
+
+
+def occurrences(df: DataFrame, key: tuple = READ) -> DataFrame:
+    """df with the number (occurrence) of each row among those of its read."""
+    placed = [c for c in ("a_chrom", "a_pos", "a_cigar") if c in df.columns]
+    w = Window.partitionBy(*key).orderBy(*(placed or key))
+    return df.withColumn("occurrence", F.row_number().over(w))
+
+
+def compare_runs(bad1: DataFrame, bad2: DataFrame, key: tuple = READ) -> DataFrame:
+    """Reads wrong in either run, labelled identical, different, only_1 or only_2; rows of one read meet one to one, in the order of their places.
+
+    (key, occurrence, read_serial, kind, and a_chrom, a_pos, a_cigar with _1 and _2); places may be null in both.
+    """
+    own = ["a_chrom", "a_pos", "a_cigar"]
+    at = [*key, "occurrence"]
+    serial = ["read_serial"] if "read_serial" in bad1.columns and "read_serial" not in key else []
+    a, b = (occurrences(d.select(*key, *serial, *own), key).select(*at, F.lit(True).alias(f"in_{i}"), *(F.col(c).alias(f"{c}_{i}") for c in [*serial, *own])) for i, d in ((1, bad1), (2, bad2)))
+    same = reduce(lambda x, y: x & y, (F.col(f"{c}_1").eqNullSafe(F.col(f"{c}_2")) for c in own))
+    kind = F.when(F.col("in_2").isNull(), "only_1").when(F.col("in_1").isNull(), "only_2").when(same, "identical").otherwise("different")
+    out = a.join(b, at, "full_outer").withColumn("kind", kind)
+    return out.select(*at, *(F.coalesce(f"{c}_1", f"{c}_2").alias(c) for c in serial), "kind", *(f"{c}_{i}" for c in own for i in (1, 2)))
+
+
+def compare_two_runs(bad1: DataFrame, bad2: DataFrame, contigs1: DataFrame, contigs2: DataFrame) -> DataFrame:
+    """run_counts() of two runs on the same reference; no row where their contigs (chrom, seq_len) differ."""
+    same = check_same_reference(contigs1, contigs2)
+    return run_counts(compare_runs(bad1, bad2)).join(F.broadcast(same), F.col("same")).drop("same")  # both have one row
+
+
+def _of_interest(df: DataFrame, chrom: int | None, variants_only: bool) -> DataFrame:
+    if chrom is not None:
+        df = df.where(F.col("chrom") == chrom)
+    return df.where(X.has_variant_cigar(F.col("cigar"))) if variants_only else df
 
 
-def run_diff(r: DataFrame, c: DataFrame) -> DataFrame:
-    return r.join(c.select("read_serial"), "read_serial", "left_anti")
+def run_diff(r: DataFrame, c: DataFrame, chrom: int | None = None, variants_only: bool = False, key: tuple = READ) -> DataFrame:
+    """Rows of r that c lacks; of one chromosome, or with a variant in their true CIGAR, if asked for."""
+    at = [*key, "occurrence"]
+    return occurrences(_of_interest(r, chrom, variants_only), key).join(occurrences(c, key).select(*at), at, "left_anti").drop("occurrence")
 
 
-def run_intersect(r: DataFrame, c: DataFrame) -> DataFrame:
-    return r.join(c.select("read_serial").distinct(), "read_serial", "left_semi")
+def run_intersect(r: DataFrame, c: DataFrame, chrom: int | None = None, variants_only: bool = False, key: tuple = READ) -> DataFrame:
+    """Rows of r that c has too; of one chromosome, or with a variant in their true CIGAR, if asked for."""
+    at = [*key, "occurrence"]
+    return occurrences(_of_interest(r, chrom, variants_only), key).join(occurrences(c, key).select(*at), at, "left_semi").drop("occurrence")
 
 
 def attach_runs(runs: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (d.withColumn("run", F.lit(k)) for k, d in runs.items()))
 
 
-def run_matrix(runs: DataFrame, chrom: int | None = None, variants_only: bool = False) -> DataFrame:
+def run_matrix(runs: DataFrame, chrom: int | None = None, variants_only: bool = False, key: tuple = READ) -> DataFrame:
     """(r, c, kind, n): reads of r that c lacks for all r and c, and reads of both for c from r on. One shuffle by read.
 
-    Of one chromosome alone if given; variants_only takes reads whose true CIGAR (cigar) has a variant.
+    Of one chromosome alone if given; variants_only takes reads whose true CIGAR (cigar) has a variant. The rows of a read that
+    a run has several of are numbered, and each counts.
     """
-    if chrom is not None:
-        runs = runs.where(F.col("chrom") == chrom)
-    if variants_only:
-        runs = runs.where(X.has_variant_cigar(F.col("cigar")))
-    sets = runs.groupBy("read_serial").agg(F.sort_array(F.collect_set("run")).alias("in_runs")).groupBy("in_runs").agg(F.count("*").alias("n"))
+    runs = occurrences(_of_interest(runs, chrom, variants_only).repartition(*key), (*key, "run"))
+    sets = runs.groupBy(*key, "occurrence").agg(F.sort_array(F.collect_set("run")).alias("in_runs")).groupBy("in_runs").agg(F.count("*").alias("n"))
     names = runs.select(F.col("run").alias("c")).distinct()
     # a row for each set of runs that occurs and each of its runs: neither grows with the reads
     each = sets.select("in_runs", "n", F.explode("in_runs").alias("r"))
@@ -232,8 +332,10 @@ def misalignment_cell(bad: DataFrame, c1: int, p: tuple[int, int], c2: int, q: t
     return bad.where((F.col("chrom") == c1) & (F.col("pos") >= p[0]) & (F.col("pos") < p[1]) & (F.col("a_chrom") == c2 - 1) & (F.col("a_pos") >= q[0]) & (F.col("a_pos") < q[1])).agg(F.count("*").alias("n"))
 
 
-def read_density(reads: DataFrame, contig: DataFrame, width: int = 10000) -> DataFrame:
-    """Density of correct places by bin; it integrates to one over each chromosome."""
+def read_density(reads: DataFrame, contig: DataFrame, width: int = 10000, source: bool = True) -> DataFrame:
+    """Density of correct places by bin, or of aligned ones (mapped reads alone) if source is False; it integrates to one over each chromosome."""
+    if not source:
+        reads = reads.where("a_chrom >= 0").select((F.col("a_chrom") + 1).alias("chrom"), F.col("a_pos").alias("pos"))
     b = F.greatest(F.lit(1), F.expr(f"seq_len div {width}"))
     placed = reads.join(contig, "chrom").withColumn("bins", b).withColumn("bin", F.least(F.floor(F.col("pos") * F.col("bins") / F.col("seq_len")), F.col("bins") - 1))
     n = placed.groupBy("chrom", "bin").agg(F.count("*").alias("n"), F.first(F.col("seq_len") / F.col("bins")).alias("w"))
@@ -286,10 +388,11 @@ def pairwise_runs(acc: DataFrame) -> DataFrame:
     return a.join(b, "x").where("run_1 < run_2").select("run_1", "run_2", "x", (F.col("p2") - F.col("p1")).alias("diff"))
 
 
-def reads_near_variants(reads: DataFrame, windows: DataFrame) -> DataFrame:
-    """Reads that touch a window(chrom, start, end) of a variant."""
+def reads_near_variants(reads: DataFrame, windows: DataFrame, by: tuple = ("chrom",)) -> DataFrame:
+    """Reads that touch a window(chrom, start, end) of a variant. Only their distinct places meet the windows, so a pile-up is one row there."""
     w = windows.select("chrom", F.col("start").alias("f_start"), F.col("end").alias("f_stop"))
-    return reads.join(overlap_join(reads.select("read_serial", "chrom", "pos", "read_stop"), w).select("read_serial").distinct(), "read_serial", "left_semi")
+    key = [*by, "pos", "read_stop"]
+    return reads.join(overlap_join(reads.select(*key).distinct(), w, by=by).select(*key).distinct(), key, "left_semi")
 
 
 def accuracy_by_neighbour(hits: DataFrame, nearest: DataFrame, most: int, most_dist: int) -> DataFrame:
@@ -310,11 +413,9 @@ def mean_coverage(reads: DataFrame, contig: DataFrame) -> DataFrame:
     return reads.agg(F.sum("rlen").alias("bases")).crossJoin(contig.agg(F.sum("seq_len").alias("all"))).select((F.col("bases") / F.col("all")).alias("coverage"))
 
 
-def run_report(runs: DataFrame, acc: DataFrame) -> DataFrame:
-    """runs(run, ...) with the accuracy summary of each; acc(run, x, correct, total)."""
-    pct = F.when(F.col("total") > 0, F.col("correct") / F.col("total") * 100)
-    bands = {"snp": F.col("x") == 0, "del_long": F.col("x") <= -20, "del_short": (F.col("x") > -20) & (F.col("x") < 0), "ins_short": (F.col("x") > 0) & (F.col("x") < 20), "ins_long": F.col("x") >= 20}
-    return runs.join(acc.groupBy("run").agg(*(F.avg(F.when(c, pct)).alias(k) for k, c in bands.items())), "run", "left")
+def run_report(runs: DataFrame, acc: DataFrame, outside: DataFrame | None = None) -> DataFrame:
+    """runs(run, ...) with the accuracy summary of each; acc(run, x, correct, total), outside(run, correct, total)."""
+    return runs.join(accuracy_summary(acc, outside, ("run",)), "run", "left")
 
 
 def serialise(df: DataFrame, order: list, bucket: Column, by: tuple = (), name: str = "serial") -> DataFrame:

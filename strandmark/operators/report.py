@@ -22,6 +22,7 @@ def full_report(alignments: DataFrame, variant: DataFrame, path: str, window: in
     scored = spark.read.parquet(f"{path}/scored").withColumn("chrom", F.col("chrom").cast("bigint"))
     write_scored(R.bad_reads(scored), f"{path}/bad")
     bad = spark.read.schema(scored.schema).parquet(f"{path}/bad")
-    found = R.indel_accuracy(scored, variant, genotype, most)
+    R.indel_accuracy_table(scored, variant, genotype, most).coalesce(1).write.parquet(f"{path}/indel_accuracy")  # a row for each length
+    found = R.parts_of_accuracy(spark.read.parquet(f"{path}/indel_accuracy"))
     accuracy = found["reads"]
-    return {"scored": scored, "bad": bad, "matrix": R.misalignment_matrix(bad, width), "unmapped": R.unmapped_by_bin(bad, width), "accuracy": accuracy, "summary": R.accuracy_summary(accuracy), "smoothed": R.median_smooth(accuracy, smooth), "templates": found["templates"], "covered": found["covered"], "outside": found["outside"]}
+    return {"scored": scored, "bad": bad, "matrix": R.misalignment_matrix(bad, width), "unmapped": R.unmapped_by_bin(bad, width), "accuracy": accuracy, "summary": R.accuracy_summary(accuracy, found["outside"]), "smoothed": R.median_smooth(accuracy, smooth), "templates": found["templates"], "covered": found["covered"], "outside": found["outside"]}

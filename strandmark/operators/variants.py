@@ -6,14 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
-from .reads import serialise
-
-#: Bases that an ordered pass over a chromosome takes in one task.
-STRETCH = 1 << 20
+from .reads import overlap_join, serialise
+from .sequence import STRETCH, along
 
 
 def sample_variants(variant: DataFrame, genotype: DataFrame) -> DataFrame:
@@ -54,9 +52,42 @@ def _in_order(rows: pa.Table) -> pa.Table:
     return rows.sort_by([("pos", "ascending"), ("v_id", "ascending")])
 
 
+def clusters(df: DataFrame, by: list[str], slack: int, width: int = STRETCH) -> DataFrame:
+    """df with begins and ends: whether a row lies beyond (by more than slack) all that come before it in the order of (pos, v_id), and whether all that come after lie beyond it.
+
+    What begins and ends is alone in its cluster. The furthest stop so far is found inside stretches, and carried over from
+    those before by a row for each.
+    """
+    rows = df.withColumn("_b", X.bin_of("pos", width))
+    names = {c: f"_k_{i}" for i, c in enumerate((*by, "_b"))}
+    every = Window.partitionBy(*by).orderBy("_b")
+    sums = rows.groupBy(*by, "_b").agg(F.max("stop").alias("s"), F.min("pos").alias("p"))
+    sums = sums.select(*(F.col(c).alias(n) for c, n in names.items()), F.max("s").over(every.rowsBetween(Window.unboundedPreceding, -1)).alias("_far"), F.min("p").over(every.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
+    own = Window.partitionBy(*by, "_b").orderBy("pos", "v_id")
+    near = rows.withColumn("_s", F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_p", F.lead("pos").over(own))
+    near = near.join(sums, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    far, after = F.greatest("_s", "_far"), F.coalesce("_p", "_next")
+    beyond = lambda pos, stop: F.coalesce(pos > stop + slack, F.lit(True))
+    # the next row begins a cluster if it is beyond this row and all before it
+    near = near.withColumn("begins", beyond(F.col("pos"), far)).withColumn("ends", beyond(after, F.greatest("stop", far)))
+    return near.drop("_b", "_s", "_p", "_far", "_next", *names.values())
+
+
 def sweep(df: DataFrame, by: list[str], slack: int, width: int = STRETCH) -> DataFrame:
     """Greedy sweep in order of (pos, v_id): a row is kept if pos > stop + slack of the last one kept. Columns by, pos, stop, v_id.
 
+    A row that is alone in its cluster is kept, and what comes after a cluster doesn't depend on it; so only clusters of
+    several rows are walked.
+    """
+    marked = clusters(df.select(*by, "pos", "stop", "v_id"), by, slack, width)
+    alone = F.col("begins") & F.col("ends")
+    cols = [*by, "pos", "stop", "v_id"]
+    return marked.where(alone).select(*cols).unionByName(_walked(marked.where(~alone).select(*cols), by, slack, width))
+
+
+def _walked(df: DataFrame, by: list[str], slack: int, width: int) -> DataFrame:
+    """The sweep over clusters of several rows.
+
     Chromosomes are cut into stretches. What a stretch does depends only on the stop of the last row kept before it, so
     a first pass gives for each stretch the stop it ends with, by where its first kept row lies (few numbers, as chains
     from different rows soon meet); these are followed from stretch to stretch, and a second pass keeps the rows.
@@ -98,7 +129,10 @@ def sweep(df: DataFrame, by: list[str], slack: int, width: int = STRETCH) -> Dat
 
     sums = rows.groupBy(*by, "_b").applyInArrow(ends, f"{kinds}, _b bigint, upto array<bigint>, end array<bigint>")
     start = sums.groupBy(*by).applyInArrow(follow, f"{kinds}, _b bigint, before bigint")
-    return rows.join(start, [*by, "_b"]).groupBy(*by, "_b").applyInArrow(keep, f"{kinds}, pos bigint, stop bigint, v_id bigint")
+    names = {c: f"_k_{i}" for i, c in enumerate((*by, "_b"))}
+    start = start.withColumnsRenamed(names)
+    both = rows.join(start, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]).drop(*names.values())
+    return both.groupBy(*by, "_b").applyInArrow(keep, f"{kinds}, pos bigint, stop bigint, v_id bigint")
 
 
 def remove_collisions(df: DataFrame, by: list[str]) -> DataFrame:
@@ -145,26 +179,35 @@ def nearest_variant(v1: DataFrame, v2: DataFrame, width: int = STRETCH) -> DataF
     return near.withColumn("m", pick).select("v_id", "chrom", "pos", F.abs(F.col("pos") - F.col("m.p2")).alias("dist"), F.col("m.x2").alias("length"))
 
 
-def rebalance_spectrum(variant: DataFrame, spectrum: list[tuple[float, float]]) -> DataFrame:
-    """Levels of p handed out in blocks of int(f*n+0.5) in the order of p; rows past the last block keep theirs."""
+def _levels(spark: SparkSession, spectrum) -> DataFrame:
+    """(i, p, f) of a spectrum: pairs of level and share in their order, or a table (p, f) in the order of p."""
+    if isinstance(spectrum, DataFrame):
+        return spectrum.select((F.row_number().over(Window.orderBy("p")) - 1).alias("i"), "p", "f")  # a row for each level
+    return spark.createDataFrame([(i, float(p), float(f)) for i, (p, f) in enumerate(spectrum)], "i int, p double, f double")
+
+
+def rebalance_spectrum(variant: DataFrame, spectrum) -> DataFrame:
+    """Levels of p handed out in blocks of int(f*n+0.5) in the order of p; rows past the last block keep theirs.
+
+    spectrum: pairs (level, share), or a table (p, f) of any length. Blocks are ranges of ranks, and a rank finds its
+    own by an interval join.
+    """
     sizes = variant.groupBy("chrom").agg(F.count("*").alias("_all"))
-    ranked = serialise(variant, ["v_id"], F.struct("p", X.bin_of("v_id", STRETCH)), ("chrom",), "_rank").join(sizes, "chrom")
-    before: Column = F.lit(0)
-    level = F.col("p")
-    steps = []
-    for p, f in spectrum:
-        before = before + F.floor(F.lit(f) * F.col("_all") + 0.5)
-        steps.append((before, p))
-    for bound, p in reversed(steps):
-        level = F.when(F.col("_rank") < bound, F.lit(p)).otherwise(level)
-    return ranked.withColumn("p_new", level).drop("_all", "_rank")
-
-
-def waypoints(variant: DataFrame, by: list[str]) -> DataFrame:
-    """Anchors between reference and haplotype for each variant of a copy."""
-    delta = X.indel_length()
-    shift = F.coalesce(F.sum("delta").over(Window.partitionBy(*by).orderBy("pos", "v_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    w = variant.withColumn("delta", delta).withColumn("alt_pos", F.col("pos") + shift)
+    levels = _levels(variant.sparkSession, spectrum).select("i", F.col("p").alias("_level"), F.col("f").alias("_f"))
+    size = F.floor(F.col("_f") * F.col("_all") + 0.5)
+    blocks = sizes.join(F.broadcast(levels), how="cross").withColumn("_n", size)  # a row for each chromosome and level
+    end = F.sum("_n").over(Window.partitionBy("chrom").orderBy("i"))
+    cut = blocks.select("chrom", (end - F.col("_n")).alias("f_start"), (end - 1).alias("f_stop"), "_level")
+    # a last block, without a level, takes what is left, so that every rank has one block
+    rest = blocks.groupBy("chrom", "_all").agg(F.sum("_n").alias("_n")).select("chrom", F.col("_n").alias("f_start"), (F.col("_all") - 1).alias("f_stop"), F.lit(None).cast("double").alias("_level"))
+    ranked = serialise(variant, ["v_id"], F.struct("p", X.bin_of("v_id", STRETCH)), ("chrom",), "_rank")
+    met = overlap_join(ranked, cut.unionByName(rest).where("f_stop >= f_start"), "_rank", "_rank")
+    return met.withColumn("p_new", F.coalesce("_level", "p")).drop("_rank", "_level", "f_start", "f_stop")
+
+
+def waypoints(variant: DataFrame, by: list[str], width: int = STRETCH) -> DataFrame:
+    """Anchors between reference and haplotype for each variant of a copy; summed along stretches of a haplotype."""
+    w = along(variant.withColumn("delta", X.indel_length()), tuple(by), "delta", ("pos", "v_id"), width).withColumn("alt_pos", F.col("pos") + F.col("_shift"))
     indel = F.col("delta") != 0
     return w.select(*by, "v_id", F.when(indel, F.col("pos") + F.length("ref")).otherwise(F.col("pos")).cast("bigint").alias("ref_pos"), F.when(indel, F.col("alt_pos") + 1).otherwise(F.col("alt_pos")).alias("alt_pos"), "delta")
 
@@ -174,7 +217,10 @@ def assign_v_id(variant: DataFrame) -> DataFrame:
     return serialise(variant, ["pos", "ref", "alt", "v_id"], X.bin_of("pos", STRETCH), ("chrom",), "new_id")
 
 
-def indel_histogram(variant: DataFrame, most: int = 50) -> DataFrame:
+def indel_histogram(variant: DataFrame, most: int = 50, genotype: DataFrame | None = None, sample=None) -> DataFrame:
+    """(x, n) for every length from -most to most; with genotype and sample, of what that sample has, each variant once."""
+    if sample is not None:
+        variant = variant.join(genotype.where(F.col("sample") == sample).select("v_id").distinct(), "v_id", "left_semi")
     got = variant.groupBy(X.indel_length().alias("x")).agg(F.count("*").alias("n"))
     return variant.sparkSession.range(-most, most + 1).select(F.col("id").alias("x")).join(got, "x", "left").select("x", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -185,13 +231,20 @@ def discovery_curve(variant: DataFrame, sizes: list[int]) -> DataFrame:
     return each.groupBy("n").agg(F.avg(1 - F.pow(1 - F.col("p"), F.col("n"))).alias("share"))
 
 
-def variant_counts(variant: DataFrame, genotype: DataFrame, samples: list) -> DataFrame:
-    """Variants by chromosome, of all and of each sample, with a total row (chrom null)."""
+def variant_counts(variant: DataFrame, genotype: DataFrame, samples: list | None = None) -> DataFrame:
+    """Variants by chromosome, of all and of each sample, with a total row (chrom null). Without samples, of the first ten in order."""
+    if samples is None:
+        samples = [r["sample"] for r in first_samples(genotype, 10).collect()]
     marks = genotype.where(F.col("sample").isin(samples)).groupBy("v_id").pivot("sample", samples).agg(F.count(F.lit(1)))
     rows = variant.join(marks, "v_id", "left")
     return rows.rollup("chrom").agg(F.count("*").alias("population"), *(F.coalesce(F.sum(F.col(f"`{s}`")), F.lit(0)).alias(f"s{s}") for s in samples))
 
 
+def unique_and_total(genotype: DataFrame) -> DataFrame:
+    """(unique_variants, total_variants): variants that some sample has, and how many all samples have together."""
+    return genotype.agg(F.countDistinct("v_id").alias("unique_variants"), F.count("*").alias("total_variants"))
+
+
 def weighted_sample(variant: DataFrame, seed: int, samples: int, draws: int = 2) -> DataFrame:
     """Each row kept with its own probability, in each draw of each sample, by the hash of its key."""
     each = variant.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)).cast("array<bigint>"))).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")))
@@ -214,19 +267,35 @@ def flag_multiallelic(copies: DataFrame, by: list[str]) -> DataFrame:
     return copies.groupBy(*by, "pos").agg(side(0).alias("z0"), side(1).alias("z1")).where("z0 <> z1")
 
 
-def spectrum_histogram(variant: DataFrame, spectrum: list[tuple[float, float]]) -> DataFrame:
-    """(level, actual, ideal) by levels of p; bins end half way to the next level, the last one includes its end."""
-    levels = [p for p, _ in spectrum]
+def spectrum_histogram(variant: DataFrame, spectrum=None) -> DataFrame:
+    """(level, actual, ideal) by levels of p; bins end half way to the next level, the last one includes its end.
+
+    spectrum: pairs (level, share), or a table (p, f); by default eleven levels from 0 to the largest p, without shares
+    (ideal null). The levels, not the variants, are gathered; variants find their bin by a search among its edges.
+    """
+    spark = variant.sparkSession
+    if spectrum is None:
+        most = variant.agg(F.max("p")).first()[0] or 0.0
+        pairs = [(i * most / 10, None) for i in range(11)]
+    else:
+        pairs = [(r["p"], r["f"]) for r in _levels(spark, spectrum).orderBy("i").collect()]
+    levels = [p for p, _ in pairs]
     half = [(b - a) / 2 for a, b in zip(levels, levels[1:], strict=False)] or [0.5]
     edges = [0.0, *(p + h for p, h in zip(levels[:-1], half, strict=False)), levels[-1] + half[-1]]
-    at = F.lit(None).cast("int")
-    for i in reversed(range(len(levels))):
-        upper = F.col("p") <= edges[i + 1] if i == len(levels) - 1 else F.col("p") < edges[i + 1]
-        at = F.when((F.col("p") >= edges[i]) & upper, i).otherwise(at)
-    got = variant.groupBy(at.alias("i")).agg(F.count("*").alias("n"))
-    every = variant.sparkSession.createDataFrame([(i, p, f) for i, (p, f) in enumerate(spectrum)], "i int, level double, share double")
     total = variant.agg(F.count("*").alias("total"))
-    return every.join(got, "i", "left").crossJoin(total).select("level", F.coalesce("n", F.lit(0)).alias("actual"), (F.col("share") * F.col("total")).alias("ideal"))
+    every = spark.createDataFrame([(i, p, f) for i, (p, f) in enumerate(pairs)], "i int, level double, share double")
+    cuts = sorted(set(edges))
+    if len(cuts) < 3:  # one bin, or none with a width
+        inside = F.col("p").between(cuts[0], cuts[-1])
+        got = variant.where(inside).select(F.lit(float(len(edges) - 2)).alias("bin"))
+    else:
+        from pyspark.ml.feature import Bucketizer
+
+        found = Bucketizer(splits=cuts, inputCol="p", outputCol="bin").transform(variant.select(F.col("p").cast("double").alias("p")).where(F.col("p").between(cuts[0], cuts[-1])))
+        place = {float(k): float(max(i for i, e in enumerate(edges[:-1]) if e == cuts[k])) for k in range(len(cuts) - 1)}
+        got = found.select("bin") if len(cuts) == len(edges) else found.replace(place, subset=["bin"]).select("bin")
+    n = got.groupBy(F.col("bin").cast("int").alias("i")).agg(F.count("*").alias("n"))
+    return every.join(n, "i", "left").join(F.broadcast(total), how="cross").select("level", F.coalesce("n", F.lit(0)).alias("actual"), (F.col("share") * F.col("total")).alias("ideal"))
 
 
 def force_homozygous(variant: DataFrame, seed: int, samples: int) -> DataFrame:

@@ -153,7 +153,8 @@ def _(spark, d):
 
 @query("c6_compare_two_runs", with_("fx_align", extra=(*BOTH, "j as (select b1.read_serial r1, b2.read_serial r2, b1.a_chrom=b2.a_chrom and b1.a_pos=b2.a_pos and b1.a_cigar=b2.a_cigar same from b1 full join b2 on b1.read_serial=b2.read_serial)")) + "select count(*) filter (r1 is not null and r2 is not null and same) joint_identical, count(*) filter (r1 is not null and r2 is not null and not same) joint_different, count(*) filter (r2 is null) b1, count(*) filter (r1 is null) b2 from j")
 def _(spark, d):
-    return R.run_counts(R.compare_runs(R.bad_reads(scored(spark, d)), R.bad_reads(scored(spark, d, 2))))
+    contig = view(spark, d, "fx_contig")
+    return R.compare_two_runs(R.bad_reads(scored(spark, d)), R.bad_reads(scored(spark, d, 2)), contig, contig)
 
 
 @query("c2_truth_fastq_names", with_("fx_align", extra=(
@@ -255,12 +256,7 @@ BY_X = "select '{0}' part, r.x, count(*) filter (xf=1) correct, count(xf) total
 @query("c1_indel_accuracy", with_("fx_align", "fx_variant", "fx_genotype", extra=(S1, FEATS, *COPIES)) + f"{BY_X.format('reads', 'hitsc')} union all {BY_X.format('templates', 'tplc')} union all select 'covered', x, n, n from (select x, count(*) n from (select distinct x, v_id, cpy from hitsc) group by x) union all select 'outside', null, count(*) filter (xf=1), count(*) from scored_x where read_serial not in (select read_serial from hitsc union all select read_serial from matec)")
 def _(spark, d):
     g = view(spark, d, "fx_genotype").where("sample = 1")
-    got = R.indel_accuracy(scored(spark, d), view(spark, d, "fx_variant"), g, 20)
-    part = lambda name, *cols: got[name].select(F.lit(name).alias("part"), *cols)
-    both = [part(k, "x", "correct", "total") for k in ("reads", "templates")]
-    covered = part("covered", "x", F.col("n").alias("correct"), F.col("n").alias("total"))
-    outside = part("outside", F.lit(None).cast("bigint").alias("x"), "correct", "total")
-    return both[0].unionByName(both[1]).unionByName(covered).unionByName(outside)
+    return R.indel_accuracy_table(scored(spark, d), view(spark, d, "fx_variant"), g, 20)
 
 
 @query("j1_reads_over_copies", with_("fx_align", "fx_variant", "fx_genotype", extra=(S1, FEATS, *COPIES)) + "select read_serial, v_id, cpy, x, xf from hitsc")
@@ -271,7 +267,7 @@ def _(spark, d):
 
 @query("a12_run_matrix_of_chrom", with_("fx_align", extra=(*BOTH, "runs as (select 'a' run, read_serial from b1 where chrom=2 union all select 'b', read_serial from b2 where chrom=2)")) + "select x.run r, y.run c, 'intersect' kind, count(*) n from runs x join runs y on x.read_serial=y.read_serial and x.run<=y.run group by 1,2 union all select x.run, y.run, 'diff', count(*) from runs x cross join (select distinct run from runs) y where not exists (select 1 from runs z where z.run=y.run and z.read_serial=x.read_serial) group by 1,2")
 def _(spark, d):
-    return R.run_matrix(R.attach_runs({k: R.bad_reads(scored(spark, d, i)).select("read_serial", "chrom", "cigar") for i, k in ((1, "a"), (2, "b"))}), chrom=2)
+    return R.run_matrix(R.attach_runs({k: R.bad_reads(scored(spark, d, i)).select(*R.READ, "chrom", "cigar") for i, k in ((1, "a"), (2, "b"))}), chrom=2)
 
 
 @query("a8_default_bins", with_("fx_align", extra=(S1,)) + "select chrom c_chrom, pos//50000 c_bin, count(*) n from scored_x where is_unmapped=1 group by all")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,13 @@ FIXTURES = {
        cast(case when m.is_read1 = 1 then pos else pos_m end + case when rs % 7 = 0 then rs % 11 else 0 end as bigint) apos,
        case when rs % 13 = 0 then '90M10S' else '100M' end acigar, cast(rs % 61 as bigint) mapq
 from fx_truth cross join (select cast(1 as bigint) is_read1 union all select cast(0 as bigint)) m""",
+    "fx_sam": """select concat('t', cast(rs % 20011 as string)) qname,
+       cast(case when rs % 19 = 0 then 0 else 1 + case when m.k = 1 then 64 else 128 end + case when (ro + m.k) % 2 = 1 then 0 else 32 end + case when rs % 59 = 0 then case when m.k = 1 then 8 else 4 end else 0 end end
+            + case when (ro + m.k) % 2 = 1 then 16 else 0 end + case when rs % 31 = 0 and m.k = 0 then 256 when rs % 37 = 0 then 2048 else 0 end as bigint) flag,
+       chrom - 1 ref_id, case when rs % 19 = 0 then -1 when rs % 17 = 0 then chrom % 5 else chrom - 1 end next_ref_id,
+       case when m.k = 1 or rs % 23 = 0 then pos else pos_m end apos, case when m.k = 1 and rs % 23 <> 0 then pos_m else pos end pnext, cast(rs % 61 as bigint) mapq, case when rs % 13 = 0 then '90M10S' else '100M' end acigar,
+       translate(substr(repeat(md5(concat(cast(rs as string), '/', cast(m.k as string))), 4), 1, 100), '0123456789abcdef', 'ACGTACGTACGTACGN') seq
+from fx_truth cross join (select cast(1 as bigint) k union all select cast(0 as bigint) k) m where m.k = 1 or rs % 19 <> 0""",
     "fx_seq": """select cast(doc_id as bigint) seq_no, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACCTACGTACGTANGTACGTACGTACACCTACGTACGTANGTACGTACGTAC'), '[^ACGTN]', 'N') seq from documents""",
     "fx_single": """select concat_ws('|', cast(rs as string), cast(chrom as string), cast(cpy as string), cast(ro as string), case when rs % 29 = 0 then 'none' else cast(pos as string) end, '100', case when rs % 3 = 0 then '20=1X79=' when rs % 3 = 1 then '5I95=' else '100=' end) qname,
        cast(1 as bigint) is_read1, false is_paired, cast(case when rs % 31 = 0 then 1 else 0 end as bigint) is_secondary, cast(0 as bigint) is_unmapped, chrom - 1 as ref_id,
@@ -38,7 +47,7 @@ from fx_truth cross join (select cast(1 as bigint) is_read1 union all select cas
 }
 #: Views that DuckDB words in another way.
 DUCKDB = {"fx_seq": "select cast(doc_id as bigint) seq_no, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACCTACGTACGTANGTACGTACGTACACCTACGTACGTANGTACGTACGTAC'), '[^ACGTN]', 'N', 'g') seq from documents"}
-NEEDS = {"fx_align": ["fx_truth"], "fx_single": ["fx_truth"]}
+NEEDS = {"fx_align": ["fx_truth"], "fx_single": ["fx_truth"], "fx_sam": ["fx_truth"]}
 TABLES = {"fx_contig": "region", "fx_variant": "part", "fx_site": "part", "fx_genotype": "lineitem", "fx_truth": "lineitem", "fx_seq": "documents"}
 
 
@@ -77,11 +86,13 @@ def with_(*names: str, extra: tuple = ()) -> str:
             add(m)
         if n not in seen:
             seen.add(n)
-            parts.append(f"{n} as ({DUCKDB.get(n, FIXTURES[n])})")
+            parts.append(f"{n} as materialized ({DUCKDB.get(n, FIXTURES[n])})")
 
     for n in names:
         add(n)
-    return "with " + ",\n".join([*parts, *extra]) + "\n"
+    # parts that several others read are worked out once
+    once = [re.sub(r"(^|\n)((?:scored|scored2)(?:_x)?|align2|b1|b2|hits|hits2|feats) as \(", r"\1\2 as materialized (", x) for x in extra]
+    return "with " + ",\n".join([*parts, *once]) + "\n"
 
 
 def query(name: str, sql: str):
@@ -163,8 +174,7 @@ def acc(spark, d):
 @query("a2_accuracy_per_feature", with_("fx_align", "fx_variant", extra=(S1, FEATS, HITS)) + "select f.v_id, sum(case when xf=1 then 1 else 0 end)::bigint correct, count(h.read_serial) total from feats f left join hits h on f.v_id=h.v_id group by f.v_id")
 def _(spark, d):
     f = feats(spark, d)
-    n = R.overlap_join(scored(spark, d), f).groupBy("v_id").agg(F.count_if(F.col("xf") == 1).alias("correct"), F.count("*").alias("total"))
-    return f.select("v_id").join(n, "v_id", "left").select("v_id", F.coalesce("correct", F.lit(0)).alias("correct"), F.coalesce("total", F.lit(0)).alias("total"))
+    return R.accuracy_per_feature(f, R.overlap_join(scored(spark, d), f)).drop("x")
 
 
 @query("a4_accuracy_by_indel_length", with_("fx_align", "fx_variant", extra=(S1, FEATS, HITS, ACC)) + "select * from acc")
@@ -174,7 +184,8 @@ def _(spark, d):
 
 @query("a5_indel_count_covered", with_("fx_align", "fx_variant", extra=(S1, FEATS, HITS)) + "select x, count(distinct v_id) n from hits group by x")
 def _(spark, d):
-    return R.overlap_join(scored(spark, d), feats(spark, d)).select("x", "v_id").distinct().groupBy("x").agg(F.count("*").alias("n"))
+    f = feats(spark, d)
+    return R.indel_count_covered(R.accuracy_per_feature(f, R.overlap_join(scored(spark, d), f)), 20)
 
 
 PCT = "case when total>0 then correct*100.0::double/total end"
@@ -203,7 +214,7 @@ def _(spark, d):
 
 @query("a12_run_matrix", with_("fx_align", extra=(*BOTH, "runs as (select 'a' run, read_serial from b1 union all select 'b', read_serial from b2)")) + "select x.run r, y.run c, 'intersect' kind, count(*) n from runs x join runs y on x.read_serial=y.read_serial and x.run<=y.run group by 1,2 union all select x.run, y.run, 'diff', count(*) from runs x cross join (select distinct run from runs) y where not exists (select 1 from runs z where z.run=y.run and z.read_serial=x.read_serial) group by 1,2")
 def _(spark, d):
-    runs = R.attach_runs({"a": R.bad_reads(scored(spark, d)).select("read_serial"), "b": R.bad_reads(scored(spark, d, 2)).select("read_serial")})
+    runs = R.attach_runs({"a": R.bad_reads(scored(spark, d)).select(*R.READ), "b": R.bad_reads(scored(spark, d, 2)).select(*R.READ)})
     return R.run_matrix(runs)
 
 
@@ -291,7 +302,7 @@ def _(spark, d):
 
 @query("a24_unique_and_total", with_("fx_genotype") + "select count(distinct v_id) unique_variants, count(*) total_variants from fx_genotype")
 def _(spark, d):
-    return view(spark, d, "fx_genotype").agg(F.countDistinct("v_id").alias("unique_variants"), F.count("*").alias("total_variants"))
+    return V.unique_and_total(view(spark, d, "fx_genotype"))
 
 
 @query("m1_weighted_sample", with_("fx_variant") + "select s.sample::bigint sample, c.copy::bigint copy, v_id from fx_variant cross join (select unnest(range(1,4)) sample) s cross join (select unnest(range(0,2)) copy) c where ('0x'||substr(md5(concat_ws('|','7',s.sample::varchar,c.copy::varchar,chrom::varchar,v_id::varchar)),1,8))::bigint/4294967296.0 < p")

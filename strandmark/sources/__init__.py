@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import functions as X
 from ..operators.reads import serialise
-from ..operators.sequence import parts
+from .fasta import chunks_of, contigs_of, read_fasta_chunks, read_lines, write_fasta_split
+
+__all__ = [
+    "chunks_of", "contigs_of", "read_contig_index", "read_fasta", "read_fasta_chunks", "read_fasta_dir", "read_lines", "read_sam", "read_sam_contigs", "read_scored", "read_vcf", "read_vcf_contigs",
+    "tables_to_vcf", "vcf_samples", "vcf_to_tables", "with_ref_ids", "write_fasta_split", "write_fastq", "write_scored", "write_sorted", "write_vcf",
+]
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment lines of SAM text; places become 0-based, and the reference its name."""
+    """Alignment lines of SAM text; places become 0-based, and the reference its name. tags: the optional fields, each with its type letter and its text."""
     f = F.split("value", "\t")
     flag = f[1].cast("int")
     bit = lambda n: flag.bitwiseAND(n) != 0
@@ -20,10 +26,60 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
         f[0].alias("qname"), flag.alias("flag"), f[2].alias("rname"), (f[3].cast("bigint") - 1).alias("apos"), f[4].cast("bigint").alias("mapq"), f[5].alias("acigar"),
         f[6].alias("rnext"), (f[7].cast("bigint") - 1).alias("pnext"), f[9].alias("seq"), f[10].alias("qual"),
         bit(1).alias("is_paired"), F.when(bit(64) | ~bit(1), 1).otherwise(0).cast("bigint").alias("is_read1"), bit(16).alias("is_reverse"),
-        F.when(bit(256), 1).otherwise(0).cast("bigint").alias("is_secondary"), F.when(bit(4), 1).otherwise(0).cast("bigint").alias("is_unmapped"),
+        F.when(bit(256), 1).otherwise(0).cast("bigint").alias("is_secondary"), F.when(bit(4), 1).otherwise(0).cast("bigint").alias("is_unmapped"), _tags(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0)))).alias("tags"),
     )
 
 
+def _tags(fields: Column) -> Column:
+    """Optional fields TAG:TYPE:VALUE as a map from tag to (type, value); of a tag given twice, the first; what has another form is left out."""
+    whole = F.filter(fields, lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:[A-Za-z]:"))
+    pair = F.transform(whole, lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.struct(F.substring(x, 4, 1).alias("type"), F.substring(x, 6, 1 << 30).alias("value")).alias("v")))
+    first = F.filter(pair, lambda x, i: F.array_position(F.transform(pair, lambda y: y["k"]), x["k"]) == i + 1)
+    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["k"], x["v"])))
+
+
+def int_tag(name: str) -> Column:
+    """The whole number in a tag; null if it is missing or of another type."""
+    tag = F.try_element_at("tags", F.lit(name))
+    return F.when(tag["type"] == "i", tag["value"].try_cast("bigint"))
+
+
+def text_tag(name: str) -> Column:
+    """The text in a tag; null if it is missing or of another type."""
+    tag = F.try_element_at("tags", F.lit(name))
+    return F.when(tag["type"] == "Z", tag["value"])
+
+
+#: Tags of scored reads, with the columns that they hold.
+SCORE_TAGS = {"Zc": "cpy", "ZE": "read_stop", "Ze": "mate_stop", "Xf": "xf", "YR": "chrom_ok", "YP": "pos_ok", "YC": "cigar_ok", "XR": "a_chrom", "XP": "a_pos", "XC": "a_cigar"}
+
+
+def read_scored_sam(spark: SparkSession, path: str) -> DataFrame:
+    """Scored reads of a SAM text whose tags hold the scores, at their true places: what compare_runs() and the matrices take.
+
+    xf 0 is misplaced, 1 right, 2 unmapped. chrom counts from 1 in the order of the file's contigs.
+    """
+    rows = with_ref_ids(read_sam(spark, path), read_sam_contigs(spark, path))
+    flags = [F.coalesce(int_tag(t) == 1, F.lit(True)).alias(c) for t, c in SCORE_TAGS.items() if t in ("YR", "YP", "YC")]
+    numbers = [int_tag(t).alias(c) for t, c in SCORE_TAGS.items() if t in ("Zc", "ZE", "Ze", "Xf", "XR", "XP")]
+    out = rows.select("qname", "is_read1", "is_paired", (F.col("ref_id") + 1).alias("chrom"), F.col("apos").alias("pos"), F.col("acigar").alias("cigar"), "mapq", *numbers, *flags, text_tag("XC").alias("a_cigar"), "seq", "qual")
+    return out.withColumn("is_unmapped", F.when(F.col("xf") == 2, 1).otherwise(0).cast("bigint")).withColumn("is_misaligned", F.col("xf") == 0)
+
+
+def write_scored_sam(scored: DataFrame, contigs: DataFrame, path: str) -> None:
+    """SAM text of scored reads at their true places, with SCORE_TAGS; read_scored_sam() takes it back. contigs(ref_id, seq_id, seq_len)."""
+    ids = contigs.select((F.col("ref_id") + 1).cast("bigint").alias("chrom"), F.col("seq_id").alias("_name"))
+    bits = F.when(F.col("is_paired"), F.when(F.col("is_read1") == 1, 65).otherwise(129)).otherwise(0)
+    kind = dict(scored.dtypes)
+    of = lambda c: F.col(c).cast("int") if kind[c] == "boolean" else F.col(c)
+    tags = [F.concat(F.lit(f"{t}:{'Z' if t == 'XC' else 'i'}:"), of(c).cast("string")) for t, c in SCORE_TAGS.items()]
+    text = lambda c: F.coalesce(F.col(c), F.lit("*")) if c in kind else F.lit("*")
+    line = F.concat_ws("\t", "qname", bits.cast("string"), "_name", (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), text("seq"), text("qual"), *tags)
+    body = scored.join(ids, "chrom").select("chrom", "pos", line.alias("value"))
+    head = contigs.select(F.lit(-1).cast("bigint").alias("chrom"), F.col("ref_id").cast("bigint").alias("pos"), F.concat(F.lit("@SQ\tSN:"), "seq_id", F.lit("\tLN:"), F.col("seq_len").cast("string")).alias("value"))
+    head.unionByName(body).repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "value").select("value").write.text(path)
+
+
 def read_sam_contigs(spark: SparkSession, path: str) -> DataFrame:
     """(ref_id, seq_id, seq_len) of the @SQ lines, numbered from 0 in their order."""
     sq = spark.read.text(path).where(F.startswith("value", F.lit("@SQ"))).withColumn("line", F.monotonically_increasing_id())
@@ -46,17 +102,6 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return record.select(*_record())
 
 
-def read_fasta_chunks(spark: SparkSession, path: str, chroms: list[int] | None = None, chunk: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
-    """(contig, chunks): contig(chrom, seq_id, seq_len, seq_md5) of all records, numbered from 1 in their order, and chunks(chrom, chunk_no, start, bases) of those asked for."""
-    record = read_fasta(spark, path).withColumn("line", F.monotonically_increasing_id())
-    order = record.select("line", F.row_number().over(Window.orderBy("line")).cast("bigint").alias("chrom"))  # a row for each record
-    seqs = record.join(order, "line")
-    contig = seqs.select("chrom", "seq_id", F.length("seq").cast("bigint").alias("seq_len"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
-    wanted = seqs if chroms is None else seqs.where(F.col("chrom").isin(chroms))
-    cut = parts(wanted.withColumnRenamed("chrom", "seq_no"), chunk).select(F.col("seq_no").alias("chrom"), F.col("c").cast("bigint").alias("chunk_no"), (F.col("c").cast("bigint") * chunk).alias("start"), F.col("part").alias("bases"))
-    return contig, cut
-
-
 def _record() -> list:
     head = F.regexp_extract("value", r"^>?([^\r\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
@@ -166,6 +211,12 @@ def write_scored(scored: DataFrame, path: str, condensed: bool = True) -> None:
     out.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos").write.partitionBy("chrom").parquet(path)
 
 
+def read_scored(spark: SparkSession, path: str) -> DataFrame:
+    """Reads of write_scored(), with chrom as a number again. A chromosome asked for is a folder, and a range of places skips row groups by their statistics."""
+    found = spark.read.parquet(path).schema
+    return spark.read.schema(StructType([StructField("chrom", LongType()) if f.name == "chrom" else f for f in found])).parquet(path)
+
+
 def read_fasta_dir(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, seq_id, seq) of a folder of chrN.fa files."""
     record = spark.read.option("lineSep", "\n>").text(f"{path}/chr*.fa").where(F.length(F.trim("value")) > 0).select("value", F.col("_metadata.file_name").alias("name"))
@@ -175,10 +226,3 @@ def read_fasta_dir(spark: SparkSession, path: str) -> DataFrame:
 def read_contig_index(spark: SparkSession, path: str) -> DataFrame:
     """(seq_id, seq_len, seq_md5) of a tab-separated index."""
     return spark.read.csv(path, sep="\t", schema="seq_id string, seq_len long, seq_md5 string")
-
-
-def write_fasta_split(seqs: DataFrame, path: str) -> None:
-    """A folder for each chromosome of (chrom, seq_id, seq), upper-cased, and the index of all."""
-    up = seqs.withColumn("seq", F.upper("seq"))
-    up.select("chrom", F.concat(F.lit(">"), "seq_id", F.lit("\n"), "seq").alias("value")).write.partitionBy("chrom").text(f"{path}/fasta")
-    up.select("seq_id", F.length("seq").cast("bigint").alias("seq_len"), F.md5(F.col("seq").cast("binary")).alias("seq_md5")).write.csv(f"{path}/index", sep="\t")
