@@ -91,6 +91,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= MOST_BYTES else df
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def portions(batches, rows: int = 512):
     """The batches in pieces of so many rows, so that a task holds few texts as Python objects at once."""
     for batch in batches:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import free, small, written
 
 WINDOW = 10
 #: Terms of a window whose posting lists are intersected, rarest first.
@@ -74,16 +74,22 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFra
     return windows, anchors, index
 
 
+def names_of(docs: DataFrame) -> list[str]:
+    """Names for what is added to docs, none of which it has."""
+    return free(docs, "found", "found_id", "found_same", "found_words", "n_words", "matches")
+
+
 def _matched(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """docs with n_words and matches (window, start, n, items) in columns that begin with two underscores."""
+    """docs with n_words and matches (window, start, n, items), in the columns that names_of() gives."""
+    found_, id_, same_, words_, n_words_, matches_ = names_of(docs)
     windows, anchors, index = _prepared(docs, benchmark, size)
     found = candidates(index, anchors).join(windows.select("window", "items"), "window")
-    by_text = written(found.groupBy("doc_id", "of").agg(F.collect_list(F.struct("window", "start", "n", "items")).alias("__found")), "candidates")
-    by_text = by_text.withColumnsRenamed({"doc_id": "__id", "of": "__same"})
+    by_text = written(found.groupBy("doc_id", "of").agg(F.collect_list(F.struct("window", "start", "n", "items")).alias(found_)), "candidates")
+    by_text = by_text.withColumnsRenamed({"doc_id": id_, "of": same_})
     # words are cut after the join: if it has to be a shuffle, that moves the text alone
-    joined = docs.join(small(by_text), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__same")), "left").withColumn("__words", words_of("text"))
-    exact = F.filter(F.coalesce("__found", F.array()), lambda c: F.concat_ws(" ", F.slice(F.col("__words"), c["start"] + 1, c["n"])) == c["window"])
-    return joined.select(*docs.columns, F.size("__words").cast("long").alias("__n_words"), exact.alias("__matches"))
+    joined = docs.join(small(by_text), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(same_)), "left").withColumn(words_, words_of("text"))
+    exact = F.filter(F.coalesce(found_, F.array()), lambda c: F.concat_ws(" ", F.slice(F.col(words_), c["start"] + 1, c["n"])) == c["window"])
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.size(words_).cast("long").alias(n_words_), exact.alias(matches_))
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -93,24 +99,34 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     takes part in hits but names no item. Repeated rows are answered each; a null doc_id stays; other columns are not
     read. Without documents there are no rows, without benchmark there are no matches.
     """
-    return _matched(docs.select("doc_id", "text"), benchmark, size).select("doc_id", F.col("__n_words").alias("n_words"), F.col("__matches").alias("matches"))
+    return _matched(docs.select("doc_id", "text"), benchmark, size).select("doc_id", "n_words", "matches")
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs without the rows that have a match; columns stay. Nulls and empty tables as in phrase_matches()."""
-    return _matched(docs, benchmark, size).where(F.size("__matches") == 0).select(*docs.columns)
+    matches = names_of(docs)[-1]
+    return _matched(docs, benchmark, size).where(F.size(matches) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, size: int = WINDOW) -> DataFrame:
-    """(doc_id, window, start, items): places where the anchor terms of a window stand within its length and `slop` more words, in any order.
+    """(doc_id, window, start, items): places where all words of a window, each as often as it has it, stand within its length and `slop` more words, in any order.
 
-    Rows are distinct. Nulls, empty texts and empty tables as in phrase_matches().
+    A place begins with one of the window's words. The index says where anchor terms are close enough; there the words of
+    the text decide. Rows are distinct. Nulls, empty texts and empty tables as in phrase_matches().
     """
     windows, anchors, index = _prepared(docs, benchmark, size)
     met = index.join(small(anchors), "term")
     near = Window.partitionBy("doc_id", "of", "window").orderBy("position").rangeBetween(0, size + slop - 1)
-    found = met.withColumn("bits", F.bit_or("bit").over(near)).where("bits = needed").select("doc_id", "window", F.col("position").alias("start")).distinct()
-    return found.join(windows.select("window", "items"), "window").select("doc_id", "window", "start", "items")
+    found = met.withColumn("bits", F.bit_or("bit").over(near)).where("bits = needed").select("doc_id", "of", "window", "position", "n").distinct()
+    by_text = written(found.groupBy("doc_id", "of").agg(F.collect_list(F.struct("window", "position", "n")).alias("found")).withColumnsRenamed({"doc_id": "found_id", "of": "same"}), "near")
+    same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.xxhash64("text") == F.col("same"))
+    placed = docs.select("doc_id", "text").join(small(by_text), same).select("doc_id", words_of("text").alias("words"), F.explode("found").alias("f"))
+    placed = placed.select("doc_id", "words", "f.window", (F.col("f.n") + slop).alias("span"), F.split("f.window", " ").alias("asked"), F.explode(F.expr(f"sequence(greatest(0, f.position - f.n - {slop} + 1), f.position)")).alias("start"))
+    here = F.slice("words", F.col("start") + 1, F.col("span"))
+    times = lambda row, w: F.size(F.filter(row, lambda x: x == w))
+    whole = F.forall(F.array_distinct("asked"), lambda w: times(F.col("here"), w) >= times(F.col("asked"), w))
+    placed = placed.withColumn("here", here).where(F.array_contains("asked", F.element_at("here", 1)) & whole).select("doc_id", "window", F.col("start").cast("int").alias("start")).distinct()
+    return placed.join(windows.select("window", "items"), "window").select("doc_id", "window", "start", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
 Words are summed by source; a source's rate is its target over its size. Each document is taken floor(rate)
-times, and once more where a hash of its id falls below the fraction. Targets stop at MOST times the source's
+times, and once more where a hash of its id and text falls below the fraction. Targets stop at MOST times the source's
 size; the excess goes to the others by weight until none is above. Only sums by source are put in order.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import free, small, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -49,26 +49,29 @@ def uniform(*cols: str):
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def _mixed(docs: DataFrame) -> DataFrame:
-    """docs with what mix() adds, under names of its own."""
-    by = targets(docs.select("source", n_words().alias("size"))).withColumnsRenamed({"source": "_mix_of", "source_size": "_mix_source_size", "target": "_mix_target"})
-    out = docs.withColumn("_mix_size", n_words()).join(small(by), F.col("source").eqNullSafe(F.col("_mix_of"))).drop("_mix_of")
-    rate = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(0.0)
-    return out.withColumn("_mix_copies", (F.floor(rate) + F.when(uniform("doc_id") < rate - F.floor(rate), 1).otherwise(0)).cast("int"))
+ADDED = ("size", "source_size", "target", "copies")
 
 
-ADDED = ("size", "source_size", "target", "copies")
+def _mixed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with what mix() adds, and the columns that hold it, whose names docs doesn't have."""
+    of, *names = free(docs, "mix_of", *(f"mix_{c}" for c in ADDED))
+    size, source_size, target, copies = names
+    by = written(targets(docs.select("source", n_words().alias("size"))).withColumnsRenamed({"source": of, "source_size": source_size, "target": target}), "targets")
+    out = docs.withColumn(size, n_words()).join(small(by), F.col("source").eqNullSafe(F.col(of))).drop(of)
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(0.0)
+    return out.withColumn(copies, (F.floor(rate) + F.when(uniform("doc_id", "text") < rate - F.floor(rate), 1).otherwise(0)).cast("int")), dict(zip(ADDED, names, strict=True))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the row); other columns stay.
 
     A column of docs that has one of these four names gives way to it. A null text has size 0; a null source is a source
-    of its own, after the others. Repeated rows are taken alike, as the hash is of doc_id; a source of size 0 has target 0
+    of its own, after the others. Rows of one id are drawn apart if their texts differ; rows that repeat both are taken alike. A source of size 0 has target 0
     and is not taken. Empty table: no rows.
     """
-    kept = [c for c in docs.columns if c.lower() not in ADDED]
-    return _mixed(docs).select(*kept, *(F.col(f"_mix_{c}").alias(c) for c in ADDED))
+    out, names = _mixed(docs)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED]
+    return out.select(*kept, *(F.col(n).alias(c) for c, n in names.items()))
 
 
 def emitted(docs: DataFrame) -> DataFrame:
@@ -77,5 +80,6 @@ def emitted(docs: DataFrame) -> DataFrame:
     All columns of docs stay as they are, but for one named copy, which gives way. Nulls, repeated rows and an empty
     table as in mix(): a row without words is taken as often as its source's rate says.
     """
-    kept = [c for c in docs.columns if c.lower() != "copy"]
-    return _mixed(docs).where("_mix_copies > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("copy"))
+    out, names = _mixed(docs)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "copy"]
+    return out.where(F.col(names["copies"]) > 0).select(*kept, F.explode(F.sequence(F.lit(1), F.col(names["copies"]))).alias("copy"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_of, forget, mix64, portions, prefix_hash, released, sliced, span_hash, written
+from .common import block_of, forget, free, mix64, portions, prefix_hash, released, sliced, span_hash, written
 
 WIDTH, LEAST = 5, 0.8
 #: Text bytes whose signatures are made at once.
@@ -470,12 +470,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     sums = _placed(docs, LEAST).groupBy("root", "doc_id", "node").agg(F.count("*").alias("n"))
     kept = sums.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "node", "n")).alias("m"))
-    kept = written(kept.select(F.col("m.doc_id").alias("_id"), F.col("m.node").alias("_node"), F.col("m.n").alias("_n")), "kept")
-    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (_node() == F.col("_node"))
-    many = kept.where("_n > 1")
+    of, at, n, null = free(docs, "kept_id", "kept_node", "kept_n", "kept_null")
+    kept = written(kept.select(F.col("m.doc_id").alias(of), F.col("m.node").alias(at), F.col("m.n").alias(n)), "kept")
+    own = F.col("doc_id").eqNullSafe(F.col(of)) & (_node() == F.col(at))
+    many = kept.where(F.col(n) > 1)
     if many.isEmpty():
         return docs.join(kept, own, "left_semi")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = F.to_json(F.struct(F.col("text").isNull().alias("_null"), *rest))
-    first = docs.join(many, own).groupBy("_id", "_node").agg(F.min_by(F.struct(*docs.columns), order).alias("m")).select("m.*")
-    return docs.join(kept.where("_n = 1"), own, "left_semi").unionByName(first)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(F.col("text").isNull().alias(null), *rest))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = docs.join(many, own).groupBy(of, at).agg(F.min_by(whole, order).alias("m")).select("m.*")
+    return docs.join(kept.where(F.col(n) == 1), own, "left_semi").unionByName(first)

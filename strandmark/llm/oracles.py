@@ -19,12 +19,12 @@ from doc left join hits on doc.doc_id = hits.doc_id left join named on doc.doc_i
 """
 
 OP5 = r"""
-with d as (select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint size from documents),
+with d as (select doc_id, text, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint size from documents),
 s as (select source, sum(size)::bigint source_size, [5.0::double, 2.0, 1.0][((row_number() over (order by source is null, source) - 1) % 3 + 1)::int] w from d group by source),
 l as (select *, 2.0::double * source_size cap, (1.5::double * sum(source_size) over () - coalesce(sum(2.0::double * source_size) over (order by 2.0::double * source_size / w, source is null, source rows between unbounded preceding and 1 preceding), 0))
   / sum(w) over (order by 2.0::double * source_size / w, source is null, source rows between current row and unbounded following) lv from s),
 t as (select source, source_size, case when (select count(*) from l where lv * w < cap) = 0 then cap else least(cap, (select arg_min(lv, cap / w) from l where lv * w < cap) * w) end target from l),
-r as (select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0 end rate, ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint / 281474976710656.0::double u from d join t on d.source is not distinct from t.source)
+r as (select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0 end rate, ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, 'null') || '|' || coalesce(text, 'null')), 1, 12))::bigint / 281474976710656.0::double u from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, ((floor(rate) + case when u < rate - floor(rate) then 1 else 0 end) * size)::bigint taken from r
 """
 

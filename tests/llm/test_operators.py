@@ -231,6 +231,26 @@ def test_contamination(spark, sf_dir, docs, odd):
     assert {r["doc_id"] for r in near} == {1, 2, None}
 
 
+@pytest.mark.parametrize("slop", [0, 2, 7])
+def test_proximity(spark, slop):
+    import random
+
+    rng = random.Random(slop)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    items = [("x", "a b a c"), ("y", "h g f e d"), ("z", "a"), ("w", "a zz")]
+    got = decontamination.proximity_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), slop, 5)
+    want = set()
+    for i, t in rows:
+        words = t.split()
+        for item, w in items:
+            asked = Counter(w.split())
+            for k in range(len(words)):
+                span = words[k : k + len(w.split()) + slop]
+                if words[k] in asked and not asked - Counter(span):
+                    want.add((i, w, k, (item,)))
+    assert {(r["doc_id"], r["window"], r["start"], tuple(r["items"])) for r in got.collect()} == want and want
+
+
 def test_contamination_by_shuffle(spark, docs, sf_dir, monkeypatch):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     whole = sorted(map(tuple, decontamination.contamination(docs, bench).collect()))
@@ -305,6 +325,23 @@ def test_mixing_beside_other_columns(spark):
     assert sorted((r["doc_id"], r["Size"], r["target"], r["copies"], r["copy"]) for r in out.collect()) == sorted((k, 777, "t", k, c) for k, m in n.items() for c in range(1, m + 1))
 
 
+def test_names_that_clash(spark):
+    rows = [(1, "one two three four five six", "s"), (1, "one two three four five six", "s"), (None, "seven eight nine", None), (None, "another text of some words", "s")]
+    names = ["_id", "_node", "_n", "kept_id", "kept_node", "kept_n", "kept_null", "__id", "__found", "found", "found_id", "matches", "n_words", "_mix_of", "mix_of", "mix_size", "of", "m", "a.b"]
+    df = spark.createDataFrame([(*r, *names) for r in rows], ", ".join(["doc_id long", "text string", "source string", *(f"`{n}` string" for n in names)]))
+    bench = spark.createDataFrame([("a", "one two three four five six")], "item_id string, text string")
+    assert sorted(r["text"] for r in near_dedup.keep_one(df).collect()) == sorted({r[1] for r in rows})
+    got = decontamination.uncontaminated(df, bench)
+    assert got.columns == df.columns and sorted(r["text"] for r in got.collect()) == ["another text of some words", "seven eight nine"]
+    assert mixing.mix(df).count() == 4 and set(mixing.emitted(df).columns) == {*df.columns, "copy"}
+
+
+def test_mixing_of_rows_without_ids(spark):
+    rows = [(None if i % 2 else i, f"w{i} " * 3, "abc"[i % 3]) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) < 0.05 * r["target"] for r in got)
+
+
 # 6
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -333,14 +370,38 @@ def test_main_text_is_whole():
     assert html_text.main_text(f"<p>Outside</p><article><p>{long}</p></article>") == long.strip()
 
 
+def test_windows_decide_without_marks():
+    text, light = "A sentence of the story that goes on for a while. " * 8, "tiny"
+    lines = [light] * 6 + [text, text, "short", text] + [light] * 6
+    page = "".join(f"<p>{t}</p>" for t in lines)
+    # two light lines share a window with heavy ones at either end; what is further out is below the level
+    assert html_text.main_text(page).split("\n") == [light] * 2 + [text.strip(), text.strip(), "short", text.strip()] + [light] * 2
+    assert len(html_text.main_text("".join(f"<p>{light}</p>" for _ in range(9))).split("\n")) == 9
+    two = f"<article><p>{text}</p><p>{text}</p></article><article><p>teaser</p></article>"
+    assert html_text.main_text(two).split("\n") == [text.strip()] * 2
+    # one more paragraph outside doesn't turn the page around
+    assert html_text.main_text(f"<p>{text[:260]}</p>" + two).split("\n") == [text.strip()] * 2
+    assert html_text.main_text(f"<article><p>{text}</p><p>x</p></article>").split("\n") == [text.strip(), "x"]
+
+
+def test_blocks_stay_whole():
+    page = "<article><p>before<script>x()</script>\n after and <svg><path d=M0/><text>no</text></svg>icon, <math><mi>x</mi></math> <button>Go</button>end.</p></article>"
+    assert html_text.main_text(page) == "before after and icon, x end."
+    assert html_text.main_text("<article><p class=social-history>a b</p><p class='share-price'>c</p><menu><li>d</li></menu></article>") == "a b\nc\nd"
+    assert html_text.main_text("<section><p>a</p><div class=ad>x<p>b</p></section><p>c</p>") == "a\nc"
+    assert html_text.main_text("<article><p>a</p><div class=ad>x<p>b</p></article>") == "a"
+    assert html_text.main_text("<article><p>a</p><div class='comments'><p>" + "long reader comment " * 20 + "</p></div><ul><li>b<li>c <a href=x>d</a></ul></article>") == "a\nb\nc d"
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = html_text.extract(pages.unionByName(spark.createDataFrame([(None, None, None)], pages.schema))).collect()
     assert len(got) == pages.count() + 1
     for page, r in zip(pages.collect(), got, strict=False):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", page["html"], re.S)[1]
-        text = " ".join(__import__("html").unescape(re.sub(r"<!--.*?-->|<[^>]*>", " ", inner)).split())
-        assert r["page_id"] == page["page_id"] and " ".join(r["text"].split()).replace(" ", "") == text.replace(" ", "") and r["n_chars"] == len(r["text"])
+        # in these pages p and h1 are the only blocks
+        blocks = [" ".join(__import__("html").unescape(re.sub(r"<br>", " ", re.sub(r"<!--.*?-->|</?[^b/][^>]*>|</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+        assert r["page_id"] == page["page_id"] and r["text"].split("\n") == [b for b in blocks if b] and r["n_chars"] == len(r["text"])
 
 
 # 7

@@ -81,7 +81,7 @@ def test_stages(spark, sf_dir, docs):
     taken = Counter(r["doc_id"] for r in last.collect())
     for i in kept:
         rate = target[source[i]] / sizes[source[i]] if sizes[source[i]] else 0
-        u = int(hashlib.md5(f"mix-1|{i}".encode()).hexdigest()[:12], 16) / 2**48
+        u = int(hashlib.md5(f"mix-1|{i}|{got[i]}".encode()).hexdigest()[:12], 16) / 2**48
         assert taken[i] == math.floor(rate) + (u < rate - math.floor(rate))
     run = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, last.collect()))
