@@ -81,12 +81,7 @@ def overlap_join(reads: DataFrame, feats: DataFrame, start: str = "pos", stop: s
     met = f"{start} <= f_stop and {stop} >= f_start and bin = {own}"
     key = [*by, "bin"]
     if heavy is not None:
-        full = r.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > heavy)
-        full = full.select(*key, F.ceil(F.col("_n") / heavy).cast("int").alias("_salts"))  # as many rows as all reads have heavy ones, at most
-        one = F.coalesce("_salts", F.lit(1))
-        r = r.join(full, key, "left").withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), one).cast("int")).drop("_salts")
-        f = f.join(full, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
-        key = [*key, "_salt"]
+        r, f, key = dealt(r, f, tuple(key), heavy)
     if how == "inner":
         return r.join(f, key).where(met).drop("bin", "_salt")
     names = {c: f"_f_{i}" for i, c in enumerate(key)}
@@ -95,6 +90,16 @@ def overlap_join(reads: DataFrame, feats: DataFrame, start: str = "pos", stop: s
     return r.join(f, same & F.expr(met), "left").drop("bin", "_salt", *names.values())
 
 
+def dealt(rows: DataFrame, other: DataFrame, key: tuple, heavy: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """rows and other with a column _salt, and the key with it: keys of more than heavy rows are dealt over a salt for each heavy rows, and other is repeated for each."""
+    full = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > heavy)
+    full = full.select(*key, F.ceil(F.col("_n") / heavy).cast("int").alias("_salts"))  # no more rows than all rows make heavy ones
+    one = F.coalesce("_salts", F.lit(1))
+    rows = rows.join(full, list(key), "left").withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), one).cast("int")).drop("_salts")
+    other = other.join(full, list(key), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
+    return rows, other, [*key, "_salt"]
+
+
 def features(variant: DataFrame) -> DataFrame:
     return variant.select("v_id", "chrom", F.col("pos").alias("f_start"), F.col("stop").alias("f_stop"), X.indel_length().alias("x"))
 

@@ -193,19 +193,21 @@ def applied(variant: DataFrame, by: tuple = ("seq_no",), width: int = STRETCH) -
     return v.drop("_grown", "_shift", "_from")
 
 
+def ended(variant: DataFrame, sizes: DataFrame, by: tuple) -> DataFrame:
+    """variant and, for each sequence of sizes(by, length), a row of no bases at its end, so that what follows the last variant is what lies before that row."""
+    end = sizes.select(*by, F.col("length").cast("bigint").alias("pos"), F.col("length").cast("bigint").alias("stop"), *(F.lit("").alias(c) for c in ("ref", "alt") if c in variant.columns))
+    return variant.select(end.columns).unionByName(end)
+
+
 def consensus_pieces(seqs: DataFrame, variant: DataFrame, width: int = 1 << 16, stretch: int = STRETCH) -> DataFrame:
     """(seq_no, alt_start, piece): the sequence of a copy with its variants applied, in pieces.
 
     variant(seq_no, pos, stop, alt) of one copy, free of collisions. What lies between them is cut from chunks of the
     sequence, so no join moves a whole one; places come from the variants alone. seqs: whole, or chunks of the width.
     """
-    v = applied(variant.select("seq_no", "pos", "stop", "alt"), width=stretch)
-    gaps = v.select("seq_no", F.col("from").alias("pos"), F.col("pos").alias("stop"), "alt_from")
-    ends = v.groupBy("seq_no").agg(F.max(F.struct("stop", (F.col("alt_start") + F.length("alt")).alias("alt"))).alias("m"))
     size = lengths(seqs)
-    tail = size.withColumnRenamed("length", "n").join(ends, "seq_no", "left")
-    tail = tail.select("seq_no", F.coalesce("m.stop", F.lit(0)).cast("bigint").alias("pos"), F.col("n").alias("stop"), F.coalesce("m.alt", F.lit(0)).cast("bigint").alias("alt_from"))
-    spans = gaps.unionByName(tail).withColumn("start", F.col("pos"))
+    v = applied(ended(variant.select("seq_no", "pos", "stop", "alt"), size, ("seq_no",)), width=stretch)
+    spans = v.select("seq_no", F.col("from").alias("pos"), F.col("pos").alias("stop"), "alt_from", F.col("from").alias("start"))
     cut = spans_on_sequence(spans, seqs if is_chunked(seqs) else chunked(seqs, width), width).select("seq_no", (F.col("alt_from") + F.col("at") - F.col("start")).alias("alt_start"), "piece")
     alleles = v.where(F.length("alt") > 0).select("seq_no", "alt_start", F.col("alt").alias("piece"))
     none = size.where("length = 0").select("seq_no", F.lit(0).cast("bigint").alias("alt_start"), F.lit("").alias("piece"))
@@ -219,28 +221,19 @@ def typed_pieces(contig: DataFrame, variant: DataFrame, by: tuple = ("seq_no",),
     follows it; D stands at the first place after it, with its length n. contig(by, seq_len); variant as for
     consensus_pieces(), with ref. Equal first bases of an indel count as '='.
     """
-    v = applied(variant, by, stretch).withColumn("r", F.length("ref")).withColumn("a", F.length("alt"))
+    v = applied(ended(variant, contig.withColumnRenamed("seq_len", "length"), by), by, stretch).withColumn("r", F.length("ref")).withColumn("a", F.length("alt"))
     grown = F.greatest(F.col("a") - F.col("r"), F.lit(0))
     kept = F.least("r", "a")
     piece = lambda start, n, ref, op: F.struct(start.cast("bigint").alias("f_start"), (start + n - 1).cast("bigint").alias("f_stop"), ref.cast("bigint").alias("ref_pos"), F.lit(op).alias("op"), F.when(F.lit(op) == "D", F.col("r") - F.col("a")).otherwise(n).cast("bigint").alias("n"))
-    s, pos = F.col("alt_start"), F.col("pos")
+    s, pos, same = F.col("alt_start"), F.col("pos"), (F.col("r") == F.col("a")) & (F.col("r") > 0)
     out = F.array(
         piece(F.col("alt_from"), pos - F.col("from"), F.col("from"), "="),
-        F.when(F.col("r") == F.col("a"), piece(s, F.lit(1), pos, "X")),
-        F.when(F.col("r") == F.col("a"), piece(s + 1, F.col("r") - 1, pos + 1, "=")).otherwise(piece(s, kept, pos, "=")),
+        F.when(same, piece(s, F.lit(1), pos, "X")),
+        F.when(same, piece(s + 1, F.col("r") - 1, pos + 1, "=")).otherwise(piece(s, kept, pos, "=")),
         F.when(F.col("a") > F.col("r"), piece(s + kept, grown, pos + F.col("r"), "I")),
         F.when(F.col("a") < F.col("r"), piece(s + kept, F.lit(1), pos + F.col("r"), "D")),
     )
-    made = v.select(*by, F.explode(F.array_compact(out)).alias("q")).select(*by, "q.*")
-    ends = variant_ends(v, by)
-    tail = contig.join(ends, list(by), "left").withColumn("from", F.coalesce("last", F.lit(0))).withColumn("alt_from", F.coalesce("alt_last", F.lit(0)))
-    tail = tail.select(*by, F.col("alt_from").cast("bigint").alias("f_start"), (F.col("alt_from") + F.col("seq_len") - F.col("from") - 1).cast("bigint").alias("f_stop"), F.col("from").cast("bigint").alias("ref_pos"), F.lit("=").alias("op"), (F.col("seq_len") - F.col("from")).cast("bigint").alias("n"))
-    return made.unionByName(tail).where("n > 0")
-
-
-def variant_ends(v: DataFrame, by: tuple) -> DataFrame:
-    """(by, last, alt_last): the first places after the last allele, on the reference and on the haplotype; of applied()."""
-    return v.groupBy(*by).agg(F.max(F.struct("stop", (F.col("alt_start") + F.length("alt")).alias("alt"))).alias("m")).select(*by, F.col("m.stop").alias("last"), F.col("m.alt").alias("alt_last"))
+    return v.select(*by, F.explode(F.array_compact(out)).alias("q")).select(*by, "q.*").where("n > 0")
 
 
 def lift_to_reference(intervals: DataFrame, pieces: DataFrame, by: tuple = ("seq_no",)) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .. import functions as X
 from ..operators.reads import serialise
 from .fasta import chunks_of, contigs_of, read_fasta_chunks, read_lines, write_fasta_split
+from .results import read_accuracy, read_run_list, read_times, report_of_runs, write_accuracy
 
 __all__ = [
-    "chunks_of", "contigs_of", "read_contig_index", "read_fasta", "read_fasta_chunks", "read_fasta_dir", "read_lines", "read_sam", "read_sam_contigs", "read_scored", "read_vcf", "read_vcf_contigs",
-    "tables_to_vcf", "vcf_samples", "vcf_to_tables", "with_ref_ids", "write_fasta_split", "write_fastq", "write_scored", "write_sorted", "write_vcf",
+    "chunks_of", "contigs_of", "read_accuracy", "read_contig_index", "read_fasta", "read_fasta_chunks", "read_fasta_dir", "read_lines", "read_run_list", "read_sam", "read_sam_contigs", "read_scored", "read_scored_sam", "read_times", "read_vcf", "read_vcf_contigs",
+    "report_of_runs", "tables_to_vcf", "vcf_samples", "vcf_to_tables", "with_ref_ids", "write_accuracy", "write_fasta_split", "write_fastq", "write_scored", "write_scored_sam", "write_sorted", "write_vcf",
 ]
 
 
