@@ -76,7 +76,7 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
 
 
 def stream(batches):
-    """Rows of one range of ids in order, the first row of the next range last (extra)."""
+    """Rows of ranges of ids, each in order, and the first row of the next range last (extra)."""
     held, rows = None, []
 
     def done(now, following):
@@ -131,9 +131,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     up, every = Window.orderBy("range"), Window.partitionBy()  # a row for each range
     heads = heads.withColumns({"place": F.row_number().over(up) - 1, "above": (F.row_number().over(up) % F.count("*").over(every)).cast("int")})
     heads = written(heads, "ranges")
-    n = heads.count()
     dealt = rows.join(small(heads), "range").select("doc_id", "text", "head", "place", "above")
     first = dealt.where(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("doc_id", "above").agg(F.max("text").alias("text"))
     both = dealt.select("doc_id", "text", "place", F.lit(False).alias("extra")).unionByName(first.select("doc_id", "text", F.col("above").alias("place"), F.lit(True).alias("extra")))
-    both = both.repartitionById(max(1, n), F.col("place")).sortWithinPartitions("extra", F.desc_nulls_last("doc_id"), F.desc("text"))
+    # a task takes as many ranges as the session's partitions leave it, one after the other; the extra row ends each
+    both = both.repartition("place").sortWithinPartitions("place", "extra", F.desc_nulls_last("doc_id"), F.desc("text"))
     return both.select("doc_id", "text", "extra").mapInArrow(stream, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -1,11 +1,12 @@
-"""Removal of repeated byte strings by blockwise suffix sorting over a difference cover.
+"""Removal of repeated byte strings by equality classes of hashed windows, a bucket of hashes at a time.
 
-Suffixes are told apart by their first LENGTH bytes. COVER is a difference cover modulo PERIOD: for any two
+This takes the place of a blockwise suffix sort: suffixes matter to their first LENGTH bytes only, so they get classes of
+equal prefixes, by 80-bit names, and no total order. COVER is a difference cover modulo PERIOD: for any two
 places there is a shift below PERIOD that takes both to cover residues. So two equal strings of LENGTH bytes
 have, at one common shift, two cover samples with equal strings of LENGTH - PERIOD + 1 bytes. The samples are
 named first; a suffix can only tie with another over LENGTH bytes if a sample in its reach has a name
-that occurs again, and only such suffixes are sorted. They go to buckets by the leading bits of the name of
-their prefix; one bucket at a time is sorted, and each tie is given the first block that it occurs in.
+that occurs again, and only such suffixes are named themselves. Names go to buckets by their leading bits;
+one bucket at a time is sorted, and each tie is given the first block that it occurs in.
 
 Copies of a whole text go first, by a digest. The other documents are dealt to blocks of bounded size in the order of their ids (blocked()). A block sends packed sorted names,
 each once, so a string that every document has costs one name a block; a bucket answers with one bit a

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import portions
 
-#: Pre-tokens that a segment is built with, and those beyond which the tree is built anew.
+#: Pre-tokens that a segment is built with, and those beyond which it is split.
 SEGMENT, LARGEST = 32, 256
 #: The published pre-token pattern of the byte-level vocabulary; a fixed value.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -87,11 +87,22 @@ class Counted:
         self.segments = [pieces[i : i + SEGMENT] for i in range(0, len(pieces), SEGMENT)] or [[]]
         self._sum([sum(map(self.coder.count, s)) for s in self.segments])
 
-    def _sum(self, tokens: list[int]) -> None:
+    def _split(self, s: int) -> None:
+        """Cuts a segment that has grown too large into new ones; the others keep their sums."""
+        own, n = self.segments[s], len(self.segments)
+        chars, tokens = self.chars[self.leaves : self.leaves + n], self.tokens[self.leaves : self.leaves + n]
+        new = [own[i : i + SEGMENT] for i in range(0, len(own), SEGMENT)]
+        self.segments[s : s + 1] = new
+        chars[s : s + 1] = [sum(map(len, x)) for x in new]
+        tokens[s : s + 1] = [sum(map(self.coder.count, x)) for x in new]
+        self.recoded += len(own)
+        self._sum(tokens, chars)
+
+    def _sum(self, tokens: list[int], chars: list[int] | None = None) -> None:
         self.leaves = 1 << (len(self.segments) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.leaves), [0] * (2 * self.leaves)
         for i, s in enumerate(self.segments):
-            self.chars[self.leaves + i] = sum(map(len, s))
+            self.chars[self.leaves + i] = chars[i] if chars else sum(map(len, s))
             self.tokens[self.leaves + i] = tokens[i]
         for i in range(self.leaves - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
@@ -217,7 +228,7 @@ class Counted:
             self._set(seg, have[:place] + put + have[place + len(gone) :], sum(map(len, put)) - sum(map(len, gone)), sum(map(count, put)) - sum(map(count, gone)))
             first, seg, place = False, seg + 1, 0
         if len(self.segments[s]) > LARGEST:
-            self._build([p for x in self.segments for p in x])
+            self._split(s)
 
 
 SEGMENTS = "array<struct<text:string,lengths:binary,tokens:bigint>>"

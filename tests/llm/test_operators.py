@@ -431,6 +431,18 @@ def test_edits_are_local():
     assert tree.recoded < 30
 
 
+def test_a_full_segment_is_split_alone(monkeypatch):
+    coder = token_counts.Coder.of(queries.TOKENIZER)
+    text = " ".join(f"w{i}" for i in range(5000))
+    tree, asked = token_counts.Counted(text, coder), []
+    monkeypatch.setattr(coder, "count", lambda p, own=coder.count: asked.append(p) or own(p))
+    tree.edit(2000, 2000, " ".join(f"n{i}" for i in range(300)))
+    new = text[:2000] + " ".join(f"n{i}" for i in range(300)) + text[2000:]
+    assert tree.text == new and tree.n_tokens == len(coder.coder.encode_ordinary(new)) and max(map(len, tree.segments)) <= token_counts.LARGEST
+    # what was encoded is told: new pre-tokens, those that they replace, and those of the segment that was split
+    assert len(asked) <= tree.recoded + 20 < 1600
+
+
 def test_trees_are_kept(spark, docs, odd, tmp_path):
     """A written table of trees takes edits in two later jobs, and ends as counted anew."""
     coder = token_counts.Coder.of(queries.TOKENIZER)
