@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import functions as X
 from .reads import overlap_join, serialise
 from .sequence import STRETCH, along
+from .tables import settled
 
 
 def sample_variants(variant: DataFrame, genotype: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def sweep(df: DataFrame, by: list[str], slack: int, width: int = STRETCH) -> Dat
     A row that is alone in its cluster is kept, and what comes after a cluster doesn't depend on it; so only clusters of
     several rows are walked.
     """
-    marked = clusters(df.select(*by, "pos", "stop", "v_id"), by, slack, width)
+    marked = settled(clusters(df.select(*by, "pos", "stop", "v_id"), by, slack, width))
     alone = F.col("begins") & F.col("ends")
     cols = [*by, "pos", "stop", "v_id"]
     return marked.where(alone).select(*cols).unionByName(_walked(marked.where(~alone).select(*cols), by, slack, width))

@@ -9,6 +9,7 @@ from .. import functions as X
 from ..operators import reads as R
 from ..operators import sequence as Q
 from ..operators import variants as V
+from ..operators.tables import settled
 from .registry import BOTH, FEATS, HITS, PCT, S1, feats, greedy, query, scored, view, with_
 
 #: Width of the chunks that sequences are cut into.
@@ -175,9 +176,9 @@ LEGAL = "legal as (select v_id, seq_no, pos, stop, alt from fx_site v join fx_se
 
 
 def haplotype(spark: SparkSession, d: str) -> DataFrame:
-    """Legal, collision-free variants of every sequence."""
-    legal = Q.legal_variants(view(spark, d, "fx_site"), Q.chunked(view(spark, d, "fx_seq"), CHUNK), CHUNK)
-    return V.remove_collisions(legal.select("seq_no", "pos", "stop", "v_id"), ["seq_no"]).join(legal.select("v_id", "ref", "alt"), "v_id")
+    """Legal, collision-free variants of every sequence, as a table: what follows goes over them more than once."""
+    legal = settled(Q.legal_variants(view(spark, d, "fx_site"), Q.chunked(view(spark, d, "fx_seq"), CHUNK), CHUNK))
+    return settled(V.remove_collisions(legal.select("seq_no", "pos", "stop", "v_id"), ["seq_no"]).join(legal.select("v_id", "ref", "alt"), "v_id"))
 
 
 @query("g5_consensus", with_("fx_site", "fx_seq", extra=(
@@ -190,8 +191,25 @@ def _(spark, d):
     return whole.select("seq_no", F.length("seq").cast("bigint").alias("hap_len"), F.md5(F.col("seq").cast("binary")).alias("hap_md5"))
 
 
+#: Every base of a haplotype, in order, with its place and whether it is the reference's, another or an inserted one; then reads over these, base by base.
+LIFTED = (
+    LEGAL.replace("stop, alt from", "stop, ref, alt from"), greedy("legal", "seq_no", 0),
+    "a as (select k.seq_no, k.pos, k.stop, l.ref, l.alt, lag(k.stop, 1, 0) over (partition by k.seq_no order by k.pos) f from kept k join legal l on k.v_id=l.v_id)",
+    "e as (select s.seq_no, length(seq)::bigint pos, coalesce(max(a.stop), 0) f from fx_seq s left join a on s.seq_no=a.seq_no group by s.seq_no, length(seq))",
+    "bases as (select seq_no, pos o, 0 part, p k, p place, '=' op from a, lateral (select unnest(range(f, pos)) p) union all select seq_no, pos, 1, k, case when k < length(ref) then pos + k else pos + length(ref) end, case when length(ref) = length(alt) and k = 0 then 'X' when k < length(ref) then '=' else 'I' end from a, lateral (select unnest(range(0, length(alt))) k) union all select seq_no, pos, 2, p, p, '=' from e, lateral (select unnest(range(f, pos)) p))",
+    "h as (select seq_no, place, op, row_number() over (partition by seq_no order by o, part, k) - 1 i, count(*) over (partition by seq_no) n from bases)",
+    "r as (select seq_no, s as start, place, op, i from h, lateral (select unnest([i // 40 * 40, i // 40 * 40 - 40]) s) where s >= 0 and i < s + 60 and s + 60 <= n)",
+    "w as (select *, max(case when op <> 'I' then place end) over (partition by seq_no, start order by i rows between unbounded preceding and 1 preceding) before, lag(op) over (partition by seq_no, start order by i) prev from r)",
+    "q as (select *, case when op <> 'I' and before is not null and place > before + 1 then place - before - 1 end d from w)",
+    "g as (select *, sum(case when prev is null or prev <> op or d is not null or op = 'X' then 1 else 0 end) over (partition by seq_no, start order by i rows unbounded preceding) run from q)",
+    "t as (select seq_no, start, run, any_value(op) op, count(*) n, max(d) d, min(i) i, arg_min(place, i) place from g group by seq_no, start, run)",
+    "u as (select *, max(run) over (partition by seq_no, start) last from t)",
+)
+
+
+@query("g6_lift_to_reference", with_("fx_site", "fx_seq", extra=LIFTED).replace("with ", "with recursive ", 1) + "select seq_no, start id, arg_min(place, run)::bigint pos, string_agg(coalesce(d || 'D', '') || n || case when op = 'I' and (run = 1 or run = last) then 'S' else op end, '' order by run) cigar from u group by seq_no, start")
 def g6(spark: SparkSession, d: str) -> DataFrame:
-    """Where reads of 60 bases, one at every 40 of each haplotype, lie on the reference; checked against a loop over bases in the tests."""
+    """Where reads of 60 bases, one at every 40 of each haplotype, lie on the reference."""
     contig = view(spark, d, "fx_seq").select("seq_no", F.length("seq").cast("bigint").alias("seq_len"))
     kept = haplotype(spark, d)
     grown = kept.groupBy("seq_no").agg(F.sum(F.length("alt") - F.length("ref")).alias("g"))
@@ -288,4 +306,4 @@ def _(spark, d):
     return R.truth_fastq(R.filter_mapped(R.score_alignments(view(spark, d, "fx_align").withColumn("seq", bases)), 20))
 
 
-PLAIN = {"c5_diploid_samples": c5, "g6_lift_to_reference": g6}
+PLAIN = {"c5_diploid_samples": c5}

@@ -328,3 +328,33 @@ def test_defaults(spark):
     got = V.variant_counts(v, g).where("chrom = 1").first().asDict()
     assert got == {"chrom": 1, "population": 20} | {f"s{s}": s + 1 for s in range(10)}
     assert {r["x"]: r["n"] for r in V.indel_histogram(v, 1, g, 4).collect()} == {-1: 0, 0: 3, 1: 2}
+
+
+def test_consensus_of_chunks(spark):
+    rng = random.Random(12)
+    rows = random_sequences(rng, (1, 64, 65, 700))
+    variants = [(i, p, p + n, s[p : p + n], "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 9)))) for i, s in rows for p in range(0, len(s) - 6, 23) for n in (rng.randint(1, 5),)]
+    seqs = spark.createDataFrame(rows, "seq_no long, seq string")
+    v = spark.createDataFrame(variants, "seq_no long, pos long, stop long, ref string, alt string")
+    whole = {r["seq_no"]: r["seq"] for r in Q.consensus(Q.consensus_pieces(seqs, v, 64)).collect()}
+    assert {r["seq_no"]: r["seq"] for r in Q.consensus(Q.consensus_pieces(Q.chunked(seqs, 64), v, 64, stretch=50)).collect()} == whole
+    for i, s in rows:
+        text, at = "", 0
+        for _, pos, stop, _, alt in sorted(x for x in variants if x[0] == i):
+            text += s[at:pos] + alt
+            at = stop
+        assert whole[i] == text + s[at:]
+
+
+def test_reads_are_counted_once(spark, sf_dir):
+    """On a feature, mate on a feature, or outside: the classes have every read once, however the rows are dealt."""
+    from strandmark.plans.registry import feats, scored
+
+    s, f = scored(spark, sf_dir), feats(spark, sf_dir)
+    hit = R.overlap_join(s, f).select("read_serial").distinct()
+    mate = R.templates_over_features(s, f).select("read_serial").distinct()
+    out = R.reads_outside_features(s, f).select("read_serial")
+    assert hit.unionAll(mate).unionAll(out).distinct().count() == hit.count() + mate.count() + out.count() == s.count()
+    plain = s.join(f, (s["chrom"] == f["chrom"]) & (s["pos"] <= f["f_stop"]) & (s["read_stop"] >= f["f_start"])).select("read_serial", "v_id")
+    for n in (1, 13):
+        assert sorted(map(tuple, R.overlap_join(s.repartition(n), f.repartition(n)).select("read_serial", "v_id").collect())) == sorted(map(tuple, plain.collect()))
