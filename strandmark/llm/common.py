@@ -103,21 +103,28 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def given_back() -> None:
+    """Memory that nothing in this worker uses goes back to the system: workers live on between tasks and groups."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def portions(batches, rows: int = 512):
-    """The batches in pieces of so many rows, so that a task holds few texts as Python objects at once."""
+    """The batches in pieces of so many rows, so that a task holds few texts as Python objects at once; memory is given back at their end."""
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
-
-
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        del batch
+    given_back()
 
 
 def released(table: pa.Table) -> pa.Table:
-    """The same table, after memory that the group before has left unused went back to the system: workers live on between groups."""
-    pa.default_memory_pool().release_unused()
-    if _TRIM is not None:
-        _TRIM(0)
+    """The same table, after memory that the group before has left unused went back to the system."""
+    given_back()
     return table
 
 
