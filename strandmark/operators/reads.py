@@ -74,7 +74,7 @@ def overlap_join(reads: DataFrame, feats: DataFrame, start: str = "pos", stop: s
     wide = width * WIDER
     is_long = f"f_stop - f_start > {LONG * width}"
     # bins of the wider kind are those below zero
-    below = lambda a, b: f"transform({bins(a, b, wide)}, x -> -1 - x)"
+    below = lambda a, b: f"sequence(-1 - {a} div {wide}, -1 - {b} div {wide}, -1)"
     r = reads.withColumn("bin", F.explode(F.expr(f"concat({bins(start, stop, width)}, {below(start, stop)})")))
     f = feats.withColumn("bin", F.explode(F.expr(f"if({is_long}, {below('f_start', 'f_stop')}, {bins('f_start', 'f_stop', width)})")))
     own = f"if({is_long}, -1 - greatest({start} div {wide}, f_start div {wide}), greatest({start} div {width}, f_start div {width}))"
@@ -260,13 +260,15 @@ def compare_runs(bad1: DataFrame, bad2: DataFrame, key: tuple = READ) -> DataFra
     (key, occurrence, read_serial, kind, and a_chrom, a_pos, a_cigar with _1 and _2); places may be null in both.
     """
     own = ["a_chrom", "a_pos", "a_cigar"]
-    at = [*key, "occurrence"]
     serial = ["read_serial"] if "read_serial" in bad1.columns and "read_serial" not in key else []
-    a, b = (occurrences(d.select(*key, *serial, *own), key).select(*at, F.lit(True).alias(f"in_{i}"), *(F.col(c).alias(f"{c}_{i}") for c in [*serial, *own])) for i, d in ((1, bad1), (2, bad2)))
-    same = reduce(lambda x, y: x & y, (F.col(f"{c}_1").eqNullSafe(F.col(f"{c}_2")) for c in own))
-    kind = F.when(F.col("in_2").isNull(), "only_1").when(F.col("in_1").isNull(), "only_2").when(same, "identical").otherwise("different")
-    out = a.join(b, at, "full_outer").withColumn("kind", kind)
-    return out.select(*at, *(F.coalesce(f"{c}_1", f"{c}_2").alias(c) for c in serial), "kind", *(f"{c}_{i}" for c in own for i in (1, 2)))
+    both = reduce(DataFrame.unionByName, (d.select(*key, *serial, *own, F.lit(i).alias("run")) for i, d in ((1, bad1), (2, bad2))))
+    # both runs are dealt by read once; numbers and pairs follow that
+    numbered = occurrences(both.repartition(*key), (*key, "run"))
+    side = lambda i: F.max(F.when(F.col("run") == i, F.struct(*serial, *own))).alias(f"r{i}")  # noqa: E731  one row of each run
+    met = numbered.groupBy(*key, "occurrence").agg(side(1), side(2))
+    same = reduce(lambda x, y: x & y, (F.col(f"r1.{c}").eqNullSafe(F.col(f"r2.{c}")) for c in own))
+    kind = F.when(F.col("r2").isNull(), "only_1").when(F.col("r1").isNull(), "only_2").when(same, "identical").otherwise("different")
+    return met.select(*key, "occurrence", *(F.coalesce(f"r1.{c}", f"r2.{c}").alias(c) for c in serial), kind.alias("kind"), *(F.col(f"r{i}.{c}").alias(f"{c}_{i}") for c in own for i in (1, 2)))
 
 
 def compare_two_runs(bad1: DataFrame, bad2: DataFrame, contigs1: DataFrame, contigs2: DataFrame) -> DataFrame:
