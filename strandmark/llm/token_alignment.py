@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -126,11 +127,19 @@ def _spread(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of, np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def _joined(lists: list[list[int]]) -> np.ndarray:
+    """The numbers of all lists, one after the other."""
+    out = array("i")
+    for x in lists:
+        out.extend(x)
+    return np.array(out, np.int64)
+
+
 def aligned(pair: Pair, texts: list[str | None]) -> dict:
     """Counts, group strings and linked pairs of some texts: n_a, n_b, n_groups, n_links, groups by text; at, keys, times by text and pair (at: the text)."""
     ids = pair.encode(texts)
     n_a, n_b = (np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1))
-    a, b = (np.fromiter((i for x in ids for i in x[k]), np.int64, n.sum()) for k, n in ((0, n_a), (1, n_b)))
+    a, b = (_joined([x[k] for x in ids]) for k in (0, 1))
     # texts one after the other are as one text: tokens of both end where a text ends
     total, odd = irregular(np.cumsum(pair.size_a[a]).tolist(), np.cumsum(pair.size_b[b]).tolist())
     of_a, of_b = np.ones(total, np.int64), np.ones(total, np.int64)
