@@ -247,19 +247,25 @@ def median_smooth(acc: DataFrame, k: int) -> DataFrame:
 READ = ("qname", "is_read1")
 
 
-def occurrences(df: DataFrame, key: tuple = READ) -> DataFrame:
+def read_key(df: DataFrame) -> tuple:
+    """READ, or the serial number of a table that has no names."""
+    return READ if set(READ) <= set(df.columns) else ("read_serial",)
+
+
+def occurrences(df: DataFrame, key: tuple | None = None) -> DataFrame:
     """df with the number (occurrence) of each row among those of its read."""
+    key = key or read_key(df)
     placed = [c for c in ("a_chrom", "a_pos", "a_cigar") if c in df.columns]
     w = Window.partitionBy(*key).orderBy(*(placed or key))
     return df.withColumn("occurrence", F.row_number().over(w))
 
 
-def compare_runs(bad1: DataFrame, bad2: DataFrame, key: tuple = READ) -> DataFrame:
+def compare_runs(bad1: DataFrame, bad2: DataFrame, key: tuple | None = None) -> DataFrame:
     """Reads wrong in either run, labelled identical, different, only_1 or only_2; rows of one read meet one to one, in the order of their places.
 
     (key, occurrence, read_serial, kind, and a_chrom, a_pos, a_cigar with _1 and _2); places may be null in both.
     """
-    own = ["a_chrom", "a_pos", "a_cigar"]
+    own, key = ["a_chrom", "a_pos", "a_cigar"], key or read_key(bad1)
     serial = ["read_serial"] if "read_serial" in bad1.columns and "read_serial" not in key else []
     both = reduce(DataFrame.unionByName, (d.select(*key, *serial, *own, F.lit(i).alias("run")) for i, d in ((1, bad1), (2, bad2))))
     # both runs are dealt by read once; numbers and pairs follow that
@@ -283,14 +289,16 @@ def _of_interest(df: DataFrame, chrom: int | None, variants_only: bool) -> DataF
     return df.where(X.has_variant_cigar(F.col("cigar"))) if variants_only else df
 
 
-def run_diff(r: DataFrame, c: DataFrame, chrom: int | None = None, variants_only: bool = False, key: tuple = READ) -> DataFrame:
+def run_diff(r: DataFrame, c: DataFrame, chrom: int | None = None, variants_only: bool = False, key: tuple | None = None) -> DataFrame:
     """Rows of r that c lacks; of one chromosome, or with a variant in their true CIGAR, if asked for."""
+    key = key or read_key(r)
     at = [*key, "occurrence"]
     return occurrences(_of_interest(r, chrom, variants_only), key).join(occurrences(c, key).select(*at), at, "left_anti").drop("occurrence")
 
 
-def run_intersect(r: DataFrame, c: DataFrame, chrom: int | None = None, variants_only: bool = False, key: tuple = READ) -> DataFrame:
+def run_intersect(r: DataFrame, c: DataFrame, chrom: int | None = None, variants_only: bool = False, key: tuple | None = None) -> DataFrame:
     """Rows of r that c has too; of one chromosome, or with a variant in their true CIGAR, if asked for."""
+    key = key or read_key(r)
     at = [*key, "occurrence"]
     return occurrences(_of_interest(r, chrom, variants_only), key).join(occurrences(c, key).select(*at), at, "left_semi").drop("occurrence")
 
@@ -299,12 +307,13 @@ def attach_runs(runs: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, (d.withColumn("run", F.lit(k)) for k, d in runs.items()))
 
 
-def run_matrix(runs: DataFrame, chrom: int | None = None, variants_only: bool = False, key: tuple = READ) -> DataFrame:
+def run_matrix(runs: DataFrame, chrom: int | None = None, variants_only: bool = False, key: tuple | None = None) -> DataFrame:
     """(r, c, kind, n): reads of r that c lacks for all r and c, and reads of both for c from r on. One shuffle by read.
 
     Of one chromosome alone if given; variants_only takes reads whose true CIGAR (cigar) has a variant. The rows of a read that
     a run has several of are numbered, and each counts.
     """
+    key = key or read_key(runs)
     runs = occurrences(_of_interest(runs, chrom, variants_only).repartition(*key), (*key, "run"))
     sets = runs.groupBy(*key, "occurrence").agg(F.sort_array(F.collect_set("run")).alias("in_runs")).groupBy("in_runs").agg(F.count("*").alias("n"))
     names = runs.select(F.col("run").alias("c")).distinct()

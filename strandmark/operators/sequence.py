@@ -82,8 +82,8 @@ def kmer_count(seqs: DataFrame, k: int, include_last: bool = True) -> DataFrame:
     return got.unionByName(less).groupBy("kmer").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def kmer_mean_score(seqs: DataFrame, table: DataFrame, k: int, include_last: bool = False) -> DataFrame:
-    """(seq_no, score): mean count of each sequence's k-mers, but for the last one unless include_last; unseen ones count one. Null where there are none."""
+def kmer_mean_score(seqs: DataFrame, table: DataFrame, k: int, include_last: bool = True) -> DataFrame:
+    """(seq_no, score): mean count of each sequence's k-mers, without include_last but for the one at its end; unseen ones count one. Null where there are none."""
     own = kmers(seqs, k)
     if not include_last:
         own = own.join(lengths(seqs), "seq_no").where(F.col("at") < F.col("length") - k)

@@ -63,7 +63,7 @@ def _(spark, d):
 @query("a19_kmer_mean_score", with_("fx_seq", extra=(f"k as ({KMERS})", "s as (select seq_no, substr(seq, i::int, 6) kmer from fx_seq, lateral (select unnest(range(1, length(seq)-5)) i) where length(seq)>=7)")) + "select f.seq_no, round(avg(coalesce(n,1)) filter (s.kmer is not null), 6) score from fx_seq f left join s on f.seq_no=s.seq_no left join k on s.kmer=k.kmer group by f.seq_no")
 def _(spark, d):
     s = view(spark, d, "fx_seq")
-    return rounded(Q.kmer_mean_score(s, Q.kmer_count(s, 6), 6), "score")
+    return rounded(Q.kmer_mean_score(s, Q.kmer_count(s, 6), 6, include_last=False), "score")
 
 
 @query("a20_gc_windows_of_chunks", with_("fx_seq", extra=(GC,)) + "select seq_no, bin::bigint bin, (length(w)-length(translate(w,'GC','')))/100.0::double gc from g")
