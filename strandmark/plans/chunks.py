@@ -60,7 +60,7 @@ def _(spark, d):
     return Q.kmer_score(c, Q.kmer_count(c, 6), 6, 50)
 
 
-@query("a19_kmer_mean_score", with_("fx_seq", extra=(f"k as ({KMERS})", "s as (select seq_no, substr(seq, i::int, 6) kmer from fx_seq, lateral (select unnest(range(1, length(seq)-5)) i) where length(seq)>=7)")) + "select f.seq_no, round(avg(coalesce(n,1)) filter (s.kmer is not null), 6) score from fx_seq f left join s on f.seq_no=s.seq_no left join k on s.kmer=k.kmer group by f.seq_no")
+@query("a19_kmer_mean_score", with_("fx_seq", extra=(f"k as materialized ({KMERS})", "s as (select seq_no, substr(seq, i::int, 6) kmer from fx_seq, lateral (select unnest(range(1, length(seq)-5)) i) where length(seq)>=7)", "m as (select seq_no, avg(coalesce(n,1)) v from s left join k on s.kmer=k.kmer group by seq_no)")) + "select f.seq_no, round(v, 6) score from fx_seq f left join m on f.seq_no=m.seq_no")
 def _(spark, d):
     s = view(spark, d, "fx_seq")
     return rounded(Q.kmer_mean_score(s, Q.kmer_count(s, 6), 6, include_last=False), "score")
