@@ -34,3 +34,21 @@ def test_no_pairs_are_made(spark, sf_dir):
     for name in ("a4_accuracy_by_indel_length", "a26_run_report", "j12_pairwise_runs", "a6_accuracy_by_indel_and_neighbour", "g7_median_smooth", "a7_accuracy_summary", "a2_accuracy_per_feature", "a5_indel_count_covered"):
         plan = queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "read_stop" not in "".join(line for line in plan.splitlines() if "Join" in line), name
+
+
+def test_outside_goes_by_places_not_by_serials(spark, sf_dir, tmp_path):
+    """Reads of one serial number at several places count each for itself, in the query as in its SQL."""
+    import duckdb
+
+    from strandmark import plans
+
+    for t in ("lineitem", "part"):
+        rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        if t == "lineitem":
+            rows = rows.crossJoin(spark.range(6).withColumnRenamed("id", "i")).withColumn("l_partkey", F.expr("l_partkey + i * 200")).drop("i")
+        rows.coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(plans.oracle_sql()["j3_a3_accuracy_outside"]).fetchall()
+    assert [tuple(r) for r in plans.queries()["j3_a3_accuracy_outside"](spark, str(tmp_path)).collect()] == want
