@@ -52,3 +52,25 @@ def test_outside_goes_by_places_not_by_serials(spark, sf_dir, tmp_path):
         con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     want = con.sql(plans.oracle_sql()["j3_a3_accuracy_outside"]).fetchall()
     assert [tuple(r) for r in plans.queries()["j3_a3_accuracy_outside"](spark, str(tmp_path)).collect()] == want
+
+
+def test_mean_scores_do_not_shuffle_kmers(spark, sf_dir):
+    """Only the table of k-mers and sums of a sequence are shuffled; the k-mer at the end is left out before there are rows."""
+    from strandmark.operators import sequence as Q
+
+    seqs = spark.createDataFrame([(1, "ACGTACGTAC"), (2, "ACGT"), (3, "ACG"), (4, "")], "seq_no long, seq string")
+    for rows in (seqs, Q.chunked(seqs, 3)):
+        table = Q.kmer_count(rows, 4)
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        try:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            got = Q.kmer_mean_score(rows, table, 4, include_last=False)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert "hashpartitioning(kmer" not in "".join(line for line in plan.splitlines() if "kmer" in line and "seq_no" in line) and "BroadcastHashJoin [kmer" in plan
+        found = {r["seq_no"]: r["score"] for r in got.collect()}
+        # ACGT is there three times, CGTA, GTAC, TACG and so on: of the first sequence all but its last k-mer count
+        text = "ACGTACGTAC"
+        n = lambda w: sum(s[i : i + 4] == w for s in (text, "ACGT") for i in range(len(s) - 3))
+        assert found[1] == sum(n(text[i : i + 4]) for i in range(6)) / 6 and found[2] is None and found[3] is None
