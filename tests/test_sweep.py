@@ -74,3 +74,25 @@ def test_mean_scores_do_not_shuffle_kmers(spark, sf_dir):
         text = "ACGTACGTAC"
         n = lambda w: sum(s[i : i + 4] == w for s in (text, "ACGT") for i in range(len(s) - 3))
         assert found[1] == sum(n(text[i : i + 4]) for i in range(6)) / 6 and found[2] is None and found[3] is None
+
+
+def test_templates_look_at_alignments_once(spark, sf_dir):
+    """One shuffle of the alignments, before their bases are used, and the rows that are numbered come from a table."""
+    from strandmark.operators import templates as T
+    from strandmark.plans.registry import view
+
+    sam = view(spark, sf_dir, "fx_sam")
+    plan = T.templates(sam, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "md5" not in plan and plan.count("strandmark-tables") + plan.count("Relation") >= 2
+
+
+def test_templates_keep_rows_without_bases_and_alike_rows_apart(spark):
+    from strandmark.operators import templates as T
+
+    row = lambda name, flag, at, mate, seq, chrom=0, cigar="4M": (name, flag, chrom, chrom, at, mate, 60, cigar, seq)
+    rows = [row("u", 0, 5, -1, "ACGT")] * 3 + [row("u", 16, 5, -1, "ACGT"), row("u", 0, 5, -1, "*"), row("u", 0, 5, -1, ""), row("u", 0, 5, -1, None)]
+    # bases of one read 1 are missing: the other one has the mate
+    rows += [row("p", 1 + 64, 9, 20, "*"), row("p", 1 + 64, 9, 20, "TTTT"), row("p", 1 + 128 + 16, 20, 9, "AACC"), row("p", 1 + 64, 9, 30, "GGGG")]
+    sam = spark.createDataFrame(rows, "qname string, flag long, ref_id long, next_ref_id long, apos long, pnext long, mapq long, acigar string, seq string")
+    got = [(r["serial"], r["r0"]["seq"], r["r0"]["ro"], r["r1"] and r["r1"]["seq"]) for r in T.templates(sam).orderBy("serial").collect()]
+    assert got == [(0, "ACGT", 0, None), (1, "ACGT", 0, None), (2, "ACGT", 0, None), (3, "ACGT", 1, None), (4, "TTTT", 0, "GGTT")]
