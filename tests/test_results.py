@@ -59,3 +59,21 @@ def test_heavy_bins_leave_no_large_group(spark):
 
 def feats_of(spark):
     return spark.createDataFrame([(1, 0, 5)], "chrom int, bin long, v_id long")
+
+
+def test_reads_are_decoded_once_for_overlaps(spark, sf_dir):
+    """No filter that the join infers goes down to the names of reads, where it would decode them once more."""
+    plan = R.overlap_join(scored(spark, sf_dir), feats(spark, sf_dir)).select("read_serial", "v_id")._jdf.queryExecution().executedPlan().toString()
+    assert "isnotnull(try_cast" not in plan and "isnotnull((try_cast" not in plan
+
+
+def test_bins_of_many_features(spark):
+    """More features in a bin than an array takes, long ones, unknown chromosomes and empty ends: the pairs of a plain join."""
+    reads = spark.range(300).selectExpr("if(id % 50 = 0, null, id % 3) chrom", "if(id % 60 = 1, null, id * 7 % 1000) pos", "id * 7 % 1000 + 90 read_stop", "id read_serial")
+    many = spark.range(5000).selectExpr("if(id % 70 = 0, null, cast(id % 3 as int)) chrom", "if(id < 4000, 100 + id % 40, id * 37 % 1000) f_start", "if(id % 90 = 2, null, if(id % 500 = 0, 2000000, if(id < 4000, 100 + id % 40, id * 37 % 1000) + id % 20)) f_stop", "id v_id")
+    want = reads.join(many, (reads.chrom == many.chrom) & (reads.pos <= many.f_stop) & (reads.read_stop >= many.f_start)).select("read_serial", "v_id")
+    got = R.overlap_join(reads, many)
+    assert got.columns == ["chrom", "pos", "read_stop", "read_serial", "f_start", "f_stop", "v_id"]
+    assert sorted(map(tuple, got.select("read_serial", "v_id").collect())) == sorted(map(tuple, want.collect())) != []
+    sizes = [r["n"] for r in R.packed(many.where("chrom = 1").withColumn("bin", F.lit(0)), ["chrom", "bin"]).selectExpr("size(_feats) n").collect()]
+    assert sum(sizes) == many.where("chrom = 1").count() and max(sizes) == R.PACK and len(sizes) == 2
