@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandmark import sources
 from strandmark.operators import reads as R
-from strandmark.plans.registry import feats, scored, view
+from strandmark.plans.registry import both_runs, feats, queries, scored, second_run, view
 
 
 def test_accuracy_files(spark, sf_dir, tmp_path):
@@ -77,3 +77,17 @@ def test_bins_of_many_features(spark):
     assert sorted(map(tuple, got.select("read_serial", "v_id").collect())) == sorted(map(tuple, want.collect())) != []
     sizes = [r["n"] for r in R.packed(many.where("chrom = 1").withColumn("bin", F.lit(0)), ["chrom", "bin"]).selectExpr("size(_feats) n").collect()]
     assert sum(sizes) == many.where("chrom = 1").count() and max(sizes) == R.PACK and len(sizes) == 2
+
+
+def test_two_runs_are_one_pass(spark, sf_dir):
+    """Both runs come of one pass over the alignments, with names decoded once, and are what two passes give."""
+    align = view(spark, sf_dir, "fx_align")
+    runs = both_runs(align)
+    for k, a in ((1, align), (2, second_run(align))):
+        want = R.bad_reads(R.score_alignments(a))
+        assert sorted(map(str, map(tuple, runs.where(F.col("run") == k).select(want.columns).collect()))) == sorted(map(str, map(tuple, want.collect())))
+    kinds = R.compare_runs(*(runs.where(F.col("run") == k) for k in (1, 2)))
+    got = R.compare_attached(runs.withColumn("run", F.when(F.col("run") == 1, "x").otherwise("y")).unionByName(runs.withColumn("run", F.lit("z"))), "x", "y")
+    assert got.columns == kinds.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, kinds.collect())))
+    plan = queries()["j4_compare_runs"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "split(concat_ws" not in plan
