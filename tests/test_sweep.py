@@ -54,6 +54,23 @@ def test_outside_goes_by_places_not_by_serials(spark, sf_dir, tmp_path):
     assert [tuple(r) for r in plans.queries()["j3_a3_accuracy_outside"](spark, str(tmp_path)).collect()] == want
 
 
+@pytest.mark.parametrize("parts, outside", [(120000, False), (40, True)])
+def test_outside_of_features_that_leave_no_read(spark, sf_dir, tmp_path, parts, outside):
+    """Where features lie so close that no read is outside, the sum over none is null, as the SQL has it."""
+    import duckdb
+
+    from strandmark import plans
+
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey < 40").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(0, parts, 1, 1).selectExpr("id as p_partkey", "cast(id % 50 + 1 as int) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(plans.oracle_sql()["j3_a3_accuracy_outside"]).fetchall()
+    assert [tuple(r) for r in plans.queries()["j3_a3_accuracy_outside"](spark, str(tmp_path)).collect()] == want
+    assert (want[0][1] > 0) is outside and (want[0][0] is None) is not outside
+
+
 def test_mean_scores_do_not_shuffle_kmers(spark, sf_dir):
     """Only the table of k-mers and sums of a sequence are shuffled; the k-mer at the end is left out before there are rows."""
     from strandmark.operators import sequence as Q
