@@ -91,3 +91,50 @@ def test_two_runs_are_one_pass(spark, sf_dir):
     assert got.columns == kinds.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, kinds.collect())))
     plan = queries()["j4_compare_runs"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "split(concat_ws" not in plan
+
+
+def test_many_reads_over_features(spark):
+    """Nulls, long features, intervals that end before they start, arrays that are far away, either join: the pairs of a plain join, in order, and rows of wide bins only where long features are."""
+    reads = spark.range(3000).selectExpr("if(id % 50 = 0, null, id % 3) chrom", "if(id % 60 = 1, null, hash(id) & 65535) pos", "(hash(id) & 65535) + if(id % 40 = 3, 3000, if(id % 70 = 5, -30, 90)) read_stop", "id read_serial").repartition(3)
+    f = spark.range(4000).selectExpr("if(id % 70 = 0, null, id % 3) chrom", "if(id % 90 = 2, null, hash(-id) & 65535) f_start", "(hash(-id) & 65535) + if(id % 500 = 4, 700000, if(id % 80 = 6, -20, id % 21)) f_stop", "id v_id", "id % 7 x")
+    want = reads.join(f, (reads.chrom == f.chrom) & (reads.pos <= f.f_stop) & (reads.read_stop >= f.f_start)).select("read_serial", "v_id", "read_stop")
+    want = sorted(map(tuple, want.collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for most in (before, "-1"):
+        try:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+            got = R.reads_over_features(reads, f)
+            assert got.columns == ["chrom", "pos", "read_stop", "read_serial", "f_start", "f_stop", "v_id", "x"] and got.schema["read_stop"].dataType == reads.schema["read_stop"].dataType
+            rows = got.select("read_serial", "v_id", "read_stop", "chrom", "pos", F.spark_partition_id().alias("part")).collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert sorted((r["read_serial"], r["v_id"], r["read_stop"]) for r in rows) == want != []
+        if most == before:  # neighbours lie together
+            assert all((a["chrom"], a["pos"]) <= (b["chrom"], b["pos"]) for a, b in zip(rows, rows[1:], strict=False) if a["part"] == b["part"])
+
+
+def test_reads_have_wide_bins_only_where_long_features_are(spark):
+    reads = spark.range(100).selectExpr("id % 2 chrom", "id * 20000 pos", "id * 20000 + 100 read_stop", "id")
+    binned = reads.withColumn("bin", F.explode(F.expr("array(pos div 400, -1 - pos div 102400)")))
+    narrow = "bin between pos div 400 and read_stop div 400"
+    longs = spark.createDataFrame([(1, -3), (1, -3), (0, -20), (None, -1)], "chrom long, bin long")
+    got = R.where_long(binned, longs, narrow)
+    wide = sorted((r["chrom"], r["bin"]) for r in got.where("bin < 0").collect())
+    assert got.columns == binned.columns and got.where("bin >= 0").count() == 100
+    assert set(wide) == {(1, -3), (0, -20)} and len(wide) == binned.join(longs.distinct(), ["chrom", "bin"]).count()
+
+
+def test_reads_over_features_shuffle_little(spark, sf_dir):
+    """No column that the view derives is shuffled for its window; rows of reads in wide bins meet what long features there are before the one join that shuffles them."""
+    truth = view(spark, sf_dir, "fx_truth")._jdf.queryExecution().executedPlan().toString()
+    assert truth.count("Exchange") == 1
+    below = truth[truth.index("Exchange") :]
+    assert "AS pos" not in below and "AS chrom" not in below
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = queries()["j1_reads_over_features"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "isnotnull(try_cast" not in plan and "isnotnull((try_cast" not in plan
+    assert plan.count("SortMergeJoin") == 1 and plan.index("SortMergeJoin") < plan.index("_long")
